@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its edit budget, with the best place of each item."""
+    from quern.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels are learned from rows whose id's crc32 mod 3 is not 1."""
     from quern.llm import toxicity
@@ -25,5 +32,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_toxicity": op5_toxicity}
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links at 3 bits or fewer."""
+    from quern.llm import simhash
+
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
