@@ -39,9 +39,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    from quern.llm import pii
+
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_context")
+
+
 QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
