@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and packed into sequences of 2048 tokens."""
+    from quern.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its edit budget, with the best place of each item."""
     from quern.llm import decontaminate
@@ -48,6 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
