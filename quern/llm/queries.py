@@ -46,6 +46,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with likenesses."""
+    from quern.llm import minhash
+
+    return minhash.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base spans, and all spans."""
     from quern.llm import pii
@@ -59,6 +66,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
