@@ -46,6 +46,41 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the list is the URLs of the pages whose id is divisible by 100."""
+    from quern.llm import urls
+
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, pages.where("page_id % 100 = 0").select("url"))
+
+
+OP8_SQL = r"""
+with parts as (
+  select page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+keyed as (
+  select *, case when host <> '' then regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || rtrim(path, '/') end as url_key
+  from parts),
+listed as (select distinct url_key from keyed where page_id % 100 = 0 and url_key is not null),
+ruled as (
+  select keyed.*, listed.url_key is not null as is_listed,
+         case when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+              when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+              when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+              when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+              when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
+  from keyed left join listed on keyed.url_key = listed.url_key)
+select page_id, host, path, rule,
+       case when rule in ('org/', 'example.org/en/1', 'com/fr/') then 'allow'
+            when rule is not null then 'block'
+            when is_listed then 'block' else 'allow' end as verdict,
+       is_listed
+from ruled
+"""
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with likenesses."""
     from quern.llm import minhash
@@ -66,7 +101,8 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
