@@ -39,6 +39,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base spans, and all spans."""
+    from quern.llm import secrets
+
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_guess")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at 3 bits or fewer."""
     from quern.llm import simhash
@@ -100,6 +108,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
