@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, table
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a repeated passage first found elsewhere, with what stays of their texts."""
+    from quern.llm import spans
+
+    return spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of 2048 tokens."""
     from quern.llm import packing
@@ -105,6 +112,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_span_dedup": op2_span_dedup,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
