@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from rows whose id's crc32 mod 5 is not 0."""
+    from quern.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    net = language.train(*language.labelled_sample(docs))
+    return language.identify(docs, net).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a repeated passage first found elsewhere, with what stays of their texts."""
     from quern.llm import spans
@@ -112,6 +121,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_span_dedup": op2_span_dedup,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
