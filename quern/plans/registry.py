@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quern.plans import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL}
