@@ -36,7 +36,7 @@ def walks(n_bins: int, seed: int = 11) -> list[int]:
     return [rng.randrange(n_bins) for _ in range(n_bins * WALK)]
 
 
-def bins(text: Column, n_bins: int = 128, shingle: int = 5) -> Column:
+def bins(text: Column, n_bins: int = 256, shingle: int = 5) -> Column:
     """The densified bins' low bits, an array of ``n_bins`` bytes (as signed tinyint)."""
     shift = 63 - (n_bins.bit_length() - 1)
     assert n_bins == 1 << (63 - shift), "n_bins must be a power of two"
@@ -85,7 +85,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same / F.size(a) - chance) / (1 - chance))
 
 
-def fingerprint(docs: DataFrame, n_bins: int = 128) -> DataFrame:
+def fingerprint(docs: DataFrame, n_bins: int = 256) -> DataFrame:
     """``doc_id`` and ``fingerprint`` of every row; narrow."""
     return docs.select("doc_id", packed(bins(F.col("text"), n_bins)).alias("fingerprint"))
 
@@ -115,7 +115,7 @@ def with_next(docs: DataFrame, columns: list[str], lots: int) -> DataFrame:
     return sent.select("doc_id", *columns, "guest", *[F.lead(c).over(along).alias(f"next_{c}") for c in columns]).where("guest = 0").drop("guest")
 
 
-def compare_with_edits(docs: DataFrame, n_bins: int = 128, lots: int | None = None) -> DataFrame:
+def compare_with_edits(docs: DataFrame, n_bins: int = 256, lots: int | None = None) -> DataFrame:
     """Fingerprint of every text and of its edited text, and their likeness to each other and to the next document."""
     spark = docs.sparkSession
     lots = lots or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

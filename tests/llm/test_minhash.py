@@ -21,7 +21,7 @@ def chain(values):
     return signed(h)
 
 
-def brute(text, n_bins=128):
+def brute(text, n_bins=256):
     words = " ".join((text or "").lower().split()).split(" ")
     w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in words]
     if len(w) >= 5:
@@ -31,7 +31,7 @@ def brute(text, n_bins=128):
         for x in w:
             h = chain([h, x])
         hashes = [h]
-    shift = 63 - 7
+    shift = 63 - 8
     low = [None] * n_bins
     for h in hashes:
         v = (h % 2**64) >> 1
