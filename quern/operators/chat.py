@@ -83,7 +83,7 @@ def token_labels(ids: Column, text_length: Column, spans: Column) -> Column:
 
 def char_ids(text: Column) -> Column:
     """Code points modulo 256: the fallback encoding."""
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.pmod(F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long"), F.lit(256)).cast("int"))
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.pmod(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"), F.lit(256)).cast("int"))
 
 
 def encode_pair(prompt: Column, response: Column, max_length: int = 512, max_prompt: int = 256, pad: bool = True) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import text_queries
+from quern.plans import corpus_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL}
+QUERIES = {**text_queries.QUERIES, **corpus_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL}
