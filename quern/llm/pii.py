@@ -163,7 +163,8 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
             F.when(i < n, F.concat(F.lit("["), F.upper(F.get("s", i)["kind"]), F.lit("]"))).otherwise(""),
         ),
     )
-    changed = scanned.where(any_hit).join(listed, "row_key", "left").withColumn("new", F.when(F.col("s").isNull(), text).otherwise(F.array_join(cut, "")))
+    # The spans grow with the corpus, so they are never broadcast.
+    changed = scanned.where(any_hit).join(listed.hint("merge"), "row_key", "left").withColumn("new", F.when(F.col("s").isNull(), text).otherwise(F.array_join(cut, "")))
     fixed = {"text": F.col("new")} | ({"n_chars": F.when(F.col("s").isNull(), F.col("all.n_chars")).otherwise(F.char_length("new").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in columns else {})
     out = changed.select(*[fixed.get(c, F.col(f"all.`{c}`")).alias(c) for c in columns])
     same = scanned.where(~any_hit).select(*[F.col(f"all.`{c}`").alias(c) for c in columns])

@@ -207,7 +207,8 @@ def keep_one_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     """
     found = durable(simhash_components(docs, radius))
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
+    # The ids grow with the corpus, so they are never broadcast: texts are dealt by id at every size.
+    out = docs.join(kept.hint("merge"), "doc_id", "left_semi")
     rows, ids = found.where("doc_id = component_id").agg(F.count("*"), F.countDistinct("doc_id")).first()
     if rows > ids:
         out = out.dropDuplicates(["doc_id"])
