@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -167,8 +166,7 @@ def best_segmentation(counts: DataFrame, log_p: dict[str, float]) -> DataFrame:
     worst = min(log_p.values(), default=0.0) - 10
     longest = max(map(len, log_p), default=1)
 
-    @lru_cache(maxsize=100_000)
-    def one(word: str) -> tuple[str, ...]:
+    def one(word: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for e in range(1, len(word) + 1):
             options = [(best[s][0] + log_p.get(word[s:e], worst if e - s == 1 else float("-inf")), s) for s in range(max(0, e - longest), e)]
@@ -177,12 +175,12 @@ def best_segmentation(counts: DataFrame, log_p: dict[str, float]) -> DataFrame:
         while e:
             out.append(word[best[e][1] : e])
             e = best[e][1]
-        return tuple(reversed(out))
+        return out[::-1]
 
     @F.pandas_udf("array<string>")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for words in batches:
-            yield words.map(lambda w: list(one.__wrapped__(w)))
+            yield words.map(one)
 
     return counts.select("word", pieces("word").alias("pieces"))
 
