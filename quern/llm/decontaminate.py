@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import blocks
 
-ERROR_RATE = 1 / 15
+ERROR_RATE = 0.08
 MIN_CHARS = 20
 
 

@@ -183,26 +183,42 @@ def _island(capacity: int, seed: int):
         before = np.cumsum(lengths[order]) - lengths[order]
         offset = np.empty(len(bins), np.int64)
         offset[order] = before - np.repeat(before[np.flatnonzero(np.diff(bins[order], prepend=-1))], np.bincount(bins))
-        return one.assign(bin=bins, offset=offset, n_bins=len(fill), origin=one["island"])
+        return one.assign(bin=bins, offset=offset, n_bins=len(fill), fill=fill[bins], origin=one["island"])
 
     return run
 
 
-ISLAND_SCHEMA = "shard int, island int, origin int, row_key long, piece int, length long, bin long, offset long, n_bins long"
+ISLAND_SCHEMA = "shard int, island int, origin int, row_key long, piece int, length long, bin long, offset long, n_bins long, fill long"
 
 
-def pack_lengths(items: DataFrame, capacity: int = SEQUENCE, shard_items: int = 4096, islands: int = 2, epochs: int = 2) -> DataFrame:
-    """Pack ``row_key``, ``piece``, ``length`` (all under ``capacity``): adds ``sequence_id`` and ``offset``."""
+def _shards(items: DataFrame, first: int, capacity: int, shard_items: int, islands: int, epochs: int) -> tuple[DataFrame, int]:
+    """The best island's packing of every shard, and the number of shards; shard numbers start at ``first``."""
     shards = max(1, math.ceil(items.count() / shard_items))
-    dealt = items.select(F.pmod(F.xxhash64("row_key", "piece"), F.lit(shards)).cast("int").alias("shard"), "row_key", "piece", "length")
-    state = dealt.select("shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), F.lit(0).alias("origin"), "row_key", "piece", "length", F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("n_bins"))
+    number = (F.pmod(F.xxhash64("row_key", "piece", F.lit(first)), F.lit(shards)) + first).cast("int")
+    zero = F.lit(0).cast("long")
+    state = items.select(number.alias("shard"), F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), F.lit(0).alias("origin"), "row_key", "piece", "length", F.lit(-1).cast("long").alias("bin"), zero.alias("offset"), zero.alias("n_bins"), zero.alias("fill"))
     for epoch in range(epochs):
-        if epoch:
-            moved = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
-            state = state.unionAll(moved) if islands > 1 else state
+        if epoch and islands > 1:
+            state = state.unionAll(state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands))))
         state = durable(state.groupBy("shard", "island").applyInPandas(_island(capacity, epoch), ISLAND_SCHEMA))
     best = state.groupBy("shard").agg(F.min_by("island", F.struct("n_bins", "island")).alias("island"))
-    packed = state.join(best, ["shard", "island"])
+    return state.join(best, ["shard", "island"]), shards
+
+
+def pack_lengths(items: DataFrame, capacity: int = SEQUENCE, shard_items: int = 4096, islands: int = 2, epochs: int = 2, loose: float = 0.9) -> DataFrame:
+    """Pack ``row_key``, ``piece``, ``length`` (all under ``capacity``): adds ``sequence_id`` and ``offset``.
+
+    Sequences filled under ``loose``, as the last one of a shard is, are dissolved after the first round and their
+    pieces packed once more, together; the second packing is taken if it needs fewer sequences.
+    """
+    packed, shards = _shards(items, 0, capacity, shard_items, islands, epochs)
+    packed = durable(packed)
+    open_ = packed.where(F.col("fill") < loose * capacity)
+    if shards > 1:
+        again = durable(_shards(open_.select("row_key", "piece", "length"), shards, capacity, shard_items, islands, epochs)[0])
+        before, after = (d.agg(F.countDistinct("shard", "bin")).first()[0] for d in (open_, again))
+        if after < before:
+            packed = packed.where(F.col("fill") >= loose * capacity).unionByName(again)
     return packed.select("row_key", "piece", (F.col("shard").cast("long") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
 
 
