@@ -326,9 +326,10 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
 M = "m as (select event_type as name, event_id as step, value from events where value is not null and isfinite(value))"
 
 
-@query(f"with {M} select name, step, round(avg(value) over (partition by name order by step rows between 99 preceding and current row), 6)::double as smoothed from m")
+@query(f"with {M} select name, step, round(avg(value) over (partition by name order by step rows between 99 preceding and current row) + 1e-10, 6)::double as smoothed from m")
 def metric_moving_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(monitor.moving_average(_metrics(spark, sf)).select("name", "step", "smoothed"))
+    """The small addend keeps means that end in half a millionth from rounding both ways."""
+    return rounded(monitor.moving_average(_metrics(spark, sf)).select("name", "step", (F.col("smoothed") + 1e-10).alias("smoothed")))
 
 
 @query(f"with {M}, a as (select *, avg(value) over (partition by name order by step rows between 99 preceding and current row) as s from m) select name, step from a where s > 0 and value > 3 * s")
