@@ -237,3 +237,48 @@ def semantic_pairs(vectors: DataFrame, threshold: float = 0.85, planes: int = 8,
     a, b = rows.select(F.col(key).alias("a"), F.col("u").alias("ua"), "t", "code"), rows.select(F.col(key).alias("b"), F.col("u").alias("ub"), "t", "code")
     near = a.join(b, ["t", "code"]).where("a < b").withColumn("cosine", dot(F.col("ua"), F.col("ub"))).where(F.col("cosine") > threshold)
     return near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def lcs_f1(a: list[str], b: list[str]) -> float:
+    """ROUGE-L: harmonic mean of the longest common subsequence's share of either word list."""
+    if not a or not b:
+        return 0.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return 2 * row[-1] / (len(a) + len(b))
+
+
+def rouge_pairs(new: DataFrame, known: DataFrame, threshold: float = 0.7, key: str = "doc_id") -> DataFrame:
+    """``a`` of ``new``, ``b`` of ``known``, ``rouge_l`` over ``threshold``.
+
+    A common subsequence is a common multiset of words, of at least t*m / (2 - t) of the m words. So one of the
+    m - ceil(that) + 1 rarest numbered words of either text is shared, and only those are joined; no pair is lost.
+    """
+    words = lambda d: d.where("text is not null").select(key, T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    sides = {n: persisted(words(d)) for n, d in (("a", new), ("b", known))}
+
+    def numbered(d: DataFrame) -> DataFrame:
+        each = d.select(key, F.size("w").alias("m"), F.explode("w").alias("word")).groupBy(key, "m", "word").agg(F.count("*").alias("c"))
+        return each.select(key, "m", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c")), lambda i: F.concat_ws("#", "word", i.cast("string")))).alias("token"))
+
+    tokens = {n: numbered(d) for n, d in sides.items()}
+    frequency = tokens["a"].select("token").unionAll(tokens["b"].select("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def prefix(d: DataFrame) -> DataFrame:
+        ranked = d.join(frequency, "token").groupBy(key, "m").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+        size = (F.col("m") - F.ceil(threshold * F.col("m") / (2 - threshold)) + 1).cast("int")
+        return ranked.select(key, F.explode(F.slice("t", 1, size)).alias("t")).select(key, "t.token")
+
+    near = prefix(tokens["a"]).withColumnRenamed(key, "a").join(prefix(tokens["b"]).withColumnRenamed(key, "b"), "token").select("a", "b").distinct()
+    near = near.join(sides["a"].select(F.col(key).alias("a"), F.col("w").alias("wa")), "a").join(sides["b"].select(F.col(key).alias("b"), F.col("w").alias("wb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = [lcs_f1(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["a", "b", "rouge_l"])
+
+    kind = dict(new.dtypes)[key]
+    return near.select("a", "b", "wa", "wb").mapInArrow(run, f"a {kind}, b {kind}, rouge_l double").where(F.col("rouge_l") > threshold)

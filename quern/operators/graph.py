@@ -74,3 +74,14 @@ def analogy(vectors: DataFrame, a: int, b: int, c: int, k: int = 5) -> DataFrame
     target = F.zip_with(F.zip_with("va", "vb", lambda x, y: x - y), "vc", lambda x, y: x + y)
     rows = vectors.where(~F.col("vec_id").isin(a, b, c)).join(F.broadcast(asked.select(target.alias("q"))))
     return top_k(rows.select(F.lit(1).alias("query_id"), F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score")), k)
+
+
+def global_query(summary: DataFrame, question: str) -> DataFrame:
+    """The community summaries that share a word with the question; all of them if none does."""
+    from quern.functions.text import words
+
+    asked = sorted({w for w in question.lower().split()})
+    cleaned = F.regexp_replace("summary", r"[^\p{L}\p{N}\s]", " ")
+    marked = summary.withColumn("hit", F.arrays_overlap(words(cleaned), F.lit(asked)) if asked else F.lit(False))
+    any_hit = marked.agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("any"))
+    return marked.crossJoin(F.broadcast(any_hit)).where(F.col("hit") | ~F.col("any")).select("community", "summary")

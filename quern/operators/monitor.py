@@ -49,3 +49,13 @@ def activation_stats(rows: DataFrame, feature: str = "feature", value: str = "va
     """Frequency, mean, maximum and deviation of each feature's active (positive) values."""
     active = F.when(F.col(value) > 0, F.col(value))
     return rows.groupBy(feature).agg((F.count(active) / F.count("*")).alias("frequency"), F.coalesce(F.avg(active), F.lit(0.0)).alias("mean"), F.coalesce(F.max(active), F.lit(0.0)).alias("max"), F.coalesce(F.stddev_samp(active), F.lit(0.0)).alias("std"))
+
+
+def clusters(vectors: DataFrame, k: int, seed: int = 42, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``key`` and ``cluster`` by k-means, with parallel seeding of the centres."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    model = KMeans(k=k, seed=seed).fit(rows)
+    return model.transform(rows).select(key, F.col("prediction").alias("cluster"))

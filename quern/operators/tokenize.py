@@ -261,3 +261,36 @@ def overlap(vocabularies: dict[str, DataFrame]) -> DataFrame:
             n = vocabularies[a].select("token").intersect(vocabularies[b].select("token")).agg(F.count("*").alias("shared")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "shared")
             out = n if out is None else out.unionAll(n)
     return out
+
+
+def byte_words(counts: DataFrame) -> DataFrame:
+    """Words spelled with one character for each of their UTF-8 bytes, for merges on the byte alphabet."""
+    return counts.select(F.decode(F.encode("word", "UTF-8"), "ISO-8859-1").alias("word"), "n")
+
+
+def from_byte_pieces(pieces: Column) -> Column:
+    """Text of byte-spelled pieces; the end mark is dropped."""
+    return F.decode(F.encode(F.replace(F.array_join(pieces, ""), F.lit(END), F.lit("")), "ISO-8859-1"), "UTF-8")
+
+
+def lower_but_acronyms(text: Column) -> Column:
+    """Lower case, but for words of two letters or more that are capitals throughout; single spaces between words."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    keep = lambda w: (F.char_length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)
+    return F.array_join(F.transform(words, lambda w: F.when(keep(w), w).otherwise(F.lower(w))), " ")
+
+
+def unicode_form(text: Column, form: str = "NFC", strip_controls: bool = False) -> Column:
+    """One of the four Unicode normal forms, by an Arrow function; controls and format characters dropped if asked."""
+    import unicodedata
+
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError("form is NFC, NFD, NFKC or NFKD")
+
+    @F.pandas_udf("string")
+    def normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: unicodedata.normalize(form, t) if isinstance(t, str) else t)
+
+    out = normal(text)
+    return F.regexp_replace(out, r"[\p{Cc}\p{Cf}&&[^\n\t]]", "") if strip_controls else out

@@ -51,3 +51,17 @@ def metric_json(metrics: DataFrame) -> DataFrame:
     """Each metric's history (name, step, value) as one JSON text, steps in order."""
     history = F.sort_array(F.collect_list(F.struct("step", "value")))
     return metrics.groupBy("name").agg(F.to_json(history).alias("history"))
+
+
+def flatten(df: DataFrame, separator: str = "/") -> DataFrame:
+    """Nested structs as plain columns, named by the path of their fields."""
+    from pyspark.sql.types import StructType
+
+    def walk(schema: StructType, path: tuple[str, ...]) -> list[Column]:
+        out = []
+        for f in schema.fields:
+            here = (*path, f.name)
+            out += walk(f.dataType, here) if isinstance(f.dataType, StructType) else [F.col(".".join(f"`{p}`" for p in here)).alias(separator.join(here))]
+        return out
+
+    return df.select(*walk(df.schema, ()))
