@@ -218,7 +218,7 @@ def _scorer(model: ToxicField, keep: list[str]):
         pool = np.array(model.pool)
         base = float(np.exp(np.clip(model.bias, -30, 30)))
         for batch in batches:
-            for part, texts in blocks(batch, "text"):
+            for part, texts in blocks(batch, "text", 2_000_000):
                 lowered = [(t or "").lower() for t in texts]
                 words = [WORD.findall(t) for t in lowered]
                 lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -228,7 +228,7 @@ def _scorer(model: ToxicField, keep: list[str]):
                         e = model.emission(w)
                         known[w] = base if e == model.bias else float(np.exp(np.clip(e, -30, 30)))
                     flat += map(known.__getitem__, ws)
-                if len(known) > 1_000_000:
+                if len(known) > 250_000:
                     known.clear()
                 p, _, _ = marginals(np.array(flat), lengths, model.chain)
                 if len(pool):
