@@ -24,13 +24,17 @@ PRIME = (1 << 61) - 1
 TOP = (1 << 32) - 1
 
 
+_OWN: list[str] = []
+
+
 def persisted(df: DataFrame) -> DataFrame:
     """Written to the folder in spark.checkpoint.dir and read back, so that loops don't grow a lineage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="quern-"))
+        folder = _OWN[0]
     path = f"{folder.rstrip('/')}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
