@@ -7,7 +7,7 @@ every document), dates, repeats, keyboard walks, and brute force for the rest; s
 small charge for each. ``8hunter2000`` is cheap, ``x9$Qv!7rT`` is not.
 
 Edge cases: a null text counts as empty. Rows are scanned each on their own. Values under ``MIN_VALUE`` characters are
-no secrets, and those over ``MAX_VALUE`` are data rather than passwords. Offsets count code points.
+no secrets; those of any greater length are judged whole. Offsets count code points.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "bearer")
-MIN_VALUE, MAX_VALUE, MAX_WORD = 6, 1024, 24
+MIN_VALUE, MAX_WORD = 6, 24
 SEGMENT_COST = math.log10(2)
 LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -99,8 +99,12 @@ def _step(a: str, b: str) -> tuple[int, int]:
     return place[b][0] - place[a][0], place[b][1] - place[a][1]
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses of the cheapest segmentation of the whole value."""
+def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation of the whole value.
+
+    Every segmentation has a cut among any ``MAX_WORD`` consecutive places, so once the last ones all cost ``enough``
+    the whole does too; a lower bound that is at least ``enough`` is returned then, however long the value is.
+    """
     best = [0.0]
     for end in range(1, len(value) + 1):
         cost = best[end - 1] + brute_cost(value[end - 1])
@@ -109,6 +113,8 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
             if one < math.inf:
                 cost = min(cost, best[start] + one + SEGMENT_COST)
         best.append(cost)
+        if cost >= enough and min(best[-MAX_WORD:]) >= enough:
+            return min(best[-MAX_WORD:])
     return best[-1]
 
 
@@ -154,11 +160,11 @@ def guessed_spans(text: str, ranks: dict[str, int], base: list[tuple[int, int, i
     for m in CONTEXT.finditer(text):
         value = m["value"].rstrip(".:!?)]}")
         start, end = m.start("value"), m.start("value") + len(value)
-        if not MIN_VALUE <= len(value) <= MAX_VALUE or value.isalpha() and value.islower():
+        if len(value) < MIN_VALUE or value.isalpha() and value.islower():
             continue
         if any(s < end and start < e for s, _, e in base):
             continue
-        if guess_cost(value, ranks) >= least:
+        if guess_cost(value, ranks, least) >= least:
             found.append((start, 3, end))
     return found
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 
 from quern.llm import secrets
@@ -55,6 +56,19 @@ def test_weak_and_strong_values():
     assert secrets.guess_cost("password1999", RANKS) < 5 < 8 < secrets.guess_cost("x9$Qv!7rTz", RANKS)
 
 
+def test_an_early_stop_judges_alike():
+    rng = random.Random(5)
+    values = ["".join(rng.choice(["pass", "the", "1999", "aaaa", "qwer", rng.choice("xyz#Q7")]) for _ in range(rng.randrange(1, 25))) for _ in range(200)]
+    for value in [*values, "a" * 3000, "the" * 40]:
+        for enough in (2.0, 5.0, 8.0):
+            assert (secrets.guess_cost(value, RANKS, enough) >= enough) == (secrets.guess_cost(value, RANKS) >= enough), (value, enough)
+
+
+def test_long_values_are_judged_whole():
+    value = "x9$Qv!7rTz" * 50_000
+    assert secrets.guessed_spans(f"bearer {value}", RANKS, [], 8.0) == [(7, 3, 7 + len(value))]
+
+
 def test_rows(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None), (7, "pwd: x9$Qv!7rTz! then"), (8, "pwd: dragondragon1 then"), (7, "passphrase is Zk8#rQ2@wLp9")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
