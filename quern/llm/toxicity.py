@@ -100,7 +100,7 @@ def pooled(probability: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def tie_strength(texts: list[list[str]], labels: np.ndarray, min_ratio: float = 20.0) -> set[str]:
+def tie_strength(texts: list[list[str]], labels: np.ndarray, min_ratio: float = 6.0) -> set[str]:
     """Features ``min_ratio`` times likelier in toxic documents, in more of them than chance gives any feature.
 
     A feature unrelated to the label lies in toxic documents only with probability share**n; the least n makes that
