@@ -153,8 +153,9 @@ def success_probability(p: Column, n: Column) -> Column:
 
 
 def samples_needed(p: Column, target: float = 0.95) -> Column:
-    """Least n with 1 - (1-p)^n of ``target`` or more."""
-    return F.ceil(F.log(F.lit(1 - target)) / F.log(1 - p)).cast("long")
+    """Least n with 1 - (1-p)^n of ``target`` or more; 1 where p is 1, null where it is 0."""
+    inside = F.when((p > 0) & (p < 1), p)
+    return F.when(p >= 1, F.lit(1).cast("long")).otherwise(F.ceil(F.log(F.lit(1 - target)) / F.log(1 - inside)).cast("long"))
 
 
 def scaling(paths: DataFrame, sizes: list[int], key: str = "question", answer: str = "answer", gold: str = "gold", order: str = "path") -> DataFrame:

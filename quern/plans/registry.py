@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import corpus_queries, text_queries
+from quern.plans import corpus_queries, evaluation_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **corpus_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL}
+MODULES = (text_queries, corpus_queries, evaluation_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
