@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import answers, chat, dedup, graph
+from quern.operators import answers, chat, dedup, graph, quality, retrieval
 from quern.operators.stats import rounded
-from quern.plans.corpus_queries import NAMES, _votes
+from quern.plans.corpus_queries import GRAPH_CTE, NAMES, _votes
 from quern.sources.tables import read
 from quern.streaming import streams
 
@@ -155,3 +155,34 @@ select user_id, floor(epoch(min(ts)))::bigint as start, count(*) as n from g gro
 def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     out = streams.sessions(read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.select("user_id", F.unix_timestamp("start").alias("start"), "n")
+
+
+@query(f"with {GRAPH_CTE}, e as (select a, b, sum(weight) as weight from m group by all) select count(*) as n_edges, round(sum(weight), 4)::double as total_weight, (select count(distinct x) from (select a as x from e union all select b from e)) as n_nodes from e")
+def graph_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(graph.graph_stats(graph.edges(graph.relations(graph.entities(read(spark, sf, "documents"), NAMES)))), 4)
+
+
+@query(f"with {GRAPH_CTE}, e as (select a, b, sum(weight) as weight from m group by all) select a as name, b as neighbour, round(weight, 4)::double as weight from e where a = 'tion' union all select b, a, round(weight, 4)::double from e where b = 'tion'")
+def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(graph.neighbours(graph.edges(graph.relations(graph.entities(read(spark, sf, "documents"), NAMES))), ["tion"]), 4)
+
+
+@query("""with s as (select item_id, list_transform(string_split(text, ''), lambda c: ord(c) % 256) as raw from benchmark),
+c as (select item_id, 2 + len(raw[1:16]) as n_query, list_concat([1], raw[1:16], [2], raw[17:17 + 44], [2]) as ids from s)
+select item_id, array_to_string(list_concat(ids, list_transform(range(0, 64 - len(ids)), lambda i: 0)), ' ') as ids, (len(ids) - n_query)::bigint as n_document, len(ids)::bigint as n_real from c""")
+def rerank_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    ids = chat.char_ids(F.col("text"))
+    rows = read(spark, sf, "benchmark").select("item_id", retrieval.rerank_input(F.slice(ids, 1, 16), F.slice(ids, F.lit(17), F.greatest(F.size(ids) - 16, F.lit(0)))).alias("r"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x).cast("long")
+    return rows.select("item_id", F.array_join(F.transform("r.ids", lambda x: x.cast("string")), " ").alias("ids"), total(F.col("r.segments")).alias("n_document"), total(F.col("r.mask")).alias("n_real"))
+
+
+@query(r"""with l as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
+t as (select doc_id, text, len(raw) as n, list_transform(raw, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) as lines from l),
+s as (select *, list_filter(lines, lambda x: x <> '') as solid from t)
+select doc_id, round(length(regexp_replace(text, '[^\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')) / length(text), 6)::double as control_rate,
+case when len(solid) = 0 then 0.0 else round(len(list_filter(solid, lambda x: regexp_matches(x, '^(#|//|/\*|\*)'))) / len(solid), 6)::double end as comment_ratio,
+len(list_filter(lines, lambda x: regexp_matches(x, '^(def |class |import |from |return )'))) / n > 0.2 as code from s""")
+def source_checks(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return rounded(read(spark, sf, "documents").select("doc_id", quality.control_rate(t).alias("control_rate"), quality.comment_ratio(t).alias("comment_ratio"), quality.looks_like_code(t).alias("code")))
