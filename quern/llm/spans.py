@@ -1,16 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences (at ``.``, ``!``, ``?`` and line ends; a sentence of over ``LONG`` words is cut further,
-after commas or else every ``LONG`` words). Every run of ``run`` consecutive sentences with at least ``min_words``
-words is hashed; a run that occurs more than once, anywhere in the corpus, is a repeat. Its first occurrence, by
-document id and place, stays, and sentences that any other occurrence covers are removed.
+Texts are cut into sentences (at ``.``, ``!``, ``?``, their like in other scripts, and line ends; a sentence of over
+``LONG`` words is cut further, after commas or else every ``LONG`` words). In scripts without spaces every letter counts
+as a word. From each sentence on, the shortest run of at least ``run`` sentences and ``min_words`` words is hashed, and
+so is the shortest one that ends with it: short lines make longer runs, and every sentence of a repeated passage that
+has ``run`` sentences and ``min_words`` words lies in a run within the passage. A run that occurs more than once,
+anywhere in the corpus, is a repeat. Its first occurrence, by document id and place, stays, and sentences that any other
+occurrence covers are removed.
 
 Only hashes travel: (hash, document, place) is shuffled once to find the first occurrence of each hash, by a minimum
 that is pre-aggregated, and once to tell the other occurrences, by a join in which a frequent hash is a skewed key
 that adaptive execution splits. Texts are read again only where something is removed.
 
 Sentences are compared with case and white space folded. Edge cases: null and empty texts have no runs; a text of fewer
-than ``run`` sentences is one run if it has ``min_words`` words, so short copies count. Rows that repeat an id with
+than ``run`` sentences is one run if it has ``min_words`` words, so short copies count; a text of fewer words has none. Rows that repeat an id with
 another text are separate occurrences in the order of their texts' hashes; identical rows count as one document and are
 treated alike. Rows with a null id come last.
 """
@@ -28,19 +31,25 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import blocks, durable
 
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)")
-WORD = re.compile(r"\S+")
+ENDS = ".!?。！？｡．؟۔।॥።།။។"
+SENTENCE = re.compile(rf"[^{ENDS}\n]*(?:[{ENDS}]+|\n|$)")
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han: scripts without spaces between words.
+UNSPACED = "\u0e00-\u0e4f\u0e80-\u0ecf\u0f40-\u0fbc\u1000-\u103f\u1780-\u17d3\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+LETTER = re.compile(f"[{UNSPACED}]")
+WORD = re.compile(rf"[{UNSPACED}][^\w\s]*|[^\s{UNSPACED}]+")
+COMMAS = ",;:，；：、،؛"
 LONG = 20
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of the sentences; together they cover the text, and a piece without words joins the one before."""
     out: list[list[int]] = []
+    spaced = text.isascii() or not LETTER.search(text)
     for m in SENTENCE.finditer(text):
         a, b = m.span()
         if a == b:
             continue
-        n = len(m[0].split())
+        n = len(m[0].split()) if spaced else len(WORD.findall(m[0]))
         if n == 0 or not any(c.isalnum() for c in m[0]):
             if out:
                 out[-1][1] = b
@@ -53,24 +62,37 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
         start, held = a, 0
         for i, (_, e) in enumerate(words):
             held += 1
-            if i + 1 < len(words) and (held >= LONG or text[e - 1] in ",;:" and held >= 5):
+            if i + 1 < len(words) and (held >= LONG or text[e - 1] in COMMAS and held >= 5):
                 out.append([start, e, held])
                 start, held = e, 0
         out.append([start, b, held])
     return [tuple(x) for x in out]
 
 
-def runs(text: str, run: int, min_words: int) -> list[tuple[int, int]]:
-    """(position of the first sentence, hash) of each run."""
-    cut = sentences(text)
+def extents(cut: list[tuple[int, int, int]], run: int, min_words: int) -> list[tuple[int, int]]:
+    """(first sentence, one past the last) of each run, in order."""
     n = len(cut)
     if not n:
         return []
+    size = min(run, n)
+    words = np.cumsum([0, *(w for _, _, w in cut)])
+    starts = np.arange(n - size + 1)
+    ends = np.maximum(starts + size, np.searchsorted(words, words[starts] + min_words))
+    if np.array_equal(ends, starts + size):
+        return list(zip(starts.tolist(), ends.tolist(), strict=True))
+    found = {(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b <= n}
+    ends = starts + size
+    starts = np.minimum(starts, np.searchsorted(words, words[ends] - min_words, "right") - 1)
+    found |= {(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if a >= 0}
+    return sorted(found)
+
+
+def runs(text: str, run: int, min_words: int) -> list[tuple[int, int]]:
+    """(number of the run among the text's ``extents``, hash) of each run."""
+    cut = sentences(text)
     hashes = [xxhash.xxh64_intdigest(" ".join(text[a:b].lower().split())) for a, b, _ in cut]
     packed = np.array(hashes, np.uint64).tobytes()
-    words = np.cumsum([0, *(w for _, _, w in cut)])
-    size = min(run, n)
-    return [(i, xxhash.xxh64_intdigest(packed[8 * i : 8 * (i + size)])) for i in range(n - size + 1) if words[i + size] - words[i] >= min_words]
+    return [(i, xxhash.xxh64_intdigest(packed[8 * a : 8 * b])) for i, (a, b) in enumerate(extents(cut, run, min_words))]
 
 
 def run_table(docs: DataFrame, run: int = 3, min_words: int = 10) -> DataFrame:
@@ -116,8 +138,8 @@ def remove_repeats(docs: DataFrame, run: int = 3, min_words: int = 10) -> DataFr
                 kept, counts, removed = [], [], []
                 for text, places in zip(texts, part.column(2).to_pylist(), strict=True):
                     spans = sentences(text)
-                    size = min(run, len(spans))
-                    gone = sorted({p + k for p in places for k in range(size)})
+                    found = extents(spans, run, min_words)
+                    gone = sorted({k for p in places for k in range(*found[p])})
                     out, at, shown = [], 0, []
                     for g in gone:
                         a, b, _ = spans[g]

@@ -1,5 +1,7 @@
 """Operator 2 against a brute-force pass over all runs."""
 
+import random
+
 from quern.llm import spans
 
 PASSAGE = "Seven wise owls watch the road. They never sleep at night, so they say. In winter the river freezes over! Who would cross it then?"
@@ -45,3 +47,31 @@ def test_nulls_copies_and_empty(spark):
     got = spans.remove_repeats(docs).collect()
     assert [(r["doc_id"], r["text"]) for r in got] == [(None, "")] or all(r["text"] == "" for r in got)
     assert spans.remove_repeats(docs.where("doc_id = 9")).count() == 0
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    menu = "\n".join(f"dish{i}" for i in range(60))
+    tail = "A first sentence that alone has more than ten words in all of it.\nyes\nno\nso\nbe\nit"
+    han = "春眠不觉晓，处处闻啼鸟。夜来风雨声！花落知多少？床前明月光，疑是地上霜。"
+    thai = "กขคงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลว"
+    rows = []
+    for k, passage in enumerate((menu, tail, han, thai, "Low tide. Go.\nOne\ntwo\nthree four five six. Seven.")):
+        rows += [(10 * k, f"{passage}\n"), (10 * k + 1, f"Own words {k} before it.\n{passage}\nOwn words {k} after it."), (10 * k + 2, f"{passage}\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs).collect()}
+    for k in (0, 1, 2, 4):
+        assert got[10 * k + 1] == f"Own words {k} before it.\nOwn words {k} after it." and got[10 * k + 2] == "", k
+    assert got[32] == "" and not {0, 10, 20, 30, 40} & set(got)
+
+
+def test_every_sentence_of_a_long_enough_passage_lies_in_a_run():
+    rng = random.Random(3)
+    for _ in range(300):
+        passage = [(0, 0, rng.choice([1, 1, 2, 3, 12])) for _ in range(rng.randrange(3, 14))]
+        if sum(w for *_, w in passage) < 10:
+            continue
+        inside = spans.extents(passage, 3, 10)
+        before, after = ([(0, 0, rng.choice([1, 2, 9])) for _ in range(4)] for _ in range(2))
+        outside = {(a - 4, b - 4) for a, b in spans.extents(before + passage + after, 3, 10)}
+        assert {k for a, b in inside for k in range(a, b)} == set(range(len(passage)))
+        assert set(inside) <= outside
