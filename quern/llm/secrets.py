@@ -1,9 +1,11 @@
 """Secret scans: plain key patterns, and guess-cost estimation of values in credential contexts.
 
 Three base patterns (assignments, access keys, hex digests) are matched as they are. Beyond them, a value that follows a
-credential word (``pwd: ...``, ``passphrase is ...``) is a secret if guessing it is costly. Its cost is the cheapest
+credential word (``pwd: ...``, ``passphrase is ...``, ``DB_PASSWORD_2 := ...``, ``secret key: ...``) is a secret if
+guessing it is costly, whatever characters it has. A value that is itself a credential word with a separator and a value
+(``bearer token: ...``) gives way to the latter. Its cost is the cheapest
 segmentation, found by dynamic programming, into dictionary words (cost: rank in the corpus, which counts every word of
-every document), dates, repeats, keyboard walks, and brute force for the rest; segments add up on a log10 scale with a
+every document), dates, repeats (of up to ``MAX_WORD`` characters, any number of times), keyboard walks, and brute force for the rest; segments add up on a log10 scale with a
 small charge for each. ``8hunter2000`` is cheap, ``x9$Qv!7rT`` is not.
 
 Edge cases: a null text counts as empty. Rows are scanned each on their own. Values under ``MIN_VALUE`` characters are
@@ -26,10 +28,12 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)|pwd|pin|secret|token|(?:api|access|private|auth)[_-]?key|credentials?|bearer)["']?\s{0,4}(?:[:=]|=>|:=|\bis\b)?\s{0,4}["']?(?P<value>[^\s"'<>,;]+)""",
-    re.IGNORECASE | re.ASCII,
-)
+CREDENTIAL = re.compile(r"(?<![a-z0-9])(?:(?:api|access|private|auth|secret)[\s_-]?key|pass(?:word|wd|phrase|code)|pwd|pin|secret|token|credentials?|bearer)", re.IGNORECASE | re.ASCII)
+SEPARATOR = r"(?:\bis\b\s{0,4}(?::=|=>|->|=+|:+)?|:=|=>|->|=+|:+)"
+VALUE = r"""\s{0,4}["']?(?P<value>[^\s"'<>,;]+)"""
+#: What follows the credential word: the rest of its name and a separator, or else the value with or without one.
+NAMED = re.compile(rf"""s?(?:[_-][a-z0-9]+)*(?:\s{{1,4}}(?:keys?|values?|codes?|strings?|phrases?)\b)?["']?\s{{0,4}}{SEPARATOR}{VALUE}""", re.IGNORECASE | re.ASCII)
+PLAIN = re.compile(rf"""["']?\s{{0,4}}{SEPARATOR}?{VALUE}""", re.IGNORECASE | re.ASCII)
 HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "bearer")
 MIN_VALUE, MAX_WORD = 6, 24
 SEGMENT_COST = math.log10(2)
@@ -66,6 +70,11 @@ def brute_cost(c: str) -> float:
     return math.log10(33 if c.isascii() else 1000)
 
 
+def unit_cost(unit: str, ranks: dict[str, int]) -> float:
+    """log10 of the guesses of what a repeat repeats: brute force, or the rank of a word."""
+    return min(sum(map(brute_cost, unit)), math.log10(ranks[unit.lower()]) if unit.lower() in ranks else math.inf)
+
+
 def segment_cost(s: str, ranks: dict[str, int]) -> float:
     """log10 of the guesses that the cheapest single pattern for all of ``s`` takes; infinite where none fits."""
     best = math.inf
@@ -81,9 +90,8 @@ def segment_cost(s: str, ranks: dict[str, int]) -> float:
     if n >= 2:
         for unit in range(1, n // 2 + 1):
             if n % unit == 0 and s == s[:unit] * (n // unit):
-                inner = min(sum(map(brute_cost, s[:unit])), math.log10(ranks[low[:unit]]) if low[:unit] in ranks else math.inf)
+                inner = unit_cost(s[:unit], ranks)
                 best = min(best, inner + math.log10(n // unit))
-                break
     if n >= 3:
         if all(b in NEAR.get(a, ()) for a, b in zip(low, low[1:], strict=False)):
             turns = sum(low[i + 2] != low[i] and _step(low[i], low[i + 1]) != _step(low[i + 1], low[i + 2]) for i in range(n - 2))
@@ -102,19 +110,42 @@ def _step(a: str, b: str) -> tuple[int, int]:
 def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
     """log10 of the guesses of the cheapest segmentation of the whole value.
 
-    Every segmentation has a cut among any ``MAX_WORD`` consecutive places, so once the last ones all cost ``enough``
-    the whole does too; a lower bound that is at least ``enough`` is returned then, however long the value is.
+    Segments are of ``MAX_WORD`` characters at most, apart from repeats. Of those that end at a place with the same unit,
+    a later start that an earlier one has undercut never leads again, so a few starts stand for all. A segment that
+    passes ``end`` starts among the last ``MAX_WORD`` places or is a repeat that still runs; once the former all cost
+    ``enough``, and so do the starts and units of the latter, the whole does too, and a lower bound that is at least ``enough`` is returned, however long the value is.
     """
     best = [0.0]
+    same = [0] * (MAX_WORD + 1)  # by unit length: how many last characters equal those a unit before
+    running = [math.inf] * (MAX_WORD + 1)  # the least cost of start and unit among the repeats that these characters can be of
+    starts: list[dict[int, list[tuple[int, float]]]] = [{} for _ in same]
     for end in range(1, len(value) + 1):
         cost = best[end - 1] + brute_cost(value[end - 1])
         for start in range(max(0, end - MAX_WORD), end):
             one = segment_cost(value[start:end], ranks)
             if one < math.inf:
                 cost = min(cost, best[start] + one + SEGMENT_COST)
+        for unit in range(1, min(MAX_WORD, end - 1) + 1):
+            if value[end - 1] != value[end - 1 - unit]:
+                if same[unit]:
+                    same[unit], running[unit] = 0, math.inf
+                    starts[unit].clear()
+                continue
+            same[unit] += 1
+            running[unit] = min(running[unit], best[end - 1 - unit] + unit_cost(value[end - 1 - unit : end - 1], ranks))
+            if same[unit] < unit:
+                continue
+            start, kept, least = end - 2 * unit, [], math.inf
+            for a, before in [*starts[unit].get(end % unit, ()), (start, best[start] + unit_cost(value[start : start + unit], ranks))]:
+                one = before + math.log10((end - a) // unit)
+                if one < least:
+                    kept.append((a, before))
+                    least = one
+            starts[unit][end % unit] = kept
+            cost = min(cost, least + SEGMENT_COST)
         best.append(cost)
-        if cost >= enough and min(best[-MAX_WORD:]) >= enough:
-            return min(best[-MAX_WORD:])
+        if cost >= enough and (low := min(*best[-(MAX_WORD + 1) :], *running)) >= enough:
+            return low
     return best[-1]
 
 
@@ -156,16 +187,23 @@ def guessed_spans(text: str, ranks: dict[str, int], base: list[tuple[int, int, i
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        value = m["value"].rstrip(".:!?)]}")
-        start, end = m.start("value"), m.start("value") + len(value)
-        if len(value) < MIN_VALUE or value.isalpha() and value.islower():
-            continue
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        if guess_cost(value, ranks, least) >= least:
-            found.append((start, 3, end))
+    found: list[tuple[int, int, int]] = []
+    for word in CREDENTIAL.finditer(text):
+        named, plain = NAMED.match(text, word.end()), PLAIN.match(text, word.end())
+        if named and plain and plain.end() > named.start("value"):
+            plain = None
+        for m in (plain, named):
+            if not m:
+                continue
+            value = m["value"].rstrip(".:!?)]}")
+            start, end = m.start("value"), m.start("value") + len(value)
+            if len(value) < MIN_VALUE or any(s < end and start < e for s, _, e in [*base, *found[-2:]]):
+                continue
+            inner = CREDENTIAL.match(text, start)
+            if inner and NAMED.match(text, inner.end()):
+                continue
+            if guess_cost(value, ranks, least) >= least:
+                found.append((start, 3, end))
     return found
 
 

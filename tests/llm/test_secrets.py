@@ -79,3 +79,28 @@ def test_rows(spark):
         assert by[i][5] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in brute_base(t))
     assert (7, 0, 0, 0, 1, "", "guess:5:15") in got and (8, 0, 0, 0, 0, "", "") in got and (7, 0, 0, 0, 1, "", "guess:14:26") in got
     assert secrets.find_secrets(docs.where("doc_id = 99")).count() == 0
+
+
+def test_names_and_separators_around_a_value():
+    for text, value in (
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY"),
+        *((t.replace("V", "x9$Qv!7rT"), "x9$Qv!7rT") for t in ("DB_PASSWORD=V", "db_pwd: V", "DB-PASSWORD_PROD = V", "password := V", "password is: V", "token => V", "secret key: V", "bearer token: V", "secret: token: V", "api key: V")),
+        ("passphrase: qzxvkjwpfhmqzr", "qzxvkjwpfhmqzr"),
+        ("token_x9Qv7rTz is fine", "_x9Qv7rTz"),
+    ):
+        at = text.index(value)
+        assert secrets.guessed_spans(text, RANKS, [], 8.0) == [(at, 3, at + len(value))], text
+    for text in ("password := dragon1999", "TOKEN_MONKEY=password", "bearer token: dragon", "pin is: the"):
+        assert secrets.guessed_spans(text, RANKS, [], 8.0) == [], text
+
+
+def test_repeats_of_any_length():
+    assert math.isclose(secrets.guess_cost("a" * 500, RANKS), math.log10(26) + math.log10(500) + secrets.SEGMENT_COST)
+    assert secrets.guess_cost("dragon" * 90 + "1999", RANKS) < 8 and secrets.guessed_spans("pwd: " + "-" * 300, RANKS, [], 8.0) == []
+    rng = random.Random(9)
+    for _ in range(30):
+        value = "".join(rng.choice(["a", "ab", "the", "x"]) * rng.randrange(1, 6) for _ in range(rng.randrange(1, 4)))[:10]
+        assert math.isclose(secrets.guess_cost(value, RANKS), min(all_costs(value))), value
+    for value in ("x9$Qv!7rTz" + "ab" * 100, "ab" * 60 + "x9$Qv!7rTz", "a" * 100 + "b" * 100, "the1" * 30 + "ab" * 30):
+        for enough in (2.0, 5.0, 8.0, 15.0):
+            assert (secrets.guess_cost(value, RANKS, enough) >= enough) == (secrets.guess_cost(value, RANKS) >= enough), (value, enough)
