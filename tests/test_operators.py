@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import answers, chat, dedup, examples, graph, mixing, monitor, retrieval, stats, tokenize
 from quern.plans import pipeline
+from quern.plans.registry import QUERIES
 from quern.sources import tables
 
 SENTENCES = ["the quick brown fox jumps over the lazy dog near the river bank on a sunny day in june", "a completely different text about cooking pasta with tomato sauce and fresh basil leaves", "short one"]
@@ -105,6 +106,11 @@ def test_index_recall(spark):
     assert found.agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_index_recall_on_the_test_tables(spark):
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        assert QUERIES["approximate_topk_recall"](spark, sf).agg(F.avg("recall")).first()[0] >= 0.9, sf
+
+
 def test_rerank_input(spark):
     r = one(spark, retrieval.rerank_input(F.lit([7, 8]), F.lit([9] * 10), 8))
     assert r["ids"] == [1, 7, 8, 2, 9, 9, 9, 2] and r["segments"] == [0, 0, 0, 0, 1, 1, 1, 1] and sum(r["mask"]) == 8
