@@ -110,6 +110,12 @@ def term_contributions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(retrieval.bm25_terms(read(spark, sf, "documents"), items), 5)
 
 
+@query()
+def term_contributions_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item is a query."""
+    return rounded(retrieval.bm25_terms(read(spark, sf, "documents"), read(spark, sf, "benchmark")), 5)
+
+
 @query()
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.hybrid(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
@@ -444,3 +450,9 @@ def mlm_examples(spark: SparkSession, sf: str) -> DataFrame:
 def utf8_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Of the short documents, a stated selection by length."""
     return read(spark, sf, "documents").where("n_chars < 200").select("doc_id", tokenize.utf8(F.col("text")).alias("bytes"))
+
+
+@query()
+def utf8_bytes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every document."""
+    return read(spark, sf, "documents").select("doc_id", tokenize.utf8(F.col("text")).alias("bytes"))
