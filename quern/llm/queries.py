@@ -97,7 +97,7 @@ ruled as (
               when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
   from keyed left join listed on keyed.url_key = listed.url_key)
 select page_id, host, path, rule,
-       case when rule in ('org/', 'example.org/en/1', 'com/fr/') then 'allow'
+       case when rule in ('org/', 'com/fr/') then 'allow'
             when rule is not null then 'block'
             when is_listed then 'block' else 'allow' end as verdict,
        is_listed

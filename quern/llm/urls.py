@@ -7,7 +7,7 @@ joined by block number: by broadcast while its size, which is known, is within `
 Only URLs whose bits are all set go on to the exact hash join, which removes the false positives.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no rule and is not listed. Repeated rows are
-judged each on their own. An empty list blocks nothing.
+judged each on their own. An empty list blocks nothing. Other columns of the pages are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULES = (("allow", "org/"), ("block", "example.org/es/"), ("allow", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 WORDS, BITS_PER_URL = 4, 16
 

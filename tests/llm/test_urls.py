@@ -53,3 +53,30 @@ def test_filter_is_exact(spark):
     listed = spark.range(0, 5000, 7).selectExpr("concat('https://www.h', id, '.net/p/') as url")
     hit = urls.judge(many, listed).where("is_listed")
     assert hit.count() == 715 and hit.where("page_id % 7 <> 0").count() == 0
+
+
+def test_the_rules_as_the_contract_writes_them(spark):
+    want = {
+        "http://example.org/en/1": ("example.org/en/1", "block"),
+        "http://example.org/en/1x": ("example.org/en/1", "block"),
+        "http://Sub.Example.org/en/12?q": ("example.org/en/1", "block"),
+        "http://example.org/en/2": ("org/", "allow"),
+        "http://example.org/en/": ("org/", "allow"),
+        "http://example.org/es/x": ("example.org/es/", "block"),
+        "http://example.org/es": ("org/", "allow"),
+        "http://example.org": (None, "allow"),
+        "http://other.org/es/x": ("org/", "allow"),
+        "http://a.com/fr/x": ("com/fr/", "allow"),
+        "http://com/de/x": ("com/de/", "block"),
+        "http://a.com/en/x": (None, "allow"),
+        "http://acom/de/x": (None, "allow"),
+    }
+    # columns that the operator uses inside must not clash with those of the pages
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(want)], "page_id long, url string, host string, url_key string")
+    nothing = spark.createDataFrame([], "url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, nothing).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+    again = urls.judge(pages.unionAll(pages), nothing).collect()
+    assert len(again) == 2 * len(want)
+    long_url = spark.createDataFrame([(1, "http://a.com/de/" + "x" * 300_000)], "page_id long, url string")
+    assert urls.judge(long_url, nothing).first()["verdict"] == "block"
