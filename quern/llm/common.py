@@ -21,9 +21,15 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one temporary folder a process only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a local session gets one temporary folder a process; on a cluster, whose executors
+    would each write to their own disk, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="quern-"))
         found = _OWN[0]
@@ -35,7 +41,15 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that no later plan reads, as a loop does with its earlier rounds."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quern_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def crc_mod(column: str, n: int) -> Column:
