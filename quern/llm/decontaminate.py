@@ -6,9 +6,12 @@ Aho-Corasick automaton, each document is read once, and every piece hit names a
 Windows of one item that overlap are merged, and each is verified with Myers' bit-parallel edit distance.
 
 Texts are compared in lower case with runs of white space as one space; offsets count characters of that form.
-Edge cases: a null or empty document has no hit; items that are null, or shorter than ``min_chars`` so normalised, are
-not searched, since they occur in clean text; repeated items share one search and each is reported; repeated
-documents are each reported.
+Items of under ``min_chars`` characters have no budget: they are searched exactly, and as whole words where their script
+puts spaces between words, since ``can`` is no leak in ``candle``.
+
+Edge cases: a null or empty document has no hit; null items, and those without a character but white space, are not
+searched; repeated items share one search and each is reported; repeated documents are each reported. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import blocks
+from quern.llm.spans import LETTER as UNSPACED
 
 ERROR_RATE = 0.08
 MIN_CHARS = 20
@@ -57,6 +61,15 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def is_whole(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither starts nor ends inside a word of a script that puts spaces between words."""
+
+    def joined(a: str, b: str) -> bool:
+        return a.isalnum() and b.isalnum() and not UNSPACED.search(a + b)
+
+    return not (start > 0 and joined(text[start - 1], text[start]) or end < len(text) and joined(text[end - 1], text[end]))
+
+
 def masks_of(pattern: str) -> dict[str, int]:
     out: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -67,9 +80,10 @@ def masks_of(pattern: str) -> dict[str, int]:
 class ItemMatcher:
     """Automaton of the pieces of ``items`` and the patterns that verify a hit."""
 
-    def __init__(self, items: list[str], error_rate: float = ERROR_RATE):
+    def __init__(self, items: list[str], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
         self.items = items
-        self.budget = [int(len(t) * error_rate) for t in items]
+        self.short = [len(t) < min_chars for t in items]
+        self.budget = [0 if short else int(len(t) * error_rate) for t, short in zip(items, self.short, strict=True)]
         self.forward: dict[int, dict[str, int]] = {}
         self.backward: dict[int, dict[str, int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -87,7 +101,8 @@ class ItemMatcher:
         found: dict[int, list[int]] = defaultdict(list)
         for end, (size, places) in self.automaton.iter(text):
             for n, offset in places:
-                found[n].append(end - size + 1 - offset)
+                if not self.short[n] or is_whole(text, end - size + 1, end + 1):
+                    found[n].append(end - size + 1 - offset)
         for n, diagonals in found.items():
             m, k = len(self.items[n]), self.budget[n]
             diagonals.sort()
@@ -122,59 +137,62 @@ class ItemMatcher:
             yield (n, *best[n])
 
 
-def _distinct_items(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[int]]]]:
-    """The items in blocks of at most about ``block_chars`` characters: normalised text and the ids that carry it."""
-    known = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = known.agg(F.sum(F.char_length("text"))).first()[0] or 0
+def _known(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
+def _distinct_items(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, int]]]:
+    """The distinct item texts in blocks of about ``block_chars`` characters: normalised text and its smallest id."""
+    distinct = _known(benchmark).groupBy("text").agg(F.min("item_id").alias("first_id"))
+    total = distinct.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = int(total // block_chars) + 1
     for b in range(n):
-        ids: dict[str, set[int]] = defaultdict(set)
-        for row in known.where(F.pmod(F.xxhash64(F.lower("text")), F.lit(n)) == b).collect():
-            ids[normal(row["text"])].add(row["item_id"])
-        yield sorted((t, sorted(x)) for t, x in ids.items())
+        rows = distinct.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()
+        yield sorted((t, row["first_id"]) for row in rows if (t := normal(row["text"])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = 4_000_000) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance``, ``start_pos``, ``end_pos``: the best occurrence of each item in each document.
 
-    The test items are the stated query set: they are taken in blocks of at most ``block_chars`` characters, one pass
-    over the documents for each block, so neither driver nor task holds more than a block.
+    The test items are the stated query set: their distinct texts are taken in blocks of at most ``block_chars``
+    characters, one pass over the documents for each block, so neither driver nor task holds more than a block. The ids
+    that share a text meet its hits in a join at the end.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, item_id long, distance int, start_pos long, end_pos long"
+    schema = f"doc_id {id_type}, first_id long, distance int, start_pos long, end_pos long"
     out = None
-    for block in _distinct_items(benchmark, block_chars):
-        searched = [(t, ids) for t, ids in block if len(t) >= min_chars]
+    for searched in _distinct_items(benchmark, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], searched: list = searched) -> Iterator[pa.RecordBatch]:
-            matcher = ItemMatcher([t for t, _ in searched], error_rate) if searched else None
+            matcher = ItemMatcher([t for t, _ in searched], error_rate, min_chars) if searched else None
             for batch in batches:
                 for part, texts in blocks(batch, "text"):
                     rows, found = [], []
                     for i, text in enumerate(texts):
                         for n, *place in matcher.matches(normal(text)) if matcher else ():
-                            for item in searched[n][1]:
-                                rows.append(i)
-                                found.append((item, *place))
+                            rows.append(i)
+                            found.append((searched[n][1], *place))
                     columns = list(zip(*found, strict=True)) or [[]] * 4
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                        names=["doc_id", "item_id", "distance", "start_pos", "end_pos"],
+                        names=["doc_id", "first_id", "distance", "start_pos", "end_pos"],
                     )
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
-    return out
+    members = _known(benchmark).distinct()
+    members = members.join(members.groupBy("text").agg(F.min("item_id").alias("first_id")), "text").select("first_id", "item_id")
+    return out.join(members, "first_id").select("doc_id", "item_id", "distance", "start_pos", "end_pos")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = 4_000_000) -> DataFrame:
     """``docs``, all columns, without the rows that hold a test item within its edit budget; no join, no shuffle."""
     for block in _distinct_items(benchmark, block_chars):
-        searched = [t for t, _ in block if len(t) >= min_chars]
+        searched = [t for t, _ in block]
 
         def run(batches: Iterator[pa.RecordBatch], searched: list = searched) -> Iterator[pa.RecordBatch]:
-            matcher = ItemMatcher(searched, error_rate) if searched else None
+            matcher = ItemMatcher(searched, error_rate, min_chars) if searched else None
             for batch in batches:
                 for part, texts in blocks(batch, "text"):
                     clean = [matcher is None or next(matcher.matches(normal(t)), None) is None for t in texts]

@@ -6,13 +6,13 @@ The UTF-8 bytes of a text run through two gated recurrent layers, one forward an
 softmax over both states, and a document's probabilities are the mean over all its positions. The network is trained in
 numpy by backpropagation through time on the position labels, from a bounded sample of documents.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text where nothing was learned.
-Repeated rows are labelled each on their own. Whole texts are read.
+Edge cases: a null text, or one without a letter (``½`` and ``²`` are none), is ``und`` with score 0; so is every text
+where nothing was learned. Repeated rows are labelled each on their own. Whole texts are read, and no other column,
+whatever its name. Only learning is bounded: texts of over ``max_chars`` characters are not taken into the sample.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +25,6 @@ from quern.llm.common import blocks, crc_mod
 
 WINDOW = 64
 PAD = 256
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -192,14 +191,16 @@ def train(texts: list[str], langs: list[str], hidden: int = 8, epochs: int = 6,
     return net
 
 
-def labelled_sample(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 0), per_lang: int = 250) -> tuple[list[str], list[str]]:
-    """At most ``per_lang`` texts of each language, by hash order of the id, none from the held-out remainder."""
+def labelled_sample(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 0), per_lang: int = 250, max_chars: int = 200_000) -> tuple[list[str], list[str]]:
+    """At most ``per_lang`` texts of each language, of at most ``max_chars`` characters each, by hash order of the id, none
+    from the held-out remainder; so rows and bytes that reach the driver are bounded."""
     n, remainder = held_out_mod
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", n) != remainder))
+    known = docs.where(F.col("lang").isNotNull() & (F.char_length("text") <= max_chars) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", n) != remainder))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id", "lang")
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).toPandas()
-    rows = rows.sort_values(["lang", "doc_id", "text"], kind="stable").drop_duplicates(["doc_id", "lang"])
+    # an id that repeats sends one of its texts only, the first in order
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
+    rows = rows.sort_values(["lang", "doc_id"], kind="stable")
     return rows["text"].tolist(), rows["lang"].tolist()
 
 
@@ -230,7 +231,7 @@ def identify(docs: DataFrame, net: ByteNetwork) -> DataFrame:
                     p = document_probabilities(net, texts)
                     best = p.argmax(axis=1)
                     for i, text in enumerate(texts):
-                        if LETTER.search(text):
+                        if any(map(str.isalpha, text)):
                             names[i], scores[i] = net.langs[best[i]], min(1.0, float(p[i, best[i]]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -8,7 +8,9 @@ are pooled to a document score by a small logistic model, and words whose margin
 offsets.
 
 Edge cases: a null or empty text, or one without a word, has no marginals; its score is that of zero toxic words.
-Without labelled rows of both classes every score is 0. Repeated rows and ids are scored each on their own.
+Without labelled rows of both classes every score is 0. Repeated rows and ids are scored each on their own. Only learning
+is bounded: texts of over ``max_chars`` characters are not taken into the sample. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -198,8 +200,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30) -> ToxicField:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, int] = (3, 1), max_toxic: int = 400, max_clean: int = 1600) -> tuple[list[str], list[int]]:
-    """At most ``max_toxic`` and ``max_clean`` whole labelled texts, by hash order, none from the held-out remainder."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, int] = (3, 1), max_toxic: int = 400, max_clean: int = 1600, max_chars: int = 200_000) -> tuple[list[str], list[int]]:
+    """At most ``max_toxic`` and ``max_clean`` whole labelled texts of at most ``max_chars`` characters each, by hash
+    order, none from the held-out remainder; so rows and bytes that reach the driver are bounded."""
     from quern.llm.common import crc_mod
 
     n, remainder = held_out_mod
@@ -207,8 +210,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int,
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     picked = [marks.where(F.col("toxic") == k).orderBy("order", "doc_id").limit(n) for k, n in ((0, max_clean), (1, max_toxic))]
     chosen = picked[0].unionAll(picked[1]).select("doc_id", "toxic")
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * (max_toxic + max_clean)).toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
+    known = docs.where(F.char_length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id that repeats sends one of its texts only, the first in order
+    rows = known.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id"], kind="stable")
     return rows["text"].tolist(), rows["toxic"].astype(int).tolist()
 
 

@@ -57,3 +57,25 @@ def test_every_occurrence_within_budget_is_found(spark):
     assert kept == {99} | {i for i in want if not want[i]}
     assert D.contaminated(table, benchmark.where("item_id = 77")).count() == 0
     assert D.contaminated(table.where("doc_id = -1"), benchmark).count() == 0
+
+
+def test_short_items_are_searched_exactly(spark):
+    items = [(1, "Can"), (2, "blue whale"), (3, "漢字"), (4, "  "), (5, None), (6, "can"), (6, "can")]
+    texts = ["a candle", "yes we CAN", "can", "the blue\n whale swims", "the blue whales", "かな漢字かな", "blue whal", None, ""]
+    want = {1: {1, 6}, 2: {1, 6}, 3: {2}, 5: {3}}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)], "doc_id long, text string, first_id int, item_id int")
+    got = {}
+    for r in D.contaminated(docs.unionAll(docs), benchmark).collect():
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+    assert got == want
+    assert sorted(r["doc_id"] for r in D.drop_contaminated(docs, benchmark).collect()) == [i for i in range(len(texts)) if i not in want]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    item = " ".join(rng.choice(WORDS) for _ in range(15))
+    body = " ".join(rng.choice(WORDS) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, body + " " + item), (2, body[: len(body) // 2] + " qqqq " + edited(rng, item, 3) + " zz")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"]: r["distance"] for r in D.contaminated(docs, benchmark).collect()}.keys() == {1, 2}

@@ -66,3 +66,39 @@ def test_nothing_to_learn(spark):
     model = X.fit(*X.labelled_sample(docs, labels))
     assert {r["score"] for r in X.score_toxicity(docs, model).collect()} == {0.0}
     assert X.score_toxicity(docs.where("doc_id = 9"), model).count() == 0
+
+
+def test_edges(spark):
+    rows = list(corpus(400, 2))
+    long_text = " ".join([*WORDS] * 20_000) + " grob snarklona"
+    docs = spark.createDataFrame([*((i, t, 0.5, "s") for i, t, _ in rows), (900, long_text, 0.5, "s"), (901, rows[0][1], 0.5, "s"), (901, rows[0][1], 0.5, "s")], "doc_id long, text string, score double, spans string")
+    labels = spark.createDataFrame([*((i, y) for i, _, y in rows), (900, 1), (0, rows[0][2]), (0, rows[0][2])], "doc_id long, toxic int")
+    texts, ys = X.labelled_sample(docs.unionAll(docs.where("doc_id < 5")), labels)
+    assert len(texts) == len(ys) <= 400 and max(map(len, texts)) <= 200_000
+    model = X.fit(texts, ys)
+    got = {}
+    for r in X.score_toxicity(docs, model).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert len(got[901]) == 2 and got[901][0]["score"] == got[901][1]["score"] == got[0][0]["score"]
+    spans = [tuple(map(int, s.split(":"))) for s in got[900][0]["spans"].split(",")]
+    assert [long_text[a:b] for a, b in spans] == ["grob", "snarklona"]
+    assert X.reject_toxic(docs, model).columns == docs.columns
+
+
+def test_pooling_against_a_plain_loop():
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 0, 5])
+    p = rng.random(8)
+    got, at = X.pooled(p, lengths), 0
+    for row, n in zip(got, lengths):
+        part = p[at : at + n]
+        at += n
+        want = [1.0, max(part, default=0.0), math.log1p(part.sum()), math.log1p(100 * part.sum() / max(n, 1))]
+        assert np.allclose(row, want)
+
+
+def test_tags_are_tied_features_of_toxic_documents():
+    texts = [["aaa", "bad"]] * 6 + [["aaa", "bbb"]] * 30
+    texts = [[*t, f"z{i}q"] for i, t in enumerate(texts)]
+    strong = X.tie_strength(texts, np.array([1] * 6 + [0] * 30))
+    assert {f for f in strong if f.startswith("w")} == {"wbad"}
