@@ -1,7 +1,8 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the matches of four plain patterns (email, ip, card, phone). Every word that holds a digit or an ``@`` is an
-instance, and the one or two words to its left, on the same or the line before, are its lexical patterns. Patterns and
+instance, and the one or two words to its left, back to the instance before it and however long, are its lexical
+patterns. Patterns and
 instances form a bipartite graph: a pattern scores the mean of its distinct instances, an instance the best of its
 patterns, seeds stay at 1, and the two steps alternate. Patterns of high score that at least ``min_seeds`` distinct
 seeds support then mark the other instances they introduce as identifiers of kind ``context``.
@@ -10,8 +11,11 @@ Regular expressions give no offsets in Spark SQL, so the text is both split at a
 lengths of the parts, summed over a window, are the offsets (code points). The written patterns are unrolled and
 possessive forms that match the same strings as the contract's in linear time and without recursion.
 
+A pattern that very many instances share is a hot key only on the side of the edges; it is dealt over ``SALT`` tasks, and
+the few patterns that can score are sent to each of them.
+
 Edge cases: a null text counts as empty and has no span. Rows that repeat an id are scanned each on their own. All
-texts are read whole.
+texts are read whole. Other columns pass through ``redact`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import durable
 
+SALT = 32
 KINDS = ("email", "ip", "card", "phone", "context")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -31,12 +36,18 @@ PATTERNS = {
 INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 
-def _hits(text: Column, pattern: str) -> Column:
-    """Array of (skip, hit, left): characters before the hit since the last one, the hit, the end of what precedes it."""
+def _left_words(before: Column) -> Column:
+    """The last two words of ``before``, or one, with the white space behind them; linear, since it reads backwards."""
+    return F.lower(F.reverse(F.regexp_extract(F.reverse(before), r"^\s*+\S++(?:\s++\S++)?+", 0)))
+
+
+def _hits(text: Column, pattern: str, left: bool = False) -> Column:
+    """Array of (skip, hit, left): characters before the hit since the last one, the hit, and the words to its left if
+    they are wanted."""
     parts = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda p, h: F.struct(F.char_length(p).cast("long").alias("skip"), h.alias("hit"), F.lower(F.substring(p, -64, 64)).alias("left")),
+        lambda p, h: F.struct(F.char_length(p).cast("long").alias("skip"), h.alias("hit"), (_left_words(p) if left else F.lit("")).alias("left")),
     )
     return F.filter(parts, lambda x: x["hit"].isNotNull())
 
@@ -72,7 +83,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     none = F.filter(_hits(F.lit(""), "x"), lambda _: F.lit(False))
     digits, at = F.col("text").rlike("[0-9]"), F.col("text").contains("@")
     wanted = {"email": at, "ip": digits, "card": digits, "phone": digits, "instance": digits | at}
-    arrays = [F.when(wanted[k], _hits(text, PATTERNS.get(k, INSTANCE))).otherwise(none).alias(f"found_{k}") for k in wanted]
+    arrays = [F.when(wanted[k], _hits(text, PATTERNS.get(k, INSTANCE), k == "instance")).otherwise(none).alias(f"found_{k}") for k in wanted]
     return durable(docs.select(F.monotonically_increasing_id().alias("row_key"), *keep, *arrays))
 
 
@@ -88,6 +99,25 @@ def places(scanned: DataFrame) -> DataFrame:
     return rows.withColumn("size", size).withColumn("end", end).select("row_key", "kind", "hit", "left", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
+def _salted(many: DataFrame, few: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """Join by ``pattern`` and a salt: rows of ``many`` take it from ``spread``, each row of ``few`` is there for all."""
+    salted = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALT)))
+    copies = few.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALT)])))
+    return salted.join(copies, ["pattern", "salt"], how).drop("salt")
+
+
+def pattern_scores(edges: DataFrame, instances: DataFrame) -> DataFrame:
+    """``pattern``, ``score`` (mean of its distinct instances) and ``seeds``, how many of them are seeds."""
+    return edges.join(instances, "instance").groupBy("pattern").agg(F.avg("score").alias("score"), F.sum("seed").alias("seeds"))
+
+
+def instance_scores(edges: DataFrame, patterns: DataFrame, min_seeds: int) -> DataFrame:
+    """``instance`` and ``score``: 1 for a seed, else the best of its patterns that enough seeds support, else 0."""
+    good = patterns.where((F.col("seeds") >= min_seeds) & (F.col("score") > 0)).select("pattern", F.col("score").alias("p_score"))
+    best = F.max(F.coalesce("p_score", F.lit(0.0)))
+    return _salted(edges, good, "instance", "left").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), best).alias("score"))
+
+
 def find_spans(scanned: DataFrame, rounds: int = 3, threshold: float = 0.8, min_seeds: int = 3) -> DataFrame:
     """``row_key``, ``kind``, ``start``, ``end``: base spans and those that high-confidence patterns discover."""
     found = durable(places(scanned).where(_holds(F.col("kind"), F.col("hit"))))
@@ -103,7 +133,7 @@ def find_spans(scanned: DataFrame, rounds: int = 3, threshold: float = 0.8, min_
     reach = F.max(F.when(F.col("is_word") == 0, F.col("end"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.min(F.when(F.col("is_word") == 0, F.col("start"))).over(along.rowsBetween(1, Window.unboundedFollowing))
     seed = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("ahead") < F.col("end"), F.lit(False))
-    left = F.trim(F.regexp_replace(F.regexp_extract("left", r"(?:\S+\s+)?\S+\s*$", 0), r"\s+", " "))
+    left = F.trim(F.regexp_replace("left", r"\s+", " "))
     words = (
         both.withColumn("reach", reach).withColumn("ahead", ahead).where("is_word = 1")
         .select("row_key", "start", "end", seed.cast("int").alias("seed"), F.xxhash64("hit").alias("instance"), left.alias("left"), F.length(F.regexp_replace("hit", r"[^\p{L}\p{N}]", "")).alias("signs"))
@@ -115,11 +145,10 @@ def find_spans(scanned: DataFrame, rounds: int = 3, threshold: float = 0.8, min_
     instances = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
     patterns = None
     for _ in range(rounds):
-        patterns = edges.join(instances, "instance").groupBy("pattern").agg(F.avg("score").alias("score"), F.sum("seed").alias("seeds"))
-        good = patterns.select("pattern", F.when(F.col("seeds") >= min_seeds, F.col("score")).otherwise(0.0).alias("p_score"))
-        instances = edges.join(good, "pattern").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), F.max("p_score")).alias("score"))
+        patterns = pattern_scores(edges, instances)
+        instances = instance_scores(edges, patterns, min_seeds)
     sure = patterns.where((F.col("seeds") >= min_seeds) & (F.col("score") >= threshold)).select("pattern")
-    new = words.where("seed = 0 and signs >= 4").join(sure, "pattern").select("row_key", F.lit("context").alias("kind"), "start", "end").distinct()
+    new = _salted(words.where("seed = 0 and signs >= 4"), sure, "start").select("row_key", F.lit("context").alias("kind"), "start", "end").distinct()
     return base.select("row_key", "kind", "start", "end").unionAll(new)
 
 

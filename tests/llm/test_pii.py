@@ -78,3 +78,35 @@ def test_empty_table(spark):
     assert pii.redact(docs).count() == 0
 
 
+
+
+def test_scores_against_brute_force(spark):
+    rng = __import__("random").Random(3)
+    edges = sorted({(f"p{min(rng.randrange(12), rng.randrange(12))}", rng.randrange(40)) for _ in range(150)})
+    seeds = {i for i in range(40) if rng.random() < 0.4}
+    table = spark.createDataFrame([(p, i, int(i in seeds)) for p, i in edges], "pattern string, instance long, seed int")
+    score = {i: float(i in seeds) for _, i in edges}
+    for _ in range(3):
+        patterns = {}
+        for p, _ in edges:
+            mine = [i for q, i in edges if q == p]
+            patterns[p] = (sum(score[i] for i in mine) / len(mine), sum(i in seeds for i in mine))
+        new = {}
+        for i in score:
+            new[i] = max([float(i in seeds), *(patterns[p][0] for p, j in edges if j == i and patterns[p][1] >= 3)])
+        got = {r["pattern"]: (r["score"], r["seeds"]) for r in pii.pattern_scores(table, spark.createDataFrame(list(score.items()), "instance long, score double")).collect()}
+        assert got.keys() == patterns.keys() and all(abs(got[p][0] - patterns[p][0]) < 1e-9 and got[p][1] == patterns[p][1] for p in got)
+        scored = spark.createDataFrame([(p, *v) for p, v in patterns.items()], "pattern string, score double, seeds long")
+        found = {r["instance"]: r["score"] for r in pii.instance_scores(table, scored, 3).collect()}
+        assert found.keys() == new.keys() and all(abs(found[i] - new[i]) < 1e-9 for i in new)
+        score = new
+
+
+def test_long_words_on_the_left(spark):
+    name = "Identifier-of-the-registered-account-holder-in-the-central-records:" + "x" * 100
+    rows = [(i, f"text. {name} user{i}@mail.example.com end") for i in range(6)] + [(10, f"text. {name} handle-99x77 end"), (11, f"text. {name[:-1]}y handle-99x77 end")]
+    docs = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], "doc_id long, text string, kind string, pattern string, found_email int")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    assert got[10] == f"context:{rows[6][1].index('handle')}:{rows[6][1].index(' end')}" and got[11] == ""
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and out.count() == 8
