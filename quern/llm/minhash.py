@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 BITS = 8
 WALK = 12
+#: Text of a range of ids that one task compares; the number of ranges follows from it, so tasks don't grow with the table.
+LOT_BYTES = 256 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -118,7 +120,9 @@ def with_next(docs: DataFrame, columns: list[str], lots: int) -> DataFrame:
 def compare_with_edits(docs: DataFrame, n_bins: int = 256, lots: int | None = None) -> DataFrame:
     """Fingerprint of every text and of its edited text, and their likeness to each other and to the next document."""
     spark = docs.sparkSession
-    lots = lots or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if lots is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        lots = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LOT_BYTES))
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bins(F.col("text"), n_bins).alias("low"))
     near = with_next(marked, ["text", "low"], lots)
     n = F.char_length("text")

@@ -8,7 +8,10 @@ segmentation, found by dynamic programming, into dictionary words (cost: rank in
 every document), dates, repeats (of up to ``MAX_WORD`` characters, any number of times), keyboard walks, and brute force for the rest; segments add up on a log10 scale with a
 small charge for each. ``8hunter2000`` is cheap, ``x9$Qv!7rT`` is not.
 
-Edge cases: a null text counts as empty. Rows are scanned each on their own. Values under ``MIN_VALUE`` characters are
+The dictionary holds the ``top_words`` most frequent words and no more on purpose: secrets are part of the corpus too, so
+a dictionary of all its words would list every secret of plain letters as a word.
+
+Edge cases: a null text counts as empty. Rows are scanned each on their own, and other columns are not read. Values under ``MIN_VALUE`` characters are
 no secrets; those of any greater length are judged whole. Offsets count code points.
 """
 

@@ -8,14 +8,14 @@ has ``run`` sentences and ``min_words`` words lies in a run within the passage.
 anywhere in the corpus, is a repeat. Its first occurrence, by document id and place, stays, and sentences that any other
 occurrence covers are removed.
 
-Only hashes travel: (hash, document, place) is shuffled once to find the first occurrence of each hash, by a minimum
+Only hashes travel (96 bits of a 128-bit hash, so that chance finds no repeat at any size): (hash, document, place) is shuffled once to find the first occurrence of each hash, by a minimum
 that is pre-aggregated, and once to tell the other occurrences, by a join in which a frequent hash is a skewed key
 that adaptive execution splits. Texts are read again only where something is removed.
 
 Sentences are compared with case and white space folded. Edge cases: null and empty texts have no runs; a text of fewer
 than ``run`` sentences is one run if it has ``min_words`` words, so short copies count; a text of fewer words has none. Rows that repeat an id with
 another text are separate occurrences in the order of their texts' hashes; identical rows count as one document and are
-treated alike. Rows with a null id come last.
+treated alike. Rows with a null id come last. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,16 +87,16 @@ def extents(cut: list[tuple[int, int, int]], run: int, min_words: int) -> list[t
     return sorted(found)
 
 
-def runs(text: str, run: int, min_words: int) -> list[tuple[int, int]]:
-    """(number of the run among the text's ``extents``, hash) of each run."""
+def runs(text: str, run: int, min_words: int) -> list[tuple[int, bytes]]:
+    """(number of the run among the text's ``extents``, 16-byte hash) of each run."""
     cut = sentences(text)
-    hashes = [xxhash.xxh64_intdigest(" ".join(text[a:b].lower().split())) for a, b, _ in cut]
-    packed = np.array(hashes, np.uint64).tobytes()
-    return [(i, xxhash.xxh64_intdigest(packed[8 * a : 8 * b])) for i, (a, b) in enumerate(extents(cut, run, min_words))]
+    packed = b"".join(xxhash.xxh3_128_digest(" ".join(text[a:b].lower().split())) for a, b, _ in cut)
+    return [(i, xxhash.xxh3_128_digest(packed[16 * a : 16 * b])) for i, (a, b) in enumerate(extents(cut, run, min_words))]
 
 
 def run_table(docs: DataFrame, run: int = 3, min_words: int = 10) -> DataFrame:
-    """``row_key``, ``doc_id``, ``place``, ``hash`` of every run; one Arrow pass, written to the shared folder."""
+    """``row_key``, ``doc_id``, ``place``, ``hash`` and ``check`` (its next 32 bits) of every run; one Arrow pass, written
+    to the shared folder."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,18 +108,20 @@ def run_table(docs: DataFrame, run: int = 3, min_words: int = 10) -> DataFrame:
                         places.append(place)
                         hashes.append(h)
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(places, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["doc_id", "row_key", "place", "hash"])
+                words = np.frombuffer(b"".join(hashes), "<i4").reshape(-1, 4)
+                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(places, pa.int32()), pa.array(np.ascontiguousarray(words[:, :2]).view("<i8")[:, 0]), pa.array(words[:, 2])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "place", "hash", "check"])
 
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
-    return durable(keyed.mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key long, place int, hash long"))
+    return durable(keyed.mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key long, place int, hash long, check int"))
 
 
 def repeats(table: DataFrame) -> DataFrame:
     """Every non-first occurrence of a repeated run: ``doc_id``, ``row_key``, ``place``, ``first_id``."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "place")
-    first = table.groupBy("hash").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "f")
+    first = table.groupBy("hash", "check").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "check", "f")
     other = ~(F.col("f.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("f.row_key") == F.col("row_key")) & (F.col("f.place") == F.col("place")))
-    return table.join(first, "hash").where(other).select("doc_id", "row_key", "place", F.col("f.doc_id").alias("first_id"))
+    return table.join(first, ["hash", "check"]).where(other).select("doc_id", "row_key", "place", F.col("f.doc_id").alias("first_id"))
 
 
 def remove_repeats(docs: DataFrame, run: int = 3, min_words: int = 10) -> DataFrame:

@@ -78,3 +78,19 @@ def test_ties_empty_and_single(spark):
     assert minhash.compare_with_edits(docs).count() == 4
     assert minhash.compare_with_edits(docs.where("text = 'a'")).first()["near_next"] == 1.0
     assert minhash.compare_with_edits(docs.where("doc_id = 7")).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 5000}x{i % 7}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, long, 1, 2, "z"), (2, long + " end", 1, 2, "z")], "doc_id long, text string, low int, lot int, edited string")
+    got = {r["doc_id"]: r for r in minhash.compare_with_edits(docs).collect()}
+    assert got[1]["fingerprint"] == brute(long) and got[1]["near_next"] > 0.95
+
+
+def test_ranges_follow_the_size_of_the_texts(spark, monkeypatch):
+    seen = []
+    with_next = minhash.with_next
+    monkeypatch.setattr(minhash, "with_next", lambda docs, columns, lots: seen.append(lots) or with_next(docs, columns, lots))
+    monkeypatch.setattr(minhash, "LOT_BYTES", 1000)
+    docs = spark.createDataFrame([(i, SENTENCE) for i in range(160)], "doc_id long, text string")
+    assert minhash.compare_with_edits(docs).count() == 160 and seen == [-(-160 * len(SENTENCE) // 1000)]

@@ -104,3 +104,8 @@ def test_repeats_of_any_length():
     for value in ("x9$Qv!7rTz" + "ab" * 100, "ab" * 60 + "x9$Qv!7rTz", "a" * 100 + "b" * 100, "the1" * 30 + "ab" * 30):
         for enough in (2.0, 5.0, 8.0, 15.0):
             assert (secrets.guess_cost(value, RANKS, enough) >= enough) == (secrets.guess_cost(value, RANKS) >= enough), (value, enough)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "pwd: x9$Qv!7rTz", 1, 2, "a")] * 2 + [(2, "word " * 100_000 + "pwd: x9$Qv!7rTz", 1, 2, "a")], "doc_id long, text string, word int, n int, spans string")
+    assert sorted((r["doc_id"], r["spans"]) for r in secrets.find_secrets(docs).collect()) == [(1, "guess:5:15")] * 2 + [(2, "guess:500005:500015")]

@@ -75,3 +75,12 @@ def test_every_sentence_of_a_long_enough_passage_lies_in_a_run():
         outside = {(a - 4, b - 4) for a, b in spans.extents(before + passage + after, 3, 10)}
         assert {k for a, b in inside for k in range(a, b)} == set(range(len(passage)))
         assert set(inside) <= outside
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    rng = random.Random(12)
+    long_text = " ".join(f"Sentence {rng.random()} has its own number and ends here." for _ in range(20_000))
+    rows = [(1, long_text + " " + PASSAGE), (2, PASSAGE + " " + long_text), (2, "Nothing here is said twice in these rows, of course."), (2, "Nothing here is said twice in these rows, of course.")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, row_key int, hash int, place int")
+    got = spans.remove_repeats(docs).collect()
+    assert [(r["doc_id"], r["text"].strip()) for r in got] == [(2, "")]
