@@ -262,7 +262,8 @@ def _named(docs: DataFrame, radius: int, shingle: int, seed: int) -> DataFrame:
 def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable over links."""
     named = durable(_named(docs, radius, shingle, seed))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # Written first: in a stage of its own the join by label, which a large component makes skewed, can be split.
+    least = durable(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return named.join(least, "label").select("doc_id", digits.alias("fingerprint"), "component_id")
 
