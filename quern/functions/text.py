@@ -5,10 +5,23 @@ White space, letters and digits follow Unicode (``(?U)``). Every helper maps nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns`` added or replaced, each computed exactly once a row.
+
+    A filter or projection above does not see through the generator, so the optimiser neither pushes a copy of a costly
+    expression below it nor repeats it for each use, as it does with plain projections.
+    """
+    made = [c.alias(f"_once_{i}") for i, c in enumerate(columns.values())]
+    out = df.select("*", F.inline(F.array(F.struct(*made))))
+    names = {n: F.col(f"_once_{i}").alias(n) for i, n in enumerate(columns)}
+    old = [names.pop(c) if c in names else F.col(f"`{c}`") for c in df.columns]
+    return out.select(*old, *names.values())
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -48,6 +61,13 @@ def shingles(text: Column, n: int = 5) -> Column:
     return let(words(text), lambda w: F.when(F.size(w) >= n, F.array_distinct(ngrams(w, n))).otherwise(F.array(strip(F.lower(text)))))
 
 
+def hashed_shingles(text: Column, n: int = 5) -> Column:
+    """As ``shingles``, but 64-bit hashes of them, made from the words' hashes without building the strings."""
+    whole = lambda w: F.array(F.xxhash64(strip(F.lower(text))))
+    each = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda w: F.when(F.size(w) >= n, each(w)).otherwise(whole(w)))
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
     return F.when(whole == 0, 0.0).otherwise(part / F.when(whole != 0, whole))
@@ -83,8 +103,7 @@ def duplicate_ngram_ratio(text: Column, n: int = 5) -> Column:
 
 def share_of(tokens: Column, vocabulary: list[str]) -> Column:
     """Share of the tokens that are in ``vocabulary``."""
-    known = F.lit(vocabulary)
-    return let(tokens, lambda w: share(F.size(F.filter(w, lambda x: F.array_contains(known, x))), F.size(w)))
+    return let(tokens, lambda w: share(F.size(F.filter(w, lambda x: x.isin(vocabulary))), F.size(w)))
 
 
 def type_token_ratio(text: Column) -> Column:

@@ -13,7 +13,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +27,30 @@ _OWN: list[str] = []
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read back, so that loops don't grow a lineage."""
+    """Written to the folder in spark.checkpoint.dir and read back, so that loops don't grow a lineage.
+
+    A local session without that setting gets a temporary folder; on a cluster, whose executors would each write to their
+    own disk, its absence is an error.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="quern-"))
         folder = _OWN[0]
     path = f"{folder.rstrip('/')}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``persisted`` table that no later plan reads, as a loop does with its earlier rounds."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quern_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def sha256_key(text: Column) -> Column:
@@ -144,20 +157,24 @@ def lsh_candidates(signatures: DataFrame, b: int = 16, key: str = "doc_id") -> D
 def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id") -> DataFrame:
     """All pairs ``a`` < ``b`` of distinct texts whose shingle sets have Jaccard of ``threshold`` or more, with ``jaccard``.
 
-    Exact copies are represented by their smallest id. Sets of similarity t share one of the |x| - ceil(t*|x|) + 1
-    rarest shingles of each (prefix filter), so only those are joined, and rare shingles are in few documents. No
-    pair is lost.
+    Exact copies are represented by their smallest id. Shingles are hashed at once and only those that two texts or more
+    share travel further. Sets of similarity t share one of the |x| - ceil(t*|x|) + 1 rarest shingles of each (prefix
+    filter), so only those are joined, and rare shingles are in few documents. No pair is lost.
     """
     one = keep_first(docs.where("text is not null").select(key, "text"), sha256_key(F.lower("text")), key)
-    sets = persisted(one.select(key, F.transform(T.shingles(F.col("text"), n), lambda s: F.xxhash64(s)).alias("grams")).withColumn("size", F.size("grams")))
-    each = sets.select(key, "size", F.explode("grams").alias("gram"))
-    frequency = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(frequency, "gram").groupBy(key, "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    prefix = ranked.select(key, "size", F.explode(F.slice("g", 1, (F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).cast("int"))).alias("p")).where("p.df > 1").select(key, "size", F.col("p.gram").alias("gram"))
+    sets = T.once(one, {"grams": T.hashed_shingles(F.col("text"), n)}).select(key, F.size("grams").alias("size"), "grams")
+    each = persisted(sets.select(key, "size", F.explode("grams").alias("gram")))
+    shared = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(shared, "gram").groupBy(key, "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    # the shingles that no other text has come first in the order and fill that much of the prefix
+    first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1 - (F.col("size") - F.size("g"))
+    ranked = persisted(ranked.select(key, "size", F.col("g.gram").alias("grams"), first.cast("int").alias("first")).where("first > 0"))
+    prefix = ranked.select(key, "size", F.explode(F.slice("grams", 1, F.least("first", F.size("grams")))).alias("gram"))
     left, right = prefix.select(F.col(key).alias("a"), F.col("size").alias("na"), "gram"), prefix.select(F.col(key).alias("b"), F.col("size").alias("nb"), "gram")
-    pairs = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col(key).alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col(key).alias("b"), F.col("grams").alias("gb")), "b")
-    return pairs.select("a", "b", T.jaccard(F.col("ga"), F.col("gb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b", "na", "nb").distinct()
+    pairs = pairs.join(ranked.select(F.col(key).alias("a"), F.col("grams").alias("ga")), "a").join(ranked.select(F.col(key).alias("b"), F.col("grams").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    return pairs.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,11 +185,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
+            release(both)
             return labels
-        before = now
+        before, old = now, labels
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
         labels = persisted(near.join(jump, "label").select(F.col("a").alias("v"), F.least("label", "further").alias("label")))
+        release(old)
 
 
 def near_dup_clusters(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -188,22 +207,35 @@ def greedy_removals(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> Data
     """Ids of the near duplicates to drop: pairs in ascending order, each drops its shorter text (tie: the larger id)
     unless one of the two is gone already.
 
-    The rule is sequential, so it runs component by component; a component holds distinct texts only.
+    The rule is sequential, but what it does with a text's pairs depends on earlier pairs of the same texts only. So each
+    round settles, all at once, every text that is the second of no open pair and the least partner of all its partners;
+    the least text that is left is always among them. Rounds follow chains of texts that depend on each other, not the
+    number of texts, and no group of a component is ever in one task. Each round is written.
     """
-    pairs = persisted(similar_pairs(docs, threshold, n))
-    labels = components(pairs)
     sizes = docs.select("doc_id", F.char_length("text").alias("size"))
-    rows = pairs.join(labels, pairs["a"] == labels["v"]).select("label", "a", "b")
-    rows = rows.join(sizes.withColumnRenamed("doc_id", "a").withColumnRenamed("size", "size_a"), "a").join(sizes.withColumnRenamed("doc_id", "b").withColumnRenamed("size", "size_b"), "b")
-
-    def drop(group: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for r in group.sort_values(["a", "b"]).itertuples():
-            if r.a not in gone and r.b not in gone:
-                gone.add(r.a if r.size_a < r.size_b else r.b)
-        return pd.DataFrame({"doc_id": sorted(gone)}, dtype="int64")
-
-    return rows.groupBy("label").applyInPandas(drop, "doc_id long")
+    pairs = similar_pairs(docs, threshold, n).select("a", "b")
+    pairs = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "b")
+    return settle(persisted(pairs))
+
+
+def settle(open_: DataFrame) -> DataFrame:
+    """``doc_id`` of the texts that the greedy rule drops, from pairs ``a`` < ``b`` with ``size_a`` and ``size_b``."""
+    gone = open_.select(F.col("a").alias("doc_id")).limit(0)
+    while not open_.isEmpty():
+        least = open_.groupBy("b").agg(F.min("a").alias("least"))
+        waits = open_.join(least, "b").where("least < a").select("a").unionAll(least.select(F.col("b").alias("a"))).distinct()
+        ready = open_.join(waits, "a", "left_anti")
+        # a text drops its partners in order until one is longer, which drops it
+        ends = ready.groupBy("a").agg(F.min(F.when(F.col("size_b") > F.col("size_a"), F.col("b"))).alias("end"))
+        settled = persisted(ready.join(ends, "a").select("a", "b", "end"))
+        lost = persisted(settled.where("end is null or b < end").select(F.col("b").alias("doc_id")).unionAll(settled.where("end is not null").select(F.col("a").alias("doc_id"))).distinct())
+        gone = gone.unionAll(lost)
+        done = lost.unionAll(settled.select(F.col("a").alias("doc_id"))).distinct()
+        rest = open_.join(done, open_["a"] == done["doc_id"], "left_anti")
+        before, open_ = open_, persisted(rest.join(lost, rest["b"] == lost["doc_id"], "left_anti"))
+        release(before)
+        release(settled)
+    return gone
 
 
 def layered(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -35,7 +35,8 @@ METRICS = ("length", "special_char_ratio", "digit_ratio", "avg_line_length", "du
 def rule_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the seven metrics; null texts have null metrics."""
     t = F.col(text)
-    return docs.withColumns(
+    return T.once(
+        docs,
         {
             "length": F.char_length(t).cast("long"),
             "special_char_ratio": T.special_ratio(t),
@@ -44,7 +45,7 @@ def rule_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             "duplicate_line_ratio": T.duplicate_line_ratio(t),
             "duplicate_ngram_ratio": T.duplicate_ngram_ratio(t),
             "stopword_ratio": T.share_of(T.words(t), STOP_WORDS),
-        }
+        },
     )
 
 

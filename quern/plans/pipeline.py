@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import dedup, html, pii_rules, quality
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -15,15 +16,15 @@ Stage = Callable[[DataFrame], DataFrame]
 def extract_text(docs: DataFrame, min_length: int = 100, clean_html: bool = False) -> DataFrame:
     """HTML documents are extracted (and cleaned if asked), others cleaned; results under ``min_length`` go."""
     is_page = docs.where(html.is_html(F.col("text")))
-    plain = docs.where(~html.is_html(F.coalesce("text", F.lit("")))).withColumn("text", html.clean(F.col("text")))
+    plain = T.once(docs.where(~html.is_html(F.coalesce("text", F.lit("")))), {"text": html.clean(F.col("text"))})
     taken = html.extract(is_page, "text").select(docs.columns)
     if clean_html:
-        taken = taken.withColumn("text", html.clean(F.col("text")))
+        taken = T.once(taken, {"text": html.clean(F.col("text"))})
     return plain.unionByName(taken).where(F.char_length("text") >= min_length)
 
 
 def normalise(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", html.normalize(F.col("text")))
+    return T.once(docs, {"text": html.normalize(F.col("text"))})
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def score(docs: DataFrame, least: float = 0.3) -> DataFrame:
     rule = F.col("rule_score") if "rule_score" in docs.columns else None
-    return docs.withColumn("quality_score", quality.quality_score(F.col("text"), rule)).where(F.col("quality_score") >= least)
+    return T.once(docs, {"quality_score": quality.quality_score(F.col("text"), rule)}).where(F.col("quality_score") >= least)
 
 
 DEFAULT: list[tuple[str, Stage]] = [("extract", extract_text), ("normalise", normalise), ("rules", apply_rules), ("pii", remove_pii), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("score", score)]

@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def spread(df: DataFrame, least: int = 1 << 20, most: int = 64 << 20) -> DataFrame:
+    """A small table dealt over all cores; larger tables as they are.
+
+    A file is split between row groups only, so a table that fits one group is read, and everything narrow above it
+    computed, by a single task. Between ``least`` and ``most`` bytes (half a usual row group) moving the rows costs less
+    than that; above, the scan has tasks of its own and nothing is shuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if least < size < most else df
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | None = None, defaults: dict[str, str] | None = None) -> DataFrame:
@@ -21,15 +34,17 @@ def read_json_array(spark: SparkSession, path: str, schema: str | None = None, d
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``text`` of each line that is not blank, stripped."""
-    return spark.read.text(path).select(F.trim("value").alias("text")).where("text <> ''")
+    """``text`` of each line that is not blank, stripped of white space of every kind."""
+    return spark.read.text(path).select(T.strip(F.col("value")).alias("text")).where("text <> ''")
 
 
 def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """``path`` and ``text`` of every file under ``folder``; bytes that are not UTF-8 are dropped."""
+    """``path`` and ``text`` of every file under ``folder``; bytes that are not UTF-8 are dropped, U+FFFD itself stays."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    # make_valid_utf8 puts U+FFFD where a byte is wrong
-    return files.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit(chr(0xFFFD)), F.lit("")).alias("text"))
+    # make_valid_utf8 puts U+FFFD where a byte is wrong, so one that the file holds waits as a noncharacter meanwhile.
+    own, aside = F.lit(chr(0xFFFD)), F.lit(chr(0xFFFF))
+    raw = F.replace(F.col("content").cast("string"), own, aside)
+    return files.select("path", F.replace(F.replace(F.make_valid_utf8(raw), own, F.lit("")), aside, own).alias("text"))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -290,3 +290,16 @@ def test_whole_tables_of_bytes_and_term_contributions(spark):
     asked = {r["item_id"]: set(re.findall(r"[a-z]+", r["text"].lower())) for r in tables.read(spark, sf, "benchmark").collect()}
     held = {w for t in texts.values() for w in re.findall(r"[a-z]+", (t or "").lower())}
     assert {r["query_id"] for r in every} >= {i for i, words in asked.items() if any(len(w) > 3 and w in held for w in words)}
+
+
+def test_greedy_removals_follow_the_sequential_rule(spark):
+    rng = random.Random(11)
+    for trial in range(3):
+        sizes = {i: rng.randrange(1, 6) for i in range(40)}
+        pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range((25, 60, 150)[trial])})
+        gone = set()
+        for a, b in pairs:
+            if a not in gone and b not in gone:
+                gone.add(a if sizes[a] < sizes[b] else b)
+        table = spark.createDataFrame([(a, b, sizes[a], sizes[b]) for a, b in pairs], "a long, b long, size_a int, size_b int")
+        assert sorted(r["doc_id"] for r in dedup.settle(dedup.persisted(table)).collect()) == sorted(gone)
