@@ -246,10 +246,28 @@ def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95)
     return F.reverse(F.aggregate(steps, start, step, lambda s: s["out"]))
 
 
-def whiten(rows: DataFrame, column: str, group: str, eps: float = 1e-8) -> DataFrame:
-    """``column`` less its group's mean over its sample deviation."""
-    over = Window.partitionBy(group)
-    return rows.withColumn("whitened", (F.col(column) - F.avg(column).over(over)) / F.sqrt(F.var_samp(column).over(over) + eps))
+def whiten(rows: DataFrame, column: str, group: str, eps: float = 1e-8, mask: str | None = None, shift_mean: bool = True) -> DataFrame:
+    """``whitened``: ``column`` less its group's mean over its deviation.
+
+    Without ``mask`` the deviation is the sample's; with it, mean and population deviation count the rows where the mask
+    is not 0, and every row of the group is whitened by them. Without ``shift_mean`` the mean is added back. The moments
+    are aggregated and joined back, so a large group is never in one task.
+    """
+    value = F.col(column) if mask is None else F.when(F.col(mask) != 0, F.col(column))
+    spread = F.var_samp(value) if mask is None else F.var_pop(value)
+    moments = rows.groupBy(F.col(group).alias("_group")).agg(F.avg(value).alias("_mean"), spread.alias("_var"))
+    joined = rows.join(moments, rows[group].eqNullSafe(moments["_group"]))
+    out = (F.col(column) - F.col("_mean")) / F.sqrt(F.col("_var") + eps)
+    return joined.withColumn("whitened", out if shift_mean else out + F.col("_mean")).drop("_group", "_mean", "_var")
+
+
+def clipped(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def masked_mean(value: Column, mask: Column) -> Column:
+    """Aggregate: mean over the rows where ``mask`` is not 0; 0 where there are none."""
+    return F.coalesce(F.avg(F.when(mask != 0, value)), F.lit(0.0))
 
 
 def safety(text: Column) -> Column:

@@ -7,6 +7,7 @@ found among the distinct texts: by MinHash bands, or without loss by a prefix-fi
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import tempfile
 import uuid
@@ -260,19 +261,61 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def semantic_pairs(vectors: DataFrame, threshold: float = 0.85, planes: int = 8, tables: int = 6, seed: int = 5, key: str = "vec_id", vector: str = "embedding", dim: int = 64) -> DataFrame:
-    """Pairs ``a`` < ``b`` with cosine over ``threshold`` among vectors that share a sign pattern of random planes.
+def sign_tables(n: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
+    """Planes a table, so that ``n`` vectors leave about ``bucket`` to a code, and the tables that find a pair at the
+    threshold with probability ``recall``; pairs of higher cosine are likelier still."""
+    planes = min(24, max(8, math.ceil(math.log2(max(n, 1) / bucket)))) if n > bucket else 8
+    agree = (1 - math.acos(threshold) / math.pi) ** planes
+    return planes, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
-    Vectors of one sign bucket are compared; recall rises with ``tables``. Equal vectors collapse to the smallest id.
+
+def semantic_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float = 0.9999, seed: int = 5, key: str = "vec_id", vector: str = "embedding", dim: int = 64) -> DataFrame:
+    """Pairs ``a`` < ``b`` with cosine over ``threshold``, verified exactly, among vectors that share a sign pattern of
+    random planes in one of the tables.
+
+    The number of planes follows from the number of vectors, so buckets don't grow with it, and the number of tables from
+    the ``recall`` wanted for a pair just at the threshold: a link is missed with probability 1 - ``recall`` at most.
+    Equal vectors collapse to the smallest id.
     """
+    unique = persisted(vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(key).alias(key)).select(key, unit(F.col(vector)).alias("u")))
+    planes, tables = sign_tables(unique.count(), threshold, recall)
     rng = np.random.default_rng(seed)
-    signs = [[rng.normal(size=dim).tolist() for _ in range(planes)] for _ in range(tables)]
-    unique = vectors.groupBy(vector).agg(F.min(key).alias(key)).withColumn("u", unit(F.col(vector)))
-    codes = F.array(*[F.concat_ws("", *[(dot(F.col("u"), F.lit(p)) >= 0).cast("int").cast("string") for p in table]) for table in signs])
-    rows = unique.select(key, "u", F.posexplode(codes).alias("t", "code"))
-    a, b = rows.select(F.col(key).alias("a"), F.col("u").alias("ua"), "t", "code"), rows.select(F.col(key).alias("b"), F.col("u").alias("ub"), "t", "code")
-    near = a.join(b, ["t", "code"]).where("a < b").withColumn("cosine", dot(F.col("ua"), F.col("ub"))).where(F.col("cosine") > threshold)
-    return near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    normals = [[rng.normal(size=dim).tolist() for _ in range(planes)] for _ in range(tables)]
+    bits = lambda table: sum(((dot(F.col("u"), F.lit(p)) >= 0).cast("long") * (1 << i) for i, p in enumerate(table)), F.lit(0).cast("long"))
+    rows = persisted(unique.select(key, F.posexplode(F.array(*[bits(t) for t in normals])).alias("t", "code")))
+    near = rows.select(F.col(key).alias("a"), "t", "code").join(rows.select(F.col(key).alias("b"), "t", "code"), ["t", "code"]).where("a < b").select("a", "b").distinct()
+    near = near.join(unique.select(F.col(key).alias("a"), F.col("u").alias("ua")), "a").join(unique.select(F.col(key).alias("b"), F.col("u").alias("ub")), "b")
+    return near.select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine")).where(F.col("cosine") > threshold)
+
+
+def _equal_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key`` and ``rep``, the smallest id that has the same vector."""
+    known = vectors.where(F.exists(vector, lambda x: x != 0)).select(key, vector)
+    least = known.groupBy(vector).agg(F.min(key).alias("rep"))
+    return known.join(least, vector).select(key, "rep")
+
+
+def semantic_clusters(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_id", vector: str = "embedding", **settings) -> DataFrame:
+    """``key`` and ``cluster``, the smallest id of its component of similar pairs, of the vectors that have a partner."""
+    reps = persisted(_equal_vectors(vectors, key, vector))
+    found = components(semantic_pairs(vectors, threshold, key=key, vector=vector, **settings))
+    named = reps.join(found, reps["rep"] == found["v"], "left").select(key, F.coalesce("label", "rep").alias("cluster"))
+    shared = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    return named.join(shared, "cluster").select(key, "cluster")
+
+
+def semantic_removals(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_id", vector: str = "embedding", **settings) -> DataFrame:
+    """Ids to drop when vectors are taken in order and one goes if its cosine to one kept before is over ``threshold``."""
+    pairs = semantic_pairs(vectors, threshold, key=key, vector=vector, **settings).select("a", "b", F.lit(0).alias("size_a"), F.lit(0).alias("size_b"))
+    copies = _equal_vectors(vectors, key, vector).where(F.col(key) != F.col("rep")).select(F.col(key).alias("doc_id"))
+    return settle(persisted(pairs)).unionAll(copies).withColumnRenamed("doc_id", key)
+
+
+def layered_semantic(docs: DataFrame, vectors: DataFrame, threshold: float = 0.8, cosine: float = 0.85) -> DataFrame:
+    """Exact, near and then semantic duplicates removed; vectors are those of the survivors, by ``vec_id`` = ``doc_id``."""
+    kept = persisted(layered(docs, threshold))
+    left = vectors.join(kept.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return kept.join(semantic_removals(left, cosine).withColumnRenamed("vec_id", "doc_id"), "doc_id", "left_anti")
 
 
 def lcs_f1(a: list[str], b: list[str]) -> float:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.ranks import draw, numbered
+
 
 def temperature_weights(sources: DataFrame, temperature: float = 1.0, weight: str = "weight") -> DataFrame:
     """``sources`` with ``p`` = weight^(1/T) / sum; T = 0 puts all on the largest. One row a source: a small table."""
@@ -16,26 +18,15 @@ def temperature_weights(sources: DataFrame, temperature: float = 1.0, weight: st
     return out.withColumn("p", F.when(F.sum("_raw").over(over) > 0, F.col("_raw") / F.sum("_raw").over(over)).otherwise(F.col("_raw"))).drop("_raw")
 
 
-def _uniform(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the columns only."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / float(1 << 53)
-
-
-def _ranked(docs: DataFrame, source: str) -> DataFrame:
-    """Documents numbered from 0 inside their source, by id, and the source's size."""
-    over = Window.partitionBy(source)
-    return docs.withColumn("_rank", F.row_number().over(over.orderBy("doc_id")) - 1).withColumn("_size", F.count("*").over(over))
-
-
 def sample_proportional(docs: DataFrame, weights: DataFrame, n: int, seed: int = 42, source: str = "source") -> DataFrame:
     """``n`` draws with replacement: a source by its weight ``p``, then a document of it; ``draw``, ``source``, ``doc_id``."""
     spark = docs.sparkSession
     upto = weights.select(source, "p", F.sum("p").over(Window.orderBy(source)).alias("hi")).withColumn("lo", F.col("hi") - F.col("p"))
-    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("u", _uniform(seed, "draw"))
+    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("u", draw(seed, "draw"))
     picked = draws.join(F.broadcast(upto), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", source)
     sizes = docs.groupBy(source).agg(F.count("*").alias("_size"))
-    ranked = _ranked(docs.select("doc_id", source), source).drop("_size")
-    chosen = picked.join(F.broadcast(sizes), source).withColumn("_rank", F.floor(_uniform(seed + 1, "draw") * F.col("_size")).cast("int"))
+    ranked = numbered(docs.select("doc_id", source), source, F.col("doc_id"), "doc_id", "_rank")
+    chosen = picked.join(sizes, source).withColumn("_rank", F.floor(draw(seed + 1, "draw") * F.col("_size")).cast("long") + 1)
     return chosen.join(ranked, [source, "_rank"]).select("draw", source, "doc_id")
 
 
@@ -51,10 +42,9 @@ def allocate(weights: DataFrame, n: int, source: str = "source") -> DataFrame:
 def round_robin(docs: DataFrame, weights: DataFrame, n: int, seed: int = 42, source: str = "source") -> DataFrame:
     """``quota`` documents of each source, going round its documents in a seeded order; ``source``, ``turn``, ``doc_id``."""
     quota = allocate(weights, n, source).select(source, F.explode(F.when(F.col("quota") > 0, F.sequence(F.lit(0).cast("long"), F.col("quota") - 1))).alias("turn"))
-    over = Window.partitionBy(source)
-    shuffled = docs.select("doc_id", source).withColumn("_rank", F.row_number().over(over.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")) - 1)
+    shuffled = numbered(docs.select("doc_id", source), source, draw(seed, "doc_id"), "doc_id", "_rank")
     sizes = docs.groupBy(source).agg(F.count("*").alias("_size"))
-    turns = quota.join(F.broadcast(sizes), source).withColumn("_rank", F.pmod("turn", "_size").cast("int"))
+    turns = quota.join(sizes, source).withColumn("_rank", F.pmod("turn", "_size") + 1)
     return turns.join(shuffled, [source, "_rank"]).select(source, "turn", "doc_id")
 
 
@@ -90,5 +80,5 @@ def domain_epochs(docs: DataFrame, temperature: float, n: int, domain: str = "so
 def replay(new: DataFrame, old: DataFrame, ratio: float, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """``new`` and a hash sample of ``old`` that makes about ``ratio`` of the mix."""
     wanted = new.agg(F.count("*").alias("n")).crossJoin(F.broadcast(old.agg(F.count("*").alias("m"))))
-    part = old.crossJoin(F.broadcast(wanted)).where(_uniform(seed, key) < F.col("n") * ratio / (1 - ratio) / F.greatest("m", F.lit(1)))
+    part = old.crossJoin(F.broadcast(wanted)).where(draw(seed, key) < F.col("n") * ratio / (1 - ratio) / F.greatest("m", F.lit(1)))
     return new.unionByName(part.select(new.columns))

@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quern.functions.ranks import numbered
+
 
 def finite(metrics: DataFrame) -> DataFrame:
     return metrics.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
 
 
-def moving_average(metrics: DataFrame, window: int = 100) -> DataFrame:
-    over = Window.partitionBy("name").orderBy("step").rowsBetween(1 - window, 0)
-    return finite(metrics).withColumn("smoothed", F.avg("value").over(over))
+def _runs(metrics: DataFrame, before: int, block: int = 100_000) -> tuple[DataFrame, WindowSpec]:
+    """The finite points with their number ``n`` in their metric, dealt into ``block``s of points, and the window along a
+    block. The last ``before`` points of a block go along to the next one as guests, which ``_own`` drops again, so that
+    windows of that many points are whole and no task holds all of a metric."""
+    block = max(block, before)
+    rows = numbered(finite(metrics).select("name", "step", "value"), "name", F.col("step"), "step", "n")
+    at = F.floor((F.col("n") - 1) / block).cast("long")
+    ends = F.pmod(F.col("n") - 1, F.lit(block)) >= block - before
+    places = F.when(ends, F.array(F.struct(at.alias("block"), F.lit(False).alias("guest")), F.struct((at + 1).alias("block"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(at.alias("block"), F.lit(False).alias("guest"))))
+    dealt = rows.withColumn("p", F.explode(places)).select("name", "step", "value", "n", "p.block", "p.guest")
+    return dealt, Window.partitionBy("name", "block").orderBy("n")
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    return rows.where("not guest").drop("guest", "block")
+
+
+def moving_average(metrics: DataFrame, window: int = 100, **settings) -> DataFrame:
+    rows, along = _runs(metrics, window - 1, **settings)
+    return _own(rows.withColumn("smoothed", F.avg("value").over(along.rowsBetween(1 - window, 0)))).drop("n")
 
 
-def spikes(metrics: DataFrame, window: int = 100, threshold: float = 3.0) -> DataFrame:
+def spikes(metrics: DataFrame, window: int = 100, threshold: float = 3.0, **settings) -> DataFrame:
     """Points over ``threshold`` times the moving average that includes them, where that is positive."""
-    return moving_average(metrics, window).where((F.col("smoothed") > 0) & (F.col("value") > threshold * F.col("smoothed")))
+    return moving_average(metrics, window, **settings).where((F.col("smoothed") > 0) & (F.col("value") > threshold * F.col("smoothed")))
 
 
-def loss_spikes(metrics: DataFrame, before: int = 10, threshold: float = 2.0) -> DataFrame:
+def loss_spikes(metrics: DataFrame, before: int = 10, threshold: float = 2.0, **settings) -> DataFrame:
     """Points over ``threshold`` times the mean of the ``before`` points ahead of them."""
-    over = Window.partitionBy("name").orderBy("step")
-    rows = finite(metrics).withColumns({"n": F.row_number().over(over), "recent": F.avg("value").over(over.rowsBetween(-before, -1))})
+    rows, along = _runs(metrics, before, **settings)
+    rows = _own(rows.withColumn("recent", F.avg("value").over(along.rowsBetween(-before, -1))))
     return rows.where((F.col("n") > before) & (F.col("value") > threshold * F.col("recent"))).drop("n")
 
 
-def plateaus(metrics: DataFrame, span: int = 50, change: float = 0.001) -> DataFrame:
+def plateaus(metrics: DataFrame, span: int = 50, change: float = 0.001, **settings) -> DataFrame:
     """Points where the mean of the last ``span`` differs from that of the span before by a relative ``change`` at most."""
-    over = Window.partitionBy("name").orderBy("step")
-    rows = finite(metrics).withColumns({"n": F.row_number().over(over), "late": F.avg("value").over(over.rowsBetween(1 - span, 0)), "early": F.avg("value").over(over.rowsBetween(1 - 2 * span, -span))})
+    rows, along = _runs(metrics, 2 * span - 1, **settings)
+    rows = _own(rows.withColumns({"late": F.avg("value").over(along.rowsBetween(1 - span, 0)), "early": F.avg("value").over(along.rowsBetween(1 - 2 * span, -span))}))
     return rows.where((F.col("n") > 2 * span) & (F.abs(F.col("late") - F.col("early")) / F.greatest(F.abs("early"), F.lit(1e-8)) < change)).drop("n")
 
 

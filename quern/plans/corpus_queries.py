@@ -46,13 +46,29 @@ def mix_quotas(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.allocate(_weights(read(spark, sf, "documents")), 1000).select("source", "quota")
 
 
-@query()
+def _draw_sql(seed: str, *columns: str) -> str:
+    """SQL of ``ranks.draw``."""
+    return f"(('0x' || substr(md5({' || chr(58) || '.join([repr(seed), *columns])}), 1, 13))::bigint / 4503599627370496.0)"
+
+
+SOURCES = "c as (select source, count(*) as size, sqrt(count(*)) as w from documents group by source), p as (select source, size, w / sum(w) over () as p from c)"
+
+
+@query(f"""with {SOURCES}, h as (select source, size, p, sum(p) over (order by source) as hi from p), d as (select unnest(range(1000)) as draw),
+u as (select draw, {_draw_sql('42', 'draw')} as u, {_draw_sql('43', 'draw')} as v from d),
+t as (select draw, source, (floor(v * size) + 1)::bigint as rank from u join h on u >= hi - p and u < hi),
+n as (select doc_id, source, row_number() over (partition by source order by doc_id) as rank from documents)
+select draw, t.source, doc_id from t join n on t.source = n.source and t.rank = n.rank""")
 def mix_sample(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     return mixing.sample_proportional(docs, _weights(docs), 1000)
 
 
-@query()
+@query(f"""with {SOURCES}, q as (select source, size, round_even(p * 1000, 0)::bigint as q from p),
+a as (select source, size, case when source = max(source) over () then greatest(0, 1000 - coalesce(sum(q) over (order by source rows between unbounded preceding and 1 preceding), 0))::bigint else q end as quota from q),
+t as (select source, size, unnest(range(quota)) as turn from a),
+n as (select doc_id, source, row_number() over (partition by source order by {_draw_sql('42', 'doc_id')}, doc_id) as rank from documents)
+select t.source, turn, doc_id from t join n on t.source = n.source and n.rank = turn % size + 1""")
 def mix_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     return mixing.round_robin(docs, _weights(docs), 1000)
@@ -78,7 +94,7 @@ def domain_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mixing.domain_epochs(read(spark, sf, "documents"), 2.0, 5000, "lang"))
 
 
-@query()
+@query("select doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 100 < 10 as validation from documents")
 def train_validation_split(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", hash_split(F.col("doc_id")).alias("validation"))
 
@@ -116,9 +132,17 @@ def term_contributions_all(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(retrieval.bm25_terms(read(spark, sf, "documents"), read(spark, sf, "benchmark")), 5)
 
 
-@query()
+CHARS = "list_distinct(string_split(lower(text), ''))"
+
+
+@query(f"""with {BM25_CTE}, a as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(sum(score), 9) as score from s group by all having round(sum(score), 9) > 0)),
+x as (select doc_id, {CHARS} as c from documents), y as (select item_id as query_id, {CHARS} as k from benchmark),
+j as (select query_id, doc_id, len(list_intersect(k, c)) as m, len(k) + len(c) as t from x cross join y),
+b as (select query_id, doc_id, row_number() over (partition by query_id order by m / (t - m) desc, doc_id) as rank from j),
+f as (select query_id, doc_id, sum(1 / (60 + rank)) as score from (select * from a where rank <= 20 union all select * from b where rank <= 20) group by all)
+select query_id, doc_id, round(score, 8)::double as score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f) where rank <= 10""")
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.hybrid(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return rounded(retrieval.hybrid(read(spark, sf, "documents"), read(spark, sf, "benchmark")), 8)
 
 
 @query(f"""with {BM25_CTE}, a as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(sum(score), 9) as score from s group by all having round(sum(score), 9) > 0)),
@@ -232,7 +256,9 @@ def llama_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.llama(read(spark, sf, "conversations"))
 
 
-@query()
+@query(f"""with x as ({LLAMA}), p as (select conv_id, string_split(text, '[/INST] ') as p from x), q as (select conv_id, unnest(p) as part, unnest(range(len(p))) as n from p),
+s as (select *, sum(length(part) + 8) over (partition by conv_id order by n rows between unbounded preceding and 1 preceding)::bigint as start from q)
+select conv_id, n::int as n, start, (start + strpos(part, ' </s>') - 1)::bigint as end from s where n > 0 and contains(part, ' </s>')""")
 def llama_spans(spark: SparkSession, sf: str) -> DataFrame:
     return chat.llama_spans(chat.llama(read(spark, sf, "conversations")))
 
@@ -358,7 +384,7 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
     return monitor.summary(_metrics(spark, sf))
 
 
-@query()
+@query(f"with {M} select name, (step // 10000)::bigint as span, to_json(list({{'step': step, 'value': value}} order by step))::varchar as history from m group by all")
 def metric_history(spark: SparkSession, sf: str) -> DataFrame:
     return metric_json(monitor.finite(_metrics(spark, sf)))
 
@@ -434,13 +460,25 @@ def noise_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(examples.noise_table(counts), 9)
 
 
-@query()
+LENGTHS = f"list_transform({RAW_WORDS}, lambda w: length(w)::int)"
+
+
+@query(f"""with x as (select doc_id, {LENGTHS} as x from documents), n as (select *, len(x) as n, floor({_draw_sql('43', 'doc_id')} * (len(x) + 1))::int as a from x),
+b as (select *, a + floor({_draw_sql('44', 'doc_id')} * (n + 1 - a))::int as b, {_draw_sql('42', 'doc_id')} as u, {_draw_sql('45', 'doc_id')} as v from n),
+f as (select *, case when u >= 0.5 or n < 3 then 'none' when v < 0.5 then 'psm' else 'spm' end as fim_form, x[1:a] as pre, x[a + 1:b] as mid, x[b + 1:n] as suf from b)
+select doc_id, fim_form, case when fim_form = 'psm' then [-1] || pre || [-2] || suf || [-3] || mid || [-4] when fim_form = 'spm' then [-2] || suf || [-1] || pre || [-3] || mid || [-4] else x end as fim_ids,
+case when fim_form = 'none' then list_transform(x, lambda t: true) else list_transform(range(n - len(mid) + 3), lambda t: false) || list_transform(range(len(mid) + 1), lambda t: true) end as loss_mask from f""")
 def fim_examples(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.transform(T.words(F.col("text"), lower=False), lambda w: F.char_length(w))
     return examples.infill(read(spark, sf, "documents").select("doc_id", ids.alias("ids"))).select("doc_id", "fim_form", "fim_ids", "loss_mask")
 
 
-@query()
+_AT = "doc_id", "(i - 1)"
+
+
+@query(f"""with x as (select doc_id, {LENGTHS} as x from documents)
+select doc_id, list_transform(x, lambda t, i: case when {_draw_sql('42', *_AT)} >= 0.15 then t when {_draw_sql('43', *_AT)} < 0.8 then 31 when {_draw_sql('43', *_AT)} < 0.9 then floor({_draw_sql('44', *_AT)} * 30)::int else t end) as masked,
+list_transform(x, lambda t, i: case when {_draw_sql('42', *_AT)} < 0.15 then t else -100 end) as labels from x""")
 def mlm_examples(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.transform(T.words(F.col("text"), lower=False), lambda w: F.char_length(w))
     return examples.mask_tokens(read(spark, sf, "documents").select("doc_id", ids.alias("ids")), 30, 31).select("doc_id", "masked", "labels")

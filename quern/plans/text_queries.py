@@ -288,14 +288,45 @@ def near_dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.near_dup_clusters(read(spark, sf, "documents"))
 
 
-@query()
+GREEDY = """o as (select a, b, sa, sb, row_number() over (order by a, b) as i from ordered),
+r as (select 0::bigint as i, []::bigint[] as gone union all select o.i, case when list_contains(gone, a) or list_contains(gone, b) then gone else list_append(gone, case when sa < sb then a else b end) end from r join o on o.i = r.i + 1),
+final as (select gone from r order by i desc limit 1)"""
+
+
+@query(f"""with recursive {SHINGLE_PAIRS},
+ordered as (select a, b, length(x.text) as sa, length(y.text) as sb from pairs join documents x on x.doc_id = a join documents y on y.doc_id = b), {GREEDY},
+k as (select min(doc_id) as doc_id from documents group by sha256(text)) select doc_id from k cross join final where not list_contains(gone, doc_id)""")
 def layered_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.layered(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id")
 
 
-@query()
+VECTOR_PAIRS = """v as (select vec_id, embedding::double[] as e from embeddings union all
+ select vec_id + 1000000, list_transform(embedding::double[], lambda x, i: x * (1 + (0.3 + 0.05 * (vec_id % 7)) * sin(vec_id + i))) from embeddings where vec_id % 10 = 0),
+pairs as (select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.e, y.e) as cosine from v x join v y on x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) > 0.85)"""
+
+
+def _with_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings and a bent copy of every tenth, since the table itself holds no two that are alike."""
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    bend = 0.3 + 0.05 * (F.col("vec_id") % 7)
+    bent = e.where("vec_id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x, i: x * (1 + bend * F.sin(F.col("vec_id") + i + 1))))
+    return e.unionByName(bent.withColumn("vec_id", F.col("vec_id") + 1_000_000))
+
+
+@query(f"with {VECTOR_PAIRS} select a, b, round(cosine, 6)::double as cosine from pairs")
 def semantic_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.semantic_pairs(read(spark, sf, "embeddings"))
+    return stats.rounded(dedup.semantic_pairs(_with_near_copies(spark, sf)))
+
+
+@query(f"""with recursive {VECTOR_PAIRS}, e as (select a, b from pairs union select b, a from pairs),
+reach as (select a as v, a as r from e union select reach.v, e.b from reach join e on reach.r = e.a) select v as vec_id, min(r) as cluster from reach group by v""")
+def semantic_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.semantic_clusters(_with_near_copies(spark, sf))
+
+
+@query(f"with recursive {VECTOR_PAIRS}, ordered as (select a, b, 0 as sa, 0 as sb from pairs), {GREEDY} select unnest(gone) as vec_id from final")
+def semantic_removals(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.semantic_removals(_with_near_copies(spark, sf))
 
 
 @query(rf"""with b as (select text, len({RAW_WORDS}) as w from documents), v as (select count(distinct x) as n from (select unnest({WORDS}) as x from documents)),

@@ -59,13 +59,14 @@ def append_json_lines(df: DataFrame, path: str, text: str | None = None, preview
 
 def hash_split(key: Column, validation_percent: int = 10) -> Column:
     """True for rows of the validation part; the same rows at every run and partitioning."""
-    return F.pmod(F.xxhash64(key), F.lit(100)) < validation_percent
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 100 < validation_percent
 
 
-def metric_json(metrics: DataFrame) -> DataFrame:
-    """Each metric's history (name, step, value) as one JSON text, steps in order."""
+def metric_json(metrics: DataFrame, span: int = 10_000) -> DataFrame:
+    """``name``, ``span``, ``history``: each metric's points (name, step, value) as JSON texts of ``span`` steps each, in
+    order; a text never holds more points than that, however long the history is."""
     history = F.sort_array(F.collect_list(F.struct("step", "value")))
-    return metrics.groupBy("name").agg(F.to_json(history).alias("history"))
+    return metrics.groupBy("name", F.floor(F.col("step") / span).cast("long").alias("span")).agg(F.to_json(history).alias("history"))
 
 
 def flatten(df: DataFrame, separator: str = "/") -> DataFrame:
