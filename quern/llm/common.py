@@ -11,10 +11,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one of the driver's Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read one of the driver's Parquet tables; one that fits a single row group is dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 _OWN: list[str] = []
