@@ -120,6 +120,8 @@ def repeats(table: DataFrame) -> DataFrame:
     """Every non-first occurrence of a repeated run: ``doc_id``, ``row_key``, ``place``, ``first_id``."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "place")
     first = table.groupBy("hash", "check").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "check", "f")
+    # Written first: in a stage of its own the join, which a frequent run makes skewed, can be split.
+    first = durable(first)
     other = ~(F.col("f.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("f.row_key") == F.col("row_key")) & (F.col("f.place") == F.col("place")))
     return table.join(first, ["hash", "check"]).where(other).select("doc_id", "row_key", "place", F.col("f.doc_id").alias("first_id"))
 
