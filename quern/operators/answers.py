@@ -182,6 +182,58 @@ def verify_arithmetic(text: Column) -> Column:
     return let(found, lambda f: F.when(F.size(f) == 0, 1.0).otherwise(F.size(F.filter(f, holds)) / F.greatest(F.size(f), F.lit(1))))
 
 
+def steps(text: Column) -> Column:
+    """The lines that are not blank, stripped; where there is one at most, the parts between Chinese full stops."""
+    solid = lambda a: F.filter(F.transform(a, strip), lambda x: x != "")
+    return let(solid(F.split(text, "\n")), lambda l: F.when(F.size(l) > 1, l).otherwise(solid(F.split(text, "。"))))
+
+
+# Words that announce an answer, what a tidy opening consists of, and the form of an equation.
+ANSWER_MARKS = ("答案", "结果", "所以", "因此", "answer", "result")
+UNTIDY = r"[^\u4e00-\u9fa5a-zA-Z0-9\s\+\-\*\/\=\.\,\;\:\!\?\(\)\[\]\{\}]"
+EQUATION = r"(\d+\.?\d*)\s*([+\-*/×÷])\s*(\d+\.?\d*)\s*[=＝]\s*(\d+\.?\d*)"
+
+
+def format_score(text: Column) -> Column:
+    """0 to 0.3: several steps, an answer mark, and more than 10 characters that open without odd signs (in the first 200)."""
+    marked = F.lit(False)
+    for m in ANSWER_MARKS:
+        marked = marked | F.lower(text).contains(m)
+    tidy = (F.char_length(text) > 10) & ~F.substring(text, 1, 200).rlike(UNTIDY)
+    return F.when(F.size(steps(text)) >= 2, 0.1).otherwise(0.0) + F.when(marked, 0.1).otherwise(0.0) + F.when(tidy, 0.1).otherwise(0.0)
+
+
+def consistency_score(text: Column) -> Column:
+    """0 to 0.4: the share of steps whose equations all hold within 0.01; 0.2 where there are no two steps."""
+
+    def holds(e: Column) -> Column:
+        a, b, c = (F.regexp_extract(e, EQUATION, i).cast("double") for i in (1, 3, 4))
+        op = F.regexp_extract(e, EQUATION, 2)
+        value = F.when(op == "+", a + b).when(op == "-", a - b).when(op.isin("*", "×"), a * b).otherwise(F.try_divide(a, b))
+        return F.coalesce(F.abs(value - c) <= 0.01, F.lit(True))
+
+    right = lambda s: F.forall(F.regexp_extract_all(s, F.lit(EQUATION), F.lit(0)), holds)
+    return let(steps(text), lambda s: F.when(F.size(s) < 2, 0.2).otherwise(0.4 * F.size(F.filter(s, right)) / F.greatest(F.size(s), F.lit(1))))
+
+
+def answer_score(text: Column, expected: Column | None = None) -> Column:
+    """0 to 0.3: a number occurs, the last one is within a million, and it is ``expected`` (or the text contains that)."""
+    last = last_match(text, NUMBER).cast("double")
+    score = F.when(last.isNotNull(), 0.1).otherwise(0.0) + F.when((last > -1e6) & (last < 1e6), 0.1).otherwise(0.0)
+    if expected is None:
+        return score
+    number_ = expected.try_cast("double")
+    hit = F.when(number_.isNotNull(), F.abs(last - number_) < 0.01).otherwise(text.contains(expected))
+    return score + F.when(F.coalesce(hit, F.lit(False)), 0.1).otherwise(0.0)
+
+
+def verify(rows: DataFrame, text: str = "text", expected: str | None = None) -> DataFrame:
+    """``rows`` with the three scores and their sum, ``overall``."""
+    t = F.col(text)
+    out = rows.withColumns({"format_score": format_score(t), "consistency_score": consistency_score(t), "answer_score": answer_score(t, F.col(expected) if expected else None)})
+    return out.withColumn("overall", F.col("format_score") + F.col("consistency_score") + F.col("answer_score"))
+
+
 def best_solutions(solutions: DataFrame, k: int = 1, key: str = "question") -> DataFrame:
     """Of each question's correct solutions, the ``k`` of highest quality, shorter first at a tie."""
     order = Window.partitionBy(key).orderBy(F.desc("quality"), F.char_length("solution"), "solution")
@@ -289,6 +341,17 @@ def safety_rates(rows: DataFrame, response: str = "text") -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.avg(safe.cast("double")).alias("safety_rate"), F.avg(F.col("refused").cast("double")).alias("refusal_rate"), F.avg((~safe).cast("double")).alias("attack_rate"))
 
 
+def safety_confidence(category: Column) -> Column:
+    """The fixed confidence of ``safety``: 0.9 for safe, 0.8 for a risk."""
+    return F.when(category == "safe", 0.9).otherwise(0.8)
+
+
+def safety_breakdown(rows: DataFrame, request: str = "text", response: str = "response") -> DataFrame:
+    """By the request's category: how many, with what confidence, and the share of responses that refuse."""
+    r = rows.select(safety(F.col(request)).alias("category"), is_refusal(F.col(response)).cast("double").alias("refused"))
+    return r.groupBy("category").agg(F.count("*").alias("n"), F.first(safety_confidence(F.col("category"))).alias("confidence"), F.avg("refused").alias("refusal_rate"))
+
+
 def parse_call(text: Column) -> Column:
     """Struct ``name``, ``arguments`` (map) of the first call in a text: JSON form, else name(key=value, ...)."""
     blob = F.regexp_extract(text, r'\{[^{}]*"name"\s*:\s*"[^"]+"\s*,\s*"arguments"\s*:\s*\{[^{}]*\}[^{}]*\}', 0)

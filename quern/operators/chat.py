@@ -99,6 +99,20 @@ def encode_pair(prompt: Column, response: Column, max_length: int = 512, max_pro
     )
 
 
+def feedback_examples(rows: DataFrame, prompt: str = "prompt", response: str = "response", desirable: str = "is_desirable", max_length: int = 512, max_prompt: int = 256) -> DataFrame:
+    """Binary feedback: ``input_ids``, ``labels``, ``attention_mask`` of character codes and the flag."""
+    encoded = encode_pair(char_ids(F.col(prompt)), char_ids(F.col(response)), max_length, max_prompt)
+    return rows.withColumn("_e", encoded).select(*[c for c in rows.columns if c not in (prompt, response)], "_e.*").withColumn(desirable, F.col(desirable).cast("boolean"))
+
+
+def joined_ids(prompt: Column, response: Column, max_length: int = 512) -> Column:
+    """Struct of ``input_ids``, prompt and response as one text cut or padded with 0, and ``attention_mask``, 1 where an id
+    is not 0."""
+    ids = F.slice(char_ids(F.concat(F.coalesce(prompt, F.lit("")), F.coalesce(response, F.lit("")))), 1, max_length)
+    full = F.concat(ids, F.array_repeat(F.lit(0), F.lit(max_length) - F.size(ids)))
+    return F.struct(full.alias("input_ids"), F.transform(full, lambda x: (x != 0).cast("int")).alias("attention_mask"))
+
+
 def collate(batches: DataFrame, ids: str = "input_ids", batch: str = "batch", pad: int = 0) -> DataFrame:
     """Ids padded on the right to the longest of their batch, with ``attention_mask``."""
     most = F.max(F.size(ids)).over(Window.partitionBy(batch))

@@ -311,11 +311,11 @@ def semantic_removals(vectors: DataFrame, threshold: float = 0.85, key: str = "v
     return settle(persisted(pairs)).unionAll(copies).withColumnRenamed("doc_id", key)
 
 
-def layered_semantic(docs: DataFrame, vectors: DataFrame, threshold: float = 0.8, cosine: float = 0.85) -> DataFrame:
+def layered_semantic(docs: DataFrame, vectors: DataFrame, threshold: float = 0.8, cosine: float = 0.85, **settings) -> DataFrame:
     """Exact, near and then semantic duplicates removed; vectors are those of the survivors, by ``vec_id`` = ``doc_id``."""
     kept = persisted(layered(docs, threshold))
     left = vectors.join(kept.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return kept.join(semantic_removals(left, cosine).withColumnRenamed("vec_id", "doc_id"), "doc_id", "left_anti")
+    return kept.join(semantic_removals(left, cosine, **settings).withColumnRenamed("vec_id", "doc_id"), "doc_id", "left_anti")
 
 
 def lcs_f1(a: list[str], b: list[str]) -> float:

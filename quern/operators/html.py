@@ -137,3 +137,9 @@ def process(pages: DataFrame, html: str = "html", min_output: int = 100) -> Data
     out = out.withColumn("extracted_length", F.char_length("text").cast("long"))
     paragraphs = F.size(F.filter(F.split("text", "\n\n"), lambda p: T.strip(p) != "")).cast("long")
     return out.withColumns({"extraction_ratio": T.share(F.col("extracted_length"), F.col("original_length")), "num_paragraphs": paragraphs})
+
+
+def process_counts(pages: DataFrame, html: str = "html", min_output: int = 100) -> DataFrame:
+    """One row: ``total`` pages, those that ``process`` keeps (``succeeded``) and those it drops (``discarded``)."""
+    kept = process(pages, html, min_output).agg(F.count("*").alias("succeeded"))
+    return pages.agg(F.count("*").alias("total")).crossJoin(F.broadcast(kept)).withColumn("discarded", F.col("total") - F.col("succeeded"))

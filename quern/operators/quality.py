@@ -217,3 +217,30 @@ def rewrite_metrics(pairs: DataFrame, source: str = "source", rewritten: str = "
             "concept_density": F.round((F.col("num_bold_terms") + F.col("num_headers")) / F.greatest(F.col("rewritten_length") / 200.0, F.lit(1.0)), 3),
         }
     )
+
+
+def language_filter(docs: DataFrame, languages: list[str], least: float = 0.0, lang: str = "lang", score: str | None = None) -> DataFrame:
+    """Rows in one of the languages, by a label column and, if there is one, its score; rows without a label go."""
+    sure = F.lit(True) if score is None else F.coalesce(F.col(score) >= least, F.lit(False))
+    return docs.where(F.col(lang).isin(languages) & sure)
+
+
+def pair_pipeline(pairs: DataFrame, reply: str | None = None, perplexity: str | None = None, judge_least: float = 3.5, ppl_low: float = 5.0, ppl_high: float = 500.0, **rules) -> DataFrame:
+    """Rules, then a judge's score, then a perplexity range, the latter two where their columns are given.
+
+    Adds ``failed_at`` (rules, judge, perplexity or null) and ``final_passed``; a later layer does not ask what an earlier
+    one refused.
+    """
+    out = pair_filter(pairs, **rules)
+    judged = F.lit(True) if reply is None else judge_reply(F.col(reply), judge_least)[1]
+    fluent = F.lit(True) if perplexity is None else F.coalesce(F.col(perplexity).between(ppl_low, ppl_high), F.lit(False))
+    failed = F.when(~F.col("passed"), "rules").when(~judged, "judge").when(~fluent, "perplexity")
+    return out.withColumn("failed_at", failed).withColumn("final_passed", F.col("failed_at").isNull())
+
+
+def quality_report(docs: DataFrame, by: str = "lang") -> DataFrame:
+    """For each language: documents, mean length, mean repetition, share of noisy texts and share of texts at risk."""
+    from quern.operators.answers import safety
+
+    m = T.once(docs.select(by, "text"), {"rep": T.duplicate_ngram_ratio(F.col("text")), "special": T.special_ratio(F.col("text")), "risk": (safety(F.col("text")) != "safe").cast("double")})
+    return m.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.char_length("text")).alias("avg_length"), F.avg("rep").alias("avg_repetition"), F.avg((F.col("special") > 0.3).cast("double")).alias("noisy"), F.avg("risk").alias("at_risk"))

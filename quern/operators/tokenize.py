@@ -98,6 +98,53 @@ def _merged(s: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
+def learn_wordpiece(counts: DataFrame, merges: int, prefix: str = "##", min_frequency: int = 2, max_words: int = 200_000) -> list[str]:
+    """A WordPiece vocabulary: single characters (those inside a word marked by ``prefix``) and the pieces of ``merges``
+    merges of the pair with the best count / (count of left * count of right); ties go to the smaller pair.
+
+    As in ``learn_merges``, the ``max_words`` most frequent words are what the driver holds; a merge touches only the
+    words that hold its pair.
+    """
+    rows = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    words = [([c if i == 0 else prefix + c for i, c in enumerate(r["word"])], r["n"]) for r in rows if r["word"]]
+    singles: Counter = Counter()
+    pairs: Counter = Counter()
+    where: dict[tuple[str, str], set[int]] = {}
+
+    def count(i: int, sign: int) -> None:
+        s, n = words[i]
+        for x in s:
+            singles[x] += sign * n
+        for p in zip(s, s[1:], strict=False):
+            pairs[p] += sign * n
+            if sign > 0:
+                where.setdefault(p, set()).add(i)
+
+    for i in range(len(words)):
+        count(i, 1)
+    vocabulary = set(singles)
+    for _ in range(merges):
+        open_ = [(-n / (singles[p[0]] * singles[p[1]]), p) for p, n in pairs.items() if n >= min_frequency]
+        if not open_:
+            break
+        best = min(open_)[1]
+        joined = best[0] + best[1].removeprefix(prefix)
+        vocabulary.add(joined)
+        for i in sorted(where.pop(best)):
+            count(i, -1)
+            s, n = words[i]
+            out: list[str] = []
+            for x in s:
+                if out and (out[-1], x) == best:
+                    out[-1] = joined
+                else:
+                    out.append(x)
+            words[i] = (out, n)
+            count(i, 1)
+        pairs.pop(best, None)
+    return sorted(vocabulary)
+
+
 def vocabulary_ids(tokens: DataFrame, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """``token``, ``id``: the special tokens first, then by length, longest first, then by spelling."""
     from pyspark.sql import Window
@@ -220,6 +267,44 @@ def encoded(docs: DataFrame, pieces: DataFrame, ids: DataFrame, pattern: str = S
     return docs.select(key).join(out, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def with_ends(ids: Column, bos: int | None = 2, eos: int | None = 3) -> Column:
+    """The ids between the marks of beginning and end; a mark that is None is left out."""
+    return F.concat(*([F.array(F.lit(bos))] if bos is not None else []), ids, *([F.array(F.lit(eos))] if eos is not None else []))
+
+
+def decoded(rows: DataFrame, ids: DataFrame, form: str = "bpe", key: str = "doc_id", column: str = "ids", specials: tuple[str, ...] = SPECIALS, prefix: str = "##", unknown: str = "<unk>") -> DataFrame:
+    """``key``, ``text`` of id arrays: pieces joined by id with the vocabulary (``token``, ``id``), specials left out.
+
+    ``form`` says how pieces spell words: ``bpe`` (an end mark closes a word), ``wordpiece`` (``prefix`` continues one) or
+    ``unigram`` (pieces follow each other as they are). Ids that the vocabulary lacks give ``unknown``.
+    """
+    each = rows.select(key, F.posexplode(column).alias("at", "id")).join(ids.select("id", "token"), "id", "left")
+    each = each.withColumn("token", F.coalesce("token", F.lit(unknown))).where(~F.col("token").isin(*[s for s in specials if s != unknown]))
+    pieces = each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("p"))
+    if form == "bpe":
+        text = F.rtrim(F.replace(F.array_join("p", ""), F.lit(END), F.lit(" ")))
+    elif form == "wordpiece":
+        joined = F.transform("p", lambda t: F.when(t.startswith(prefix), F.substring(t, F.lit(len(prefix) + 1), F.char_length(t))).otherwise(F.concat(F.lit(" "), t)))
+        text = F.ltrim(F.array_join(joined, ""))
+    else:
+        text = F.array_join("p", "")
+    return rows.select(key).join(pieces.select(key, text.alias("text")), key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def save_tokenizer(path: str, ids: DataFrame, merges: list[tuple[str, str]] | None = None) -> None:
+    """Write vocabulary (``token``, ``id``) and merges (``rank``, ``left``, ``right``) as JSON lines under ``path``."""
+    ids.select("token", "id").write.mode("overwrite").json(f"{path}/vocabulary")
+    rows = [(i, a, b) for i, (a, b) in enumerate(merges or [])]
+    ids.sparkSession.createDataFrame(rows, "rank int, left string, right string").write.mode("overwrite").json(f"{path}/merges")
+
+
+def load_tokenizer(spark, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The vocabulary table and the merges, in order, that ``save_tokenizer`` wrote."""
+    ids = spark.read.schema("token string, id int").json(f"{path}/vocabulary")
+    merges = spark.read.schema("rank int, left string, right string").json(f"{path}/merges").orderBy("rank").collect()
+    return ids, [(r["left"], r["right"]) for r in merges]
+
+
 def char_vocabulary(docs: DataFrame, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     chars = docs.select(F.explode(F.split("text", "")).alias("token")).where("token <> ''")
     from pyspark.sql import Window
@@ -263,6 +348,15 @@ def overlap(vocabularies: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def common_to_all(vocabularies: dict[str, DataFrame]) -> DataFrame:
+    """One row: ``shared``, the tokens that all of the named vocabularies hold."""
+    tables = [vocabularies[n].select("token").distinct() for n in sorted(vocabularies)]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.intersect(t)
+    return out.agg(F.count("*").alias("shared"))
+
+
 def byte_words(counts: DataFrame) -> DataFrame:
     """Words spelled with one character for each of their UTF-8 bytes, for merges on the byte alphabet."""
     return counts.select(F.decode(F.encode("word", "UTF-8"), "ISO-8859-1").alias("word"), "n")
