@@ -279,10 +279,18 @@ def semantic_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float =
     """
     unique = persisted(vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(key).alias(key)).select(key, unit(F.col(vector)).alias("u")))
     planes, tables = sign_tables(unique.count(), threshold, recall)
-    rng = np.random.default_rng(seed)
-    normals = [[rng.normal(size=dim).tolist() for _ in range(planes)] for _ in range(tables)]
-    bits = lambda table: sum(((dot(F.col("u"), F.lit(p)) >= 0).cast("long") * (1 << i) for i, p in enumerate(table)), F.lit(0).cast("long"))
-    rows = persisted(unique.select(key, F.posexplode(F.array(*[bits(t) for t in normals])).alias("t", "code")))
+    normals = np.random.default_rng(seed).normal(size=(tables * planes, dim))
+    powers = 1 << np.arange(planes, dtype=np.int64)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = np.array(batch.column(1).to_pylist(), np.float64)
+            code = ((u @ normals.T >= 0).reshape(len(u), tables, planes) * powers).sum(axis=2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(u)), tables))), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(u))), pa.array(code.ravel())], names=[key, "t", "code"])
+
+    rows = persisted(unique.mapInArrow(codes, f"{key} {dict(vectors.dtypes)[key]}, t int, code long"))
     near = rows.select(F.col(key).alias("a"), "t", "code").join(rows.select(F.col(key).alias("b"), "t", "code"), ["t", "code"]).where("a < b").select("a", "b").distinct()
     near = near.join(unique.select(F.col(key).alias("a"), F.col("u").alias("ua")), "a").join(unique.select(F.col(key).alias("b"), F.col("u").alias("ub")), "b")
     return near.select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine")).where(F.col("cosine") > threshold)

@@ -65,8 +65,8 @@ def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with {BM25_CTE}, r as (select query_id, doc_id, round(sum(score), 9) as score from s group by all having round(sum(score), 9) > 0),
 h as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10),
 m as (select query_id, rank, (contains(d.text, b.text))::int as rel from h join documents d using (doc_id) join benchmark b on b.item_id = query_id),
-p as (select query_id, rel, sum(rel) over (partition by query_id order by rank) / rank as prec from m)
-select query_id, round(coalesce(avg(prec) filter (rel = 1), 0), 6)::double as precision from p group by query_id""")
+u as (select query_id, rel, sum(rel) over (partition by query_id order by rank) / rank as prec from m)
+select query_id, round(coalesce(avg(prec) filter (rel = 1), 0), 6)::double as precision from u group by query_id""")
 def context_precision(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
     hits = retrieval.search(retrieval.bm25_terms(docs, items))
