@@ -1,7 +1,7 @@
 """Pre-tokenisers and subword vocabularies.
 
-The corpus is reduced to word counts by Spark. Merge loops then run on the vocabulary, whose size a parameter bounds,
-and encoding runs once for each distinct word and is joined back.
+The corpus is reduced to word counts by Spark. Merge loops run on every distinct word: on the driver while these are few,
+else in rounds on Spark with the same result. Encoding runs once for each distinct word and is joined back.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.dedup import persisted, release
+
 END = "</w>"
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
 # The byte-level pre-tokeniser's pattern.
@@ -41,25 +43,39 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
-def pair_scores(words: DataFrame) -> DataFrame:
+def pair_scores(words: DataFrame, min_frequency: int = 0) -> DataFrame:
     """``left``, ``right``, ``score`` = count of the pair over the product of its symbols' counts."""
     singles = words.select("n", F.explode("symbols").alias("s")).groupBy("s").agg(F.sum("n").alias("m"))
-    joined = pair_counts(words).join(singles.select(F.col("s").alias("left"), F.col("m").alias("ml")), "left").join(singles.select(F.col("s").alias("right"), F.col("m").alias("mr")), "right")
+    joined = pair_counts(words).where(F.col("n") >= min_frequency).join(singles.select(F.col("s").alias("left"), F.col("m").alias("ml")), "left").join(singles.select(F.col("s").alias("right"), F.col("m").alias("mr")), "right")
     return joined.select("left", "right", (F.col("n") / (F.col("ml") * F.col("mr"))).alias("score"))
 
 
-def merge(symbols_: Column, left: str, right: str) -> Column:
-    """The array with each neighbouring ``left``, ``right`` joined, from the left."""
-    step = lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1) == left) & (s == right), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.lit(left + right)))).otherwise(F.array_append(a, s))
+def merge(symbols_: Column, left: str | Column, right: str | Column, joined: str | Column | None = None) -> Column:
+    """The array with each neighbouring ``left``, ``right`` made one symbol, from the left."""
+    a, b = F.lit(left), F.lit(right)
+    ab = F.concat(a, b) if joined is None else F.lit(joined)
+    step = lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1) == a) & (s == b), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(ab))).otherwise(F.array_append(done, s))
     return F.aggregate(symbols_, F.array().cast("array<string>"), step)
 
 
+def _merge_all(symbols_: Column, pairs: list[tuple[str, str, str]]) -> Column:
+    """``merge`` for each (left, right, joined) in order; words without both symbols are left alone."""
+    todo = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(ab).alias("ab")) for a, b, ab in pairs))
+    step = lambda s, m: F.when(F.array_contains(s, m["a"]) & F.array_contains(s, m["b"]), merge(s, m["a"], m["b"], m["ab"])).otherwise(s)
+    return F.aggregate(todo, symbols_, step)
+
+
 def learn_merges(counts: DataFrame, merges: int, min_frequency: int = 2, max_words: int = 200_000) -> list[tuple[str, str]]:
-    """Byte-pair merges from the ``max_words`` most frequent words; ties go to the smaller pair.
+    """Byte-pair merges learned from every word; ties go to the smaller pair.
 
-    ``max_words`` bounds what the driver holds; pair counts are kept up to date by touching only the words of a merge.
+    Up to ``max_words`` distinct words the driver holds them and a merge touches only the words of its pair. More words stay
+    a Spark table that is counted in rounds; the merges are the same.
     """
-    rows = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    table = persisted(counts.select("word", "n"))
+    rows = table.limit(max_words + 1).collect()
+    if len(rows) > max_words:
+        return _merge_rounds(table, merges, min_frequency)
+    release(table)
     words = [([*r["word"], END], r["n"]) for r in rows]
     pairs: Counter = Counter()
     where: dict[tuple[str, str], set[int]] = {}
@@ -88,6 +104,50 @@ def learn_merges(counts: DataFrame, merges: int, min_frequency: int = 2, max_wor
     return out
 
 
+def _merge_rounds(words: DataFrame, merges: int, min_frequency: int, candidates: int = 256) -> list[tuple[str, str]]:
+    """The merges of ``learn_merges`` with the words in a table: a round counts all pairs, brings the ``candidates`` most
+    frequent to the driver, and applies those that no earlier merge of the round can overtake (``_settled``)."""
+    state = persisted(words.select("n", symbols(F.col("word")).alias("symbols")))
+    release(words)
+    out: list[tuple[str, str]] = []
+    made = {END}
+    while len(out) < merges:
+        ranked = pair_counts(state).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right").limit(candidates).collect()
+        batch = _settled([((r["left"], r["right"]), r["n"]) for r in ranked], made, len(ranked) < candidates)[: merges - len(out)]
+        if not batch:
+            break
+        out += batch
+        made |= {a + b for a, b in batch}
+        last, state = state, persisted(state.select("n", _merge_all(F.col("symbols"), [(a, b, a + b) for a, b in batch]).alias("symbols")).where(F.size("symbols") > 1))
+        release(last)
+    release(state)
+    return out
+
+
+def _settled(ranked: list[tuple[tuple[str, str], int]], made: set[str], complete: bool) -> list[tuple[str, str]]:
+    """The head of the ranking that stays the head, in this order, while it is merged one by one.
+
+    Merging (a, b) changes the counts of pairs that end in a or start with b only, and a pair that it makes is at most as
+    frequent as one of these. So pairs more frequent than the first such pair are safe. A merge whose symbol exists already,
+    or of a symbol with itself, ends the round, and so does the end of an incomplete ranking.
+    """
+    taken: list[tuple[str, str]] = []
+    floor = 0 if complete or not ranked else ranked[-1][1]
+    new: set[str] = set()
+    for i, ((a, b), n) in enumerate(ranked):
+        if i and n <= floor:
+            break
+        if any(b == x or a == y for x, y in taken):
+            while taken[1:] and ranked[len(taken) - 1][1] == n:
+                taken.pop()
+            break
+        taken.append((a, b))
+        if a == b or a + b in made or a + b in new:
+            break
+        new.add(a + b)
+    return taken
+
+
 def _merged(s: list[str], pair: tuple[str, str]) -> list[str]:
     out: list[str] = []
     for x in s:
@@ -102,11 +162,15 @@ def learn_wordpiece(counts: DataFrame, merges: int, prefix: str = "##", min_freq
     """A WordPiece vocabulary: single characters (those inside a word marked by ``prefix``) and the pieces of ``merges``
     merges of the pair with the best count / (count of left * count of right); ties go to the smaller pair.
 
-    As in ``learn_merges``, the ``max_words`` most frequent words are what the driver holds; a merge touches only the
-    words that hold its pair.
+    As in ``learn_merges``, the driver holds up to ``max_words`` distinct words, and more are counted by Spark, here with
+    one merge a round, because a merge changes the score of every pair that shares a symbol with it.
     """
-    rows = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
-    words = [([c if i == 0 else prefix + c for i, c in enumerate(r["word"])], r["n"]) for r in rows if r["word"]]
+    table = persisted(counts.where("word <> ''").select("word", "n"))
+    rows = table.limit(max_words + 1).collect()
+    if len(rows) > max_words:
+        return _wordpiece_rounds(table, merges, prefix, min_frequency)
+    release(table)
+    words = [([c if i == 0 else prefix + c for i, c in enumerate(r["word"])], r["n"]) for r in rows]
     singles: Counter = Counter()
     pairs: Counter = Counter()
     where: dict[tuple[str, str], set[int]] = {}
@@ -145,6 +209,24 @@ def learn_wordpiece(counts: DataFrame, merges: int, prefix: str = "##", min_freq
     return sorted(vocabulary)
 
 
+def _wordpiece_rounds(words: DataFrame, merges: int, prefix: str, min_frequency: int) -> list[str]:
+    """``learn_wordpiece`` with the words in a table; the best pair of each round and the characters reach the driver."""
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    state = persisted(words.select("n", F.transform(letters, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c))).alias("symbols")))
+    release(words)
+    vocabulary = {r["s"] for r in state.select(F.explode("symbols").alias("s")).distinct().collect()}
+    for _ in range(merges):
+        best = pair_scores(state, min_frequency).orderBy(F.desc("score"), "left", "right").first()
+        if best is None:
+            break
+        joined = best["left"] + best["right"].removeprefix(prefix)
+        vocabulary.add(joined)
+        last, state = state, persisted(state.select("n", _merge_all(F.col("symbols"), [(best["left"], best["right"], joined)]).alias("symbols")))
+        release(last)
+    release(state)
+    return sorted(vocabulary)
+
+
 def vocabulary_ids(tokens: DataFrame, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """``token``, ``id``: the special tokens first, then by length, longest first, then by spelling."""
     from pyspark.sql import Window

@@ -119,15 +119,8 @@ def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.search(retrieval.tfidf_terms(read(spark, sf, "documents"), read(spark, sf, "benchmark"))).withColumn("score", F.round("score", 4))
 
 
-@query(f"with {BM25_CTE} select query_id, doc_id, term, round(score, 5)::double as score from s where query_id < 5")
+@query(f"with {BM25_CTE} select query_id, doc_id, term, round(score, 5)::double as score from s")
 def term_contributions(spark: SparkSession, sf: str) -> DataFrame:
-    """The stated queries are the benchmark items 0 to 4."""
-    items = read(spark, sf, "benchmark").where("item_id < 5")
-    return rounded(retrieval.bm25_terms(read(spark, sf, "documents"), items), 5)
-
-
-@query()
-def term_contributions_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item is a query."""
     return rounded(retrieval.bm25_terms(read(spark, sf, "documents"), read(spark, sf, "benchmark")), 5)
 
@@ -427,11 +420,14 @@ def vocab_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tokenize.coverage(count("documents"), count("benchmark")))
 
 
-@query(rf"""with v as (select lang, unnest({WORDS}) as token from documents), n as (select unnest(['de', 'en', 'es', 'fr']) as l)
+@query(rf"""with v as (select lang, unnest({WORDS}) as token from documents), n as (select distinct lang as l from documents where lang is not null)
 select x.l as a, y.l as b, (select count(*) from (select token from v where lang = x.l intersect select token from v where lang = y.l)) as shared from n x join n y on x.l < y.l""")
 def vocab_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    words = read(spark, sf, "documents").select("lang", F.explode(T.words(F.col("text"))).alias("token"))
-    return tokenize.overlap({name: words.where(F.col("lang") == name) for name in ("de", "en", "es", "fr")})
+    """Between all languages, whose number is small."""
+    docs = read(spark, sf, "documents")
+    languages = [r["lang"] for r in docs.where("lang is not null").select("lang").distinct().orderBy("lang").collect()]
+    words = docs.select("lang", F.explode(T.words(F.col("text"))).alias("token"))
+    return tokenize.overlap({name: words.where(F.col("lang") == name) for name in languages})
 
 
 @query("with c as (select doc_id, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)) || [0] as t from documents), s as (select doc_id, unnest(t) as id, unnest(range(0, len(t))) as i from c), g as (select id, row_number() over (order by doc_id, i) - 1 as pos from s) select (pos // 512)::bigint as block, list(id order by pos) as ids from g group by 1")
@@ -484,13 +480,6 @@ def mlm_examples(spark: SparkSession, sf: str) -> DataFrame:
     return examples.mask_tokens(read(spark, sf, "documents").select("doc_id", ids.alias("ids")), 30, 31).select("doc_id", "masked", "labels")
 
 
-@query("select doc_id, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || hex(encode(text))[2 * i - 1:2 * i])::int) as bytes from documents where n_chars < 200")
+@query(r"select doc_id, list_transform(list_filter(string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' '), lambda x: x <> ''), lambda x: ('0x' || x)::int) as bytes from documents")
 def utf8_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the short documents, a stated selection by length."""
-    return read(spark, sf, "documents").where("n_chars < 200").select("doc_id", tokenize.utf8(F.col("text")).alias("bytes"))
-
-
-@query()
-def utf8_bytes_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every document."""
     return read(spark, sf, "documents").select("doc_id", tokenize.utf8(F.col("text")).alias("bytes"))

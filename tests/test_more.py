@@ -54,3 +54,24 @@ def test_clusters_and_flatten(spark):
     assert len({found[i] for i in range(0, 20, 2)}) == 1 and found[0] != found[1]
     nested = spark.range(1).select(F.struct(F.lit(1).alias("b"), F.struct(F.lit(2).alias("d")).alias("c")).alias("a"), F.lit(3).alias("e"))
     assert tables.flatten(nested).columns == ["a/b", "a/c/d", "e"]
+
+
+def test_merges_of_a_large_vocabulary_are_those_of_the_driver(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for letters in ("ab", "abc", "é\U0001f600xyz</w>") for _ in range(60)}
+    counts = spark.createDataFrame([(w, rng.choice((1, 2, 2, 3, 50))) for w in sorted(words)], "word string, n long")
+    few = tokenize.learn_merges(counts, 25)
+    assert few == tokenize.learn_merges(counts, 25, max_words=10) and len(few) == 25
+    tiny = spark.createDataFrame([("aaaa", 3), ("abab", 2), ("", 5)], "word string, n long")
+    assert tokenize.learn_merges(tiny, 50) == tokenize.learn_merges(tiny, 50, max_words=0)
+    assert tokenize.learn_merges(counts.where("n < 0"), 5) == []
+    assert tokenize.learn_wordpiece(counts, 6) == tokenize.learn_wordpiece(counts, 6, max_words=10)
+
+
+def test_settled_head_of_the_ranking():
+    ranked = [(("a", "b"), 9), (("c", "d"), 8), (("e", "f"), 7), (("b", "c"), 7), (("g", "h"), 6)]
+    assert tokenize._settled(ranked, set(), True) == [("a", "b"), ("c", "d")]
+    assert tokenize._settled(ranked[:3], set(), False) == [("a", "b"), ("c", "d")]
+    assert tokenize._settled(ranked[:3], set(), True) == [("a", "b"), ("c", "d"), ("e", "f")]
+    assert tokenize._settled(ranked, {"ab"}, True) == [("a", "b")] and tokenize._settled([], set(), True) == []
+    assert tokenize._settled([(("a", "a"), 5), (("c", "d"), 4)], set(), True) == [("a", "a")]

@@ -282,11 +282,9 @@ def test_text_helpers_agree(spark):
 def test_whole_tables_of_bytes_and_term_contributions(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in tables.read(spark, sf, "documents").collect()}
-    got = {r["doc_id"]: r["bytes"] for r in QUERIES["utf8_bytes_all"](spark, sf).collect()}
+    got = {r["doc_id"]: r["bytes"] for r in QUERIES["utf8_bytes"](spark, sf).collect()}
     assert {d: list(t.encode()) for d, t in texts.items() if t is not None} == {d: b for d, b in got.items() if texts[d] is not None} and got.keys() == texts.keys()
-    every = QUERIES["term_contributions_all"](spark, sf).collect()
-    few = QUERIES["term_contributions"](spark, sf).collect()
-    assert sorted(map(tuple, few)) == sorted(tuple(r) for r in every if r["query_id"] < 5)
+    every = QUERIES["term_contributions"](spark, sf).collect()
     asked = {r["item_id"]: set(re.findall(r"[a-z]+", r["text"].lower())) for r in tables.read(spark, sf, "benchmark").collect()}
     held = {w for t in texts.values() for w in re.findall(r"[a-z]+", (t or "").lower())}
     assert {r["query_id"] for r in every} >= {i for i, words in asked.items() if any(len(w) > 3 and w in held for w in words)}
