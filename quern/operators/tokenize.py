@@ -396,9 +396,9 @@ def char_vocabulary(docs: DataFrame, specials: tuple[str, ...] = SPECIALS) -> Da
 
 
 def utf8(text: Column) -> Column:
-    """The bytes of the text as an array of 0 to 255."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    return F.transform(F.when(F.length(h) > 0, F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    """The bytes of the text as an array of 0 to 255; null for null."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def from_utf8(codes: Column) -> Column:
