@@ -120,6 +120,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_context")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels are learned from rows whose id's crc32 mod 5 is not 0."""
+    from quern.llm import textquality
+
+    docs = table(spark, sf_dir, "documents")
+    model = textquality.fit(*textquality.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    scored = textquality.score_quality(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_span_dedup": op2_span_dedup,
@@ -131,5 +141,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
     "op10_pii": op10_pii,
+    "op11_quality": op11_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
