@@ -73,3 +73,16 @@ def blocks(batch: pa.RecordBatch, text: str, max_chars: int = 4_000_000) -> Iter
         total += size
     if start < len(sizes):
         yield batch.slice(start), column.slice(start).to_pylist()
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:
+    """``rows`` inner-joined to ``counts``, whose ``keys`` are unique and whose ``_rows`` says how many rows have them.
+
+    Keys with more than a ``most``-th of all rows, of which there are fewer than ``most``, are broadcast, so no task
+    takes such a key whole; the others meet in the shuffle. ``counts`` should be a written table: it is read three times.
+    """
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    hot = counts.where(F.col("_rows") > total / most)
+    met = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counts.where(F.col("_rows") <= total / most), keys)
+    return met.unionByName(rest)

@@ -130,6 +130,52 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent words of all documents with the form and root of each."""
+    from quern.llm import spelling
+
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with recursive tab as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select unnest(range(256)) as i))),
+runs as (
+  select coalesce(doc_id::varchar, 'null') as id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, count(*) as k
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as r from documents)
+  where length(r) >= 6 group by all),
+bytes as (
+  select low, k, flatten(list_transform(string_split(id || ':' || low, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)] else [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] end)) as b
+  from runs),
+hashed as (
+  select low, k, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: x::bigint)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) as h
+  from bytes, tab),
+made as (
+  select case when h % 199 = 0 then left(low, (h % length(low))::int) || substr(low, (h % length(low))::int + 2) else low end as word, k from hashed),
+words as materialized (select word, sum(k)::bigint as n from made where length(word) >= 6 group by word having sum(k) >= 5),
+cut as materialized (
+  select distinct word, n, i, left(word, i - 1) as a, substr(word, i + 1) as z from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+  select x.word, y.word as near, y.n as near_n from cut x join cut y on x.i = y.i and x.a = y.a and x.z = y.z and x.word <> y.word
+  union
+  select c.word, w.word, w.n from cut c join words w on w.word = c.a || c.z
+  union
+  select w.word, c.word, c.n from cut c join words w on w.word = c.a || c.z),
+best as (select word, count(*) as n_near, arg_min(near, row(-near_n, near)) as form, max(near_n) as form_n from pairs group by word),
+known as materialized (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.form_n >= 5 * w.n then b.form end as form, case when b.form_n >= 5 * w.n then b.form_n end as form_n
+  from words w left join best b on w.word = b.word),
+walk as (
+  select word, word as cur, 0 as step from known
+  union all
+  select walk.word, known.form, step + 1 from walk join known on known.word = walk.cur where known.form is not null)
+select k.word, k.form, r.root, k.n, k.n_near, k.form_n
+from known k join (select word, arg_max(cur, step) as root from walk group by word) r on r.word = k.word
+"""
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_span_dedup": op2_span_dedup,
@@ -142,5 +188,6 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_pii": op10_pii,
     "op11_quality": op11_quality,
+    "op12_spelling_variants": op12_spelling_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op12_spelling_variants": OP12_SQL}
