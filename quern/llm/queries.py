@@ -176,6 +176,52 @@ from known k join (select word, arg_max(cur, step) as root from walk group by wo
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt on shared beginnings."""
+    from quern.llm import prefixes
+
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+with tab as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select unnest(range(256)) as i))),
+heads as (
+  select conv_id, conv_id - conv_id % 5 as donor,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: unicode(x)::bigint)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 9 as h
+  from (select distinct conv_id from conversations where conv_id is not null), tab),
+turns as (
+  select conv_id, turn, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as mark, octet_length(encode(coalesce(text, '')))::bigint as n_bytes
+  from conversations where conv_id is not null),
+placed as (select conv_id, mark, n_bytes, row_number() over (partition by conv_id order by turn nulls first, mark) as i from turns),
+both_parts as (
+  select g.conv_id, 0 as part, p.i, p.mark, p.n_bytes from heads g join placed p on p.conv_id = g.donor where p.i <= g.h
+  union all
+  select g.conv_id, 1, p.i, p.mark, p.n_bytes from heads g join placed p on p.conv_id = g.conv_id where p.i > g.h),
+numbered as (select conv_id, mark, n_bytes, row_number() over (partition by conv_id order by part, i) as depth from both_parts),
+steps as (
+  select conv_id, depth, n_bytes, string_agg(mark, '') over (partition by conv_id order by depth rows unbounded preceding) as key from numbered
+  union all
+  select conv_id, 0, 0, '' from heads),
+sizes as (select conv_id, max(depth) as size from steps group by conv_id),
+nodes as (
+  select depth, key, min(s.conv_id) as conv_id, count(*) as n_convs, max(n_bytes) as n_bytes,
+         sha256(coalesce(string_agg(s.conv_id::varchar, ',' order by s.conv_id) filter (depth = size), '')) as ends_sha256
+  from steps s join sizes z on s.conv_id = z.conv_id group by depth, key),
+kids as (select depth - 1 as depth, left(key, (64 * (depth - 1))::int) as key, count(*) as n_children from nodes where depth > 0 group by all),
+full_nodes as (select n.*, coalesce(k.n_children, 0) as n_children from nodes n left join kids k on n.depth = k.depth and n.key = k.key),
+up as (
+  select a as depth, left(key, (64 * a)::int) as key, sum((n_children = 0)::bigint) as n_leaves, sum((n_convs - 1) * n_bytes) as saved_tokens
+  from (select *, unnest(range(depth + 1)) as a from full_nodes) group by all)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, n.n_children::bigint as n_children,
+       u.n_leaves::bigint as n_leaves, u.saved_tokens::bigint as saved_tokens, n.ends_sha256
+from full_nodes n join up u on n.depth = u.depth and n.key = u.key
+left join nodes p on p.depth = n.depth - 1 and p.key = left(n.key, (64 * (n.depth - 1))::int)
+"""
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_span_dedup": op2_span_dedup,
@@ -189,5 +235,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_quality": op11_quality,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op12_spelling_variants": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op12_spelling_variants": OP12_SQL, "op13_prefix_trie": OP13_SQL}
