@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.joins import join_counted
+from quern.operators.dedup import persisted
 from quern.operators.retrieval import cosine, top_k
 
 
@@ -32,8 +34,6 @@ def communities(links: DataFrame, rounds: int = 10) -> DataFrame:
 
     Labels of all nodes change at once, so rounds are bounded; the name of a community is its smallest member.
     """
-    from quern.operators.dedup import persisted
-
     both = links.select("a", "b", "weight").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     both = persisted(both.unionAll(both.groupBy("a").agg(F.max("weight").alias("weight")).select("a", F.col("a").alias("b"), "weight")))
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
@@ -44,7 +44,123 @@ def communities(links: DataFrame, rounds: int = 10) -> DataFrame:
         labels = new
         if same:
             break
-    return labels.withColumn("community", F.min("node").over(Window.partitionBy("label"))).select("node", "community")
+    named = persisted(labels.groupBy("label").agg(F.min("node").alias("community"), F.count("*").alias("_rows")))
+    return join_counted(labels, named, ["label"]).select("node", "community")
+
+
+def adjacency(links: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``weight`` in both directions: parallel links are added up, links of a node to itself left out."""
+    rows = links.where("a is not null and b is not null and a <> b and weight is not null").select("a", "b", F.col("weight").cast("double").alias("weight"))
+    return rows.unionAll(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def _with_labels(rows: DataFrame, labels: DataFrame, degrees: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the label of the node in ``key``; a node of very many links is broadcast."""
+    known = degrees.select("node", "_rows").join(labels, "node").select(F.col("node").alias(key), F.col("label").alias(name), "_rows")
+    return join_counted(rows, persisted(known), [key]).drop("_rows")
+
+
+def _objective(pairs: DataFrame, labels: DataFrame, degrees: DataFrame, resolution: float, m: float) -> float:
+    """Sum over communities of (weight inside) / m - resolution * (degrees / 2m)^2, from links whose ends have labels."""
+    inside = pairs.where("la = lb").agg(F.sum("weight")).first()[0] or 0.0
+    sizes = labels.join(degrees, "node").groupBy("label").agg(F.sum("k").alias("s"))
+    return inside / (2 * m) - resolution * (sizes.agg(F.sum(F.pow(F.col("s") / (2 * m), F.lit(2.0)))).first()[0] or 0.0)
+
+
+def _total(links: DataFrame, total: str) -> float:
+    if total not in ("weight", "count"):
+        raise ValueError("total must be weight or count")
+    row = links.agg(F.sum("weight").alias("weight"), F.count("*").alias("count")).first()
+    return float(row[total] or 0) / 2
+
+
+def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0, total: str = "weight") -> float:
+    """Modularity of ``node``, ``community`` on weighted links. ``total="count"`` divides by the number of links instead of their weight."""
+    both = persisted(adjacency(links))
+    m = _total(both, total)
+    if not m:
+        return 0.0
+    degrees = persisted(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"), F.count("*").alias("_rows")))
+    named = labels.select("node", F.col("community").alias("label"))
+    pairs = _with_labels(_with_labels(both, named, degrees, "a", "la"), named, degrees, "b", "lb")
+    return _objective(pairs, named, degrees, resolution, m)
+
+
+def _gains(pairs: DataFrame, labels: DataFrame, degrees: DataFrame, resolution: float, m: float) -> DataFrame:
+    """``node``, ``label``, ``to``, ``gain``: each node's best move to a neighbour's community that raises the objective; ties
+    go to the smallest name. A community's total degree comes from an aggregate, never from its members in one task."""
+    near = pairs.groupBy(F.col("a").alias("node"), F.col("la").alias("label"), F.col("lb").alias("to")).agg(F.sum("weight").alias("w"))
+    sums = labels.join(degrees, "node").groupBy("label").agg(F.sum("k").alias("s"))
+    near = persisted(near)
+    asked = near.select(F.col("to").alias("label")).unionAll(labels.select("label")).groupBy("label").agg(F.count("*").alias("_rows"))
+    known = persisted(asked.join(sums, "label"))
+    own = join_counted(labels.join(degrees.select("node", "k"), "node"), known, ["label"]).drop("_rows")
+    stay = near.where("label = to").select("node", F.col("w").alias("w_own"))
+    own = own.join(stay, "node", "left").select("node", "k", (F.coalesce("w_own", F.lit(0.0)) - resolution * F.col("k") * (F.col("s") - F.col("k")) / (2 * m)).alias("out"))
+    there = join_counted(near.where("label <> to"), known.withColumnRenamed("label", "to"), ["to"]).join(own, "node")
+    gain = F.round((F.col("w") - resolution * F.col("k") * F.col("s") / (2 * m) - F.col("out")) / m, 12)
+    moves = there.select("node", "label", "to", gain.alias("gain")).where("gain > 0")
+    best = F.max(F.struct("gain")).alias("best")
+    top = moves.groupBy("node", "label").agg(best).select("node", "label", F.col("best.gain").alias("gain"))
+    return moves.join(top, ["node", "label", "gain"]).groupBy("node", "label", "gain").agg(F.min("to").alias("to")).select("node", "label", "to", "gain")
+
+
+def _apart(moves: DataFrame, round_: int) -> DataFrame:
+    """Moves of which no two leave or enter the same community: their gains add up exactly. A move is taken if it is the
+    best of both its communities, so the best of all always is."""
+    touched = moves.select(F.explode(F.array("label", "to")).alias("community"), F.struct("gain", F.xxhash64("node", F.lit(round_)).alias("h"), "node", "to").alias("move"))
+    winners = touched.groupBy("community").agg(F.max("move").alias("move"))
+    return winners.groupBy("move.node", "move.to").agg(F.count("*").alias("n")).where("n = 2").select("node", "to")
+
+
+def louvain(links: DataFrame, resolution: float = 1.0, rounds: int = 60, total: str = "weight") -> tuple[DataFrame, list[float]]:
+    """``node``, ``community`` by local moving on modularity, and the modularity after each round, which never falls.
+
+    Each round every node names its best move. A share of all moves, picked by hash, is tried at once and kept if
+    modularity rises at least as much as by the moves that can't disturb each other (no two touch the same community),
+    which are taken otherwise; the share doubles when it was kept and is cut to a quarter when not. It ends when no single
+    move raises modularity, a local optimum. Communities are named by their smallest member. Isolated nodes don't occur in
+    links; with ``total="count"`` the number of links stands for their total weight, as some programs have it.
+    """
+    both = persisted(adjacency(links))
+    m = _total(both, total)
+    degrees = persisted(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"), F.count("*").alias("_rows")))
+    labels = degrees.select("node", F.col("node").alias("label"))
+    if not m:
+        return labels.withColumnRenamed("label", "community"), []
+
+    def placed(named: DataFrame) -> tuple[DataFrame, float]:
+        pairs = persisted(_with_labels(_with_labels(both, named, degrees, "a", "la"), named, degrees, "b", "lb"))
+        return pairs, _objective(pairs, named, degrees, resolution, m)
+
+    def moved(named: DataFrame, moves: DataFrame) -> DataFrame:
+        return persisted(named.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+    pairs, now = placed(labels)
+    history, share = [now], 1.0
+    for round_ in range(rounds):
+        moves = persisted(_gains(pairs, labels, degrees, resolution, m))
+        if not moves.limit(1).count():
+            break
+        apart = persisted(_apart(moves, round_))
+        sure = apart.join(moves, ["node", "to"]).agg(F.sum("gain")).first()[0] or 0.0
+        tried = None
+        if share > 1e-4 and moves.count() > 1:
+            # Half of the moves go down in name and half up, by turns, so that two nodes don't trade places.
+            way: Column = F.col("to") < F.col("label") if round_ % 2 == 0 else F.col("to") > F.col("label")
+            some = moves.where(way & (F.pmod(F.xxhash64("node", F.lit(-round_ - 1)), F.lit(10_000)) < share * 10_000))
+            named = moved(labels, some)
+            found = placed(named)
+            if found[1] >= now + sure and found[1] > now:
+                tried = (named, *found)
+            share = min(1.0, share * 2) if tried else share / 4
+        if tried is None:
+            named = moved(labels, apart)
+            tried = (named, *placed(named))
+        labels, pairs, now = tried
+        history.append(now)
+    least = persisted(labels.groupBy("label").agg(F.min("node").alias("community"), F.count("*").alias("_rows")))
+    return join_counted(labels, least, ["label"]).select("node", "community"), history
 
 
 def summaries(links: DataFrame, members: DataFrame, most: int = 5) -> DataFrame:
