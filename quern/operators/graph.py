@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.joins import join_counted
@@ -54,54 +56,67 @@ def adjacency(links: DataFrame) -> DataFrame:
     return rows.unionAll(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def _with_labels(rows: DataFrame, labels: DataFrame, degrees: DataFrame, key: str, name: str) -> DataFrame:
-    """``rows`` with the label of the node in ``key``; a node of very many links is broadcast."""
-    known = degrees.select("node", "_rows").join(labels, "node").select(F.col("node").alias(key), F.col("label").alias(name), "_rows")
-    return join_counted(rows, persisted(known), [key]).drop("_rows")
+@dataclass
+class _Level:
+    """A graph of one level: links both ways (``a``, ``b``, ``weight``), ``nodes`` (node, k: degree by weight, _rows: links), the
+    weight inside nodes (both ways), and half the total weight of all levels."""
+
+    links: DataFrame
+    nodes: DataFrame
+    inner: float
+    m: float
+    n_links: int
 
+    def placed(self, labels: DataFrame, resolution: float) -> tuple[DataFrame, float]:
+        """``node``, ``label``, ``to``, ``w``: the weight from each node to each community around it, and the objective: the sum
+        over communities of (weight inside) / m - resolution * (degrees / 2m)^2. A node of very many links is broadcast to them."""
+        known = self.nodes.select("node", "_rows").join(labels, "node")
+        pairs = self.links
+        for end, name in (("a", "label"), ("b", "to")):
+            pairs = join_counted(pairs, known.toDF(end, "_rows", name), [end], total=self.n_links).drop("_rows")
+        near = persisted(pairs.groupBy(F.col("a").alias("node"), "label", "to").agg(F.sum("weight").alias("w")))
+        sizes = labels.join(self.nodes, "node").groupBy("label").agg(F.sum("k").alias("s"))
+        parts = near.where("label = to").agg(F.sum("w").alias("inside")).crossJoin(sizes.agg(F.sum(F.pow(F.col("s") / (2 * self.m), F.lit(2.0))).alias("expected")))
+        row = parts.first()
+        return near, ((row["inside"] or 0.0) + self.inner) / (2 * self.m) - resolution * (row["expected"] or 0.0)
 
-def _objective(pairs: DataFrame, labels: DataFrame, degrees: DataFrame, resolution: float, m: float) -> float:
-    """Sum over communities of (weight inside) / m - resolution * (degrees / 2m)^2, from links whose ends have labels."""
-    inside = pairs.where("la = lb").agg(F.sum("weight")).first()[0] or 0.0
-    sizes = labels.join(degrees, "node").groupBy("label").agg(F.sum("k").alias("s"))
-    return inside / (2 * m) - resolution * (sizes.agg(F.sum(F.pow(F.col("s") / (2 * m), F.lit(2.0)))).first()[0] or 0.0)
 
+def _level(links: DataFrame, nodes: DataFrame, inner: float, m: float) -> _Level:
+    links = persisted(links)
+    ends = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("_rows"))
+    known = persisted(nodes.join(ends, "node", "left").select("node", "k", F.coalesce("_rows", F.lit(0)).cast("long").alias("_rows")))
+    return _Level(links, known, inner, m, links.count())
 
-def _total(links: DataFrame, total: str) -> float:
+
+def _bottom(links: DataFrame, total: str) -> _Level:
     if total not in ("weight", "count"):
         raise ValueError("total must be weight or count")
-    row = links.agg(F.sum("weight").alias("weight"), F.count("*").alias("count")).first()
-    return float(row[total] or 0) / 2
+    both = persisted(adjacency(links))
+    row = both.agg(F.sum("weight").alias("weight"), F.count("*").alias("count")).first()
+    return _level(both, both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), 0.0, float(row[total] or 0) / 2)
 
 
 def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0, total: str = "weight") -> float:
     """Modularity of ``node``, ``community`` on weighted links. ``total="count"`` divides by the number of links instead of their weight."""
-    both = persisted(adjacency(links))
-    m = _total(both, total)
-    if not m:
-        return 0.0
-    degrees = persisted(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"), F.count("*").alias("_rows")))
-    named = labels.select("node", F.col("community").alias("label"))
-    pairs = _with_labels(_with_labels(both, named, degrees, "a", "la"), named, degrees, "b", "lb")
-    return _objective(pairs, named, degrees, resolution, m)
+    level = _bottom(links, total)
+    return level.placed(labels.select("node", F.col("community").alias("label")), resolution)[1] if level.m else 0.0
 
 
-def _gains(pairs: DataFrame, labels: DataFrame, degrees: DataFrame, resolution: float, m: float) -> DataFrame:
+def _gains(near: DataFrame, labels: DataFrame, level: _Level, resolution: float) -> DataFrame:
     """``node``, ``label``, ``to``, ``gain``: each node's best move to a neighbour's community that raises the objective; ties
     go to the smallest name. A community's total degree comes from an aggregate, never from its members in one task."""
-    near = pairs.groupBy(F.col("a").alias("node"), F.col("la").alias("label"), F.col("lb").alias("to")).agg(F.sum("weight").alias("w"))
-    sums = labels.join(degrees, "node").groupBy("label").agg(F.sum("k").alias("s"))
-    near = persisted(near)
+    sums = labels.join(level.nodes, "node").groupBy("label").agg(F.sum("k").alias("s"))
     asked = near.select(F.col("to").alias("label")).unionAll(labels.select("label")).groupBy("label").agg(F.count("*").alias("_rows"))
-    known = persisted(asked.join(sums, "label"))
-    own = join_counted(labels.join(degrees.select("node", "k"), "node"), known, ["label"]).drop("_rows")
+    known = asked.join(sums, "label")
+    own = join_counted(labels.join(level.nodes.select("node", "k"), "node"), known, ["label"], total=level.n_links).drop("_rows")
     stay = near.where("label = to").select("node", F.col("w").alias("w_own"))
-    own = own.join(stay, "node", "left").select("node", "k", (F.coalesce("w_own", F.lit(0.0)) - resolution * F.col("k") * (F.col("s") - F.col("k")) / (2 * m)).alias("out"))
-    there = join_counted(near.where("label <> to"), known.withColumnRenamed("label", "to"), ["to"]).join(own, "node")
-    gain = F.round((F.col("w") - resolution * F.col("k") * F.col("s") / (2 * m) - F.col("out")) / m, 12)
+    share = resolution / (2 * level.m)
+    own = own.join(stay, "node", "left").select("node", "k", (F.coalesce("w_own", F.lit(0.0)) - share * F.col("k") * (F.col("s") - F.col("k"))).alias("out"))
+    there = join_counted(near.where("label <> to"), known.withColumnRenamed("label", "to"), ["to"], total=level.n_links).join(own, "node")
+    gain = F.round((F.col("w") - share * F.col("k") * F.col("s") - F.col("out")) / level.m, 12)
     moves = there.select("node", "label", "to", gain.alias("gain")).where("gain > 0")
-    best = F.max(F.struct("gain")).alias("best")
-    top = moves.groupBy("node", "label").agg(best).select("node", "label", F.col("best.gain").alias("gain"))
+    # the best move by gain, then by the smallest name: names can't be negated, so it takes two steps
+    top = moves.groupBy("node", "label").agg(F.max("gain").alias("gain"))
     return moves.join(top, ["node", "label", "gain"]).groupBy("node", "label", "gain").agg(F.min("to").alias("to")).select("node", "label", "to", "gain")
 
 
@@ -110,55 +125,74 @@ def _apart(moves: DataFrame, round_: int) -> DataFrame:
     best of both its communities, so the best of all always is."""
     touched = moves.select(F.explode(F.array("label", "to")).alias("community"), F.struct("gain", F.xxhash64("node", F.lit(round_)).alias("h"), "node", "to").alias("move"))
     winners = touched.groupBy("community").agg(F.max("move").alias("move"))
-    return winners.groupBy("move.node", "move.to").agg(F.count("*").alias("n")).where("n = 2").select("node", "to")
-
-
-def louvain(links: DataFrame, resolution: float = 1.0, rounds: int = 60, total: str = "weight") -> tuple[DataFrame, list[float]]:
-    """``node``, ``community`` by local moving on modularity, and the modularity after each round, which never falls.
-
-    Each round every node names its best move. A share of all moves, picked by hash, is tried at once and kept if
-    modularity rises at least as much as by the moves that can't disturb each other (no two touch the same community),
-    which are taken otherwise; the share doubles when it was kept and is cut to a quarter when not. It ends when no single
-    move raises modularity, a local optimum. Communities are named by their smallest member. Isolated nodes don't occur in
-    links; with ``total="count"`` the number of links stands for their total weight, as some programs have it.
-    """
-    both = persisted(adjacency(links))
-    m = _total(both, total)
-    degrees = persisted(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"), F.count("*").alias("_rows")))
-    labels = degrees.select("node", F.col("node").alias("label"))
-    if not m:
-        return labels.withColumnRenamed("label", "community"), []
+    return winners.groupBy("move.node", "move.to").agg(F.count("*").alias("n"), F.max("move.gain").alias("gain")).where("n = 2").select("node", "to", "gain")
 
-    def placed(named: DataFrame) -> tuple[DataFrame, float]:
-        pairs = persisted(_with_labels(_with_labels(both, named, degrees, "a", "la"), named, degrees, "b", "lb"))
-        return pairs, _objective(pairs, named, degrees, resolution, m)
 
-    def moved(named: DataFrame, moves: DataFrame) -> DataFrame:
-        return persisted(named.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
-
-    pairs, now = placed(labels)
+def _local_moves(level: _Level, labels: DataFrame, resolution: float, rounds: int) -> tuple[DataFrame, list[float]]:
+    """Rounds of moves from ``labels`` until no single one helps, and the objective before and after each."""
+    near, now = level.placed(labels, resolution)
     history, share = [now], 1.0
     for round_ in range(rounds):
-        moves = persisted(_gains(pairs, labels, degrees, resolution, m))
-        if not moves.limit(1).count():
+        moves = persisted(_gains(near, labels, level, resolution))
+        apart = _apart(moves, round_)
+        row = moves.agg(F.count("*").alias("n")).crossJoin(apart.agg(F.sum("gain").alias("sure"))).first()
+        if not row["n"]:
             break
-        apart = persisted(_apart(moves, round_))
-        sure = apart.join(moves, ["node", "to"]).agg(F.sum("gain")).first()[0] or 0.0
         tried = None
-        if share > 1e-4 and moves.count() > 1:
-            # Half of the moves go down in name and half up, by turns, so that two nodes don't trade places.
-            way: Column = F.col("to") < F.col("label") if round_ % 2 == 0 else F.col("to") > F.col("label")
+        if share > 1e-4 and row["n"] > 1:
+            # Moves go down in name and up by turns, so that two nodes don't trade places.
+            way = F.col("to") < F.col("label") if round_ % 2 == 0 else F.col("to") > F.col("label")
             some = moves.where(way & (F.pmod(F.xxhash64("node", F.lit(-round_ - 1)), F.lit(10_000)) < share * 10_000))
-            named = moved(labels, some)
-            found = placed(named)
-            if found[1] >= now + sure and found[1] > now:
+            named = _moved(labels, some)
+            found = level.placed(named, resolution)
+            if found[1] > now and found[1] >= now + row["sure"]:
                 tried = (named, *found)
             share = min(1.0, share * 2) if tried else share / 4
         if tried is None:
-            named = moved(labels, apart)
-            tried = (named, *placed(named))
-        labels, pairs, now = tried
+            named = _moved(labels, apart)
+            tried = (named, *level.placed(named, resolution))
+        labels, near, now = tried
         history.append(now)
+    return labels, history
+
+
+def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
+    return persisted(labels.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
+def _coarser(level: _Level, labels: DataFrame, resolution: float) -> _Level:
+    """Communities as nodes: links between two of them added up, links inside one kept as weight inside the node."""
+    near, _ = level.placed(labels, resolution)
+    links = near.where("label <> to").groupBy(F.col("label").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("weight"))
+    inner = level.inner + (near.where("label = to").agg(F.sum("w")).first()[0] or 0.0)
+    nodes = labels.join(level.nodes, "node").groupBy(F.col("label").alias("node")).agg(F.sum("k").alias("k"))
+    return _level(links, nodes, inner, level.m)
+
+
+def louvain(links: DataFrame, resolution: float = 1.0, rounds: int = 60, total: str = "weight", levels: int = 20) -> tuple[DataFrame, list[float]]:
+    """``node``, ``community`` by local moving on modularity, and the modularity after each round, which never falls.
+
+    Each round every node names its best move. A share of all moves, picked by hash, is tried at once and kept if
+    modularity rises at least as much as by the moves that can't disturb each other (no two touch the same community),
+    which are taken otherwise; the share doubles when it was kept and is cut to a quarter when not. When no single move
+    raises modularity, communities become the nodes of a smaller graph and move as a whole; then single nodes move again,
+    until neither helps. ``levels=1`` stops after the first local optimum. Communities are named by their smallest member.
+    With ``total="count"`` the number of links stands for their total weight, as some programs have it.
+    """
+    bottom = _bottom(links, total)
+    labels = bottom.nodes.select("node", F.col("node").alias("label"))
+    if not bottom.m:
+        return labels.withColumnRenamed("label", "community"), []
+    labels, history = _local_moves(bottom, labels, resolution, rounds)
+    for _ in range(levels - 1):
+        level = _coarser(bottom, labels, resolution)
+        names, more = _local_moves(level, level.nodes.select("node", F.col("node").alias("label")), resolution, rounds)
+        if len(more) == 1:
+            break
+        sizes = persisted(labels.groupBy("label").agg(F.count("*").alias("_rows")).join(names.toDF("label", "to"), "label"))
+        labels = persisted(join_counted(labels, sizes, ["label"]).select("node", F.col("to").alias("label")))
+        labels, again = _local_moves(bottom, labels, resolution, rounds)
+        history += more[1:] + again[1:]
     least = persisted(labels.groupBy("label").agg(F.min("node").alias("community"), F.count("*").alias("_rows")))
     return join_counted(labels, least, ["label"]).select("node", "community"), history
 

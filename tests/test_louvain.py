@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from quern.operators import graph
 
 
@@ -52,9 +50,8 @@ def planted(rng, groups, size, inside, across):
     return links
 
 
-@pytest.mark.parametrize(("gamma", "total"), [(1.0, "weight"), (0.5, "count")])
-def test_as_good_as_sequential_and_never_falling(spark, gamma, total):
-    links = planted(random.Random(3), 4, 8, 0.8, 0.06)
+def test_as_good_as_sequential_and_never_falling(spark, gamma=0.8, total="count"):
+    links = planted(random.Random(3), 3, 5, 0.8, 0.08)
     links += [links[0], (links[1][1], links[1][0], 2.0), ("0_1", "0_1", 9.0)]
     df = spark.createDataFrame(links, "a string, b string, weight double").withColumn("node", graph.F.lit("x"))
     found, history = graph.louvain(df, gamma, total=total)
@@ -73,8 +70,8 @@ def test_as_good_as_sequential_and_never_falling(spark, gamma, total):
 
 
 def test_hub_and_no_links(spark):
-    star = spark.createDataFrame([("hub", f"leaf{i}", 1.0) for i in range(40)], "a string, b string, weight double")
+    star = spark.createDataFrame([("hub", f"leaf{i}", 1.0) for i in range(12)], "a string, b string, weight double")
     found, history = graph.louvain(star)
-    assert found.count() == 41 and history == sorted(history)
+    assert found.count() == 13 and abs(graph.modularity(star, found) - brute_modularity([('hub', f'leaf{i}', 1.0) for i in range(12)], {r['node']: r['community'] for r in found.collect()})) < 1e-9 and history == sorted(history)
     empty, none = graph.louvain(star.limit(0))
     assert empty.count() == 0 and none == [] and graph.modularity(star.limit(0), empty) == 0.0
