@@ -142,13 +142,13 @@ def _known(benchmark: DataFrame) -> DataFrame:
 
 
 def _distinct_items(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, int]]]:
-    """The distinct item texts in blocks of about ``block_chars`` characters: normalised text and its smallest id."""
-    distinct = _known(benchmark).groupBy("text").agg(F.min("item_id").alias("first_id"))
+    """The distinct item texts in blocks of about ``block_chars`` characters: normalised text and the hash of the text."""
+    distinct = _known(benchmark).select("text").distinct().withColumn("text_key", F.xxhash64("text"))
     total = distinct.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = int(total // block_chars) + 1
     for b in range(n):
         rows = distinct.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()
-        yield sorted((t, row["first_id"]) for row in rows if (t := normal(row["text"])))
+        yield sorted((t, row["text_key"]) for row in rows if (t := normal(row["text"])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = 4_000_000) -> DataFrame:
@@ -159,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     that share a text meet its hits in a join at the end.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, first_id long, distance int, start_pos long, end_pos long"
+    schema = f"doc_id {id_type}, text_key long, distance int, start_pos long, end_pos long"
     out = None
     for searched in _distinct_items(benchmark, block_chars):
 
@@ -176,14 +176,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                        names=["doc_id", "first_id", "distance", "start_pos", "end_pos"],
+                        names=["doc_id", "text_key", "distance", "start_pos", "end_pos"],
                     )
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
-    members = _known(benchmark).distinct()
-    members = members.join(members.groupBy("text").agg(F.min("item_id").alias("first_id")), "text").select("first_id", "item_id")
-    return out.join(members, "first_id").select("doc_id", "item_id", "distance", "start_pos", "end_pos")
+    # an id may stand for several texts and a text for several ids, so hits meet ids by the text
+    members = _known(benchmark).select("item_id", F.xxhash64("text").alias("text_key")).distinct()
+    return out.join(members, "text_key").select("doc_id", "item_id", "distance", "start_pos", "end_pos")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = 4_000_000) -> DataFrame:

@@ -79,3 +79,15 @@ def test_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, body + " " + item), (2, body[: len(body) // 2] + " qqqq " + edited(rng, item, 3) + " zz")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r["doc_id"]: r["distance"] for r in D.contaminated(docs, benchmark).collect()}.keys() == {1, 2}
+
+
+def test_an_id_over_texts_and_a_text_over_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice(WORDS) for _ in range(14)) for _ in range(3))
+    items = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, a)]
+    texts = {10: f"x {a} y", 11: f"{b} and {a}", 12: f"no {c}", 13: "none of them at all in here"}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    found = D.contaminated(docs, benchmark).select("doc_id", "item_id", "start_pos", "end_pos").collect()
+    want = sorted({(d, i, D.normal(t).find(D.normal(s))) for d, t in texts.items() for i, s in set(items) if D.normal(s) in D.normal(t)})
+    assert sorted((r["doc_id"], r["item_id"], r["start_pos"]) for r in found) == want
