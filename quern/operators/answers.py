@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.ranks import numbered
 from quern.functions.text import let, strip
+from quern.operators.dedup import persisted
 
 # Where each answer format puts the answer (group 1, last match).
 BOXED = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
@@ -41,6 +45,23 @@ def boxed(t: Column) -> Column:
     return strip(last_match(t, BOXED))
 
 
+def boxed_balanced(t: Column) -> Column:
+    """What the last ``\\boxed{`` with a closing brace of its own holds, at any depth of braces; null if there is none.
+
+    Braces after each opening are counted in one pass that ends where the count comes back to zero; ``\\{`` and ``\\}`` count
+    as letters.
+    """
+    parts = F.split(t, r"\\boxed\{")
+    braces = lambda s: F.regexp_extract_all(s, F.lit(r"(?s)([^{}\\]|\\.|\\$|[{}])"), F.lit(1))
+    start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("n"))
+    step = lambda s, c: F.when(s["open"] == 0, s).otherwise(F.struct((s["open"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("open"), (s["n"] + F.char_length(c)).alias("n")))
+    held = lambda s: let(F.aggregate(braces(s), start, step), lambda r: F.when(r["open"] == 0, F.left(s, r["n"] - 1)))
+    # an opening inside another one leaves the outer piece open, so each tail runs to the end of the text
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "\\boxed{"))
+    found = F.filter(F.transform(tails, held), lambda x: x.isNotNull())
+    return F.when(F.size(parts) > 1, strip(F.get(found, F.size(found) - 1)))
+
+
 def after_hashes(t: Column) -> Column:
     return strip(F.replace(last_match(t, HASHES), F.lit(","), F.lit("")))
 
@@ -70,9 +91,30 @@ CASCADES = {
 }
 
 
+def last_line(t: Column) -> Column:
+    return strip(F.element_at(F.split(strip(t), "\n"), -1))
+
+
 def extract(text: Column, hint: str = "auto") -> Column:
     """The first extractor of the format that finds something; else the last line, stripped."""
-    return F.coalesce(*[f(text) for f in CASCADES[hint]], strip(F.element_at(F.split(strip(text), "\n"), -1)))
+    return F.coalesce(*[f(text) for f in CASCADES[hint]], last_line(text))
+
+
+# Orders of patterns of three shorter extractors, the last match of the first that matches, and what they fall back to.
+SIMPLE_BOXED = r"\\boxed\{([^}]+)\}"
+ORDERS = {
+    "verifier": (SIMPLE_BOXED, r"答案[是为：:]\s*(.+?)(?:\n|$|。)", r"[Tt]he (?:final )?answer is[:\s]*(.+?)(?:\n|$|\.)"),
+    "vote": (r"答案[是为：:]\s*(-?\d+\.?\d*)", SIMPLE_BOXED, r"[Tt]he answer is\s*(-?\d+\.?\d*)"),
+    "prompt": (SIMPLE_BOXED, r"[Tt]he answer is\s*(.+?)[\n.]"),
+}
+
+
+def extract_by(text: Column, order: str, first: str | None = None) -> Column:
+    """An answer by one of ``ORDERS``; ``first`` is a pattern asked before the others. Without a match the last number, then
+    nothing (``verifier``), the whole text (``vote``) or the last line (``prompt``)."""
+    patterns = [*([first] if first else []), *ORDERS[order]]
+    rest = {"verifier": [], "vote": [strip(text)], "prompt": [last_line(text)]}[order]
+    return F.coalesce(*[strip(last_match(text, p)) for p in patterns], last_number(text), *rest)
 
 
 def number(text: Column) -> Column:
@@ -298,6 +340,60 @@ def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95)
     return F.reverse(F.aggregate(steps, start, step, lambda s: s["out"]))
 
 
+def affine_scan(rows: DataFrame, key: str, span: int = 4096) -> DataFrame:
+    """``key``, ``n``, ``x`` from ``key``, ``n`` (1, 2, ... without gaps), ``m``, ``a``: x(n) = a(n) + m(n) * x(n + 1), 0 after the last.
+
+    A range of ``span`` steps is one map of the same form, so ranges are composed, the maps scanned the same way, and the
+    steps of each range filled in from what comes after it; no task holds more than a range of any key.
+    """
+    placed = rows.select(key, "n", "m", "a", F.floor((F.col("n") - 1) / span).alias("_range"))
+    ranges = persisted(placed.groupBy(key, "_range").agg(F.sort_array(F.collect_list(F.struct("n", "m", "a"))).alias("steps")))
+
+    def fold(after: Column) -> Column:
+        """Values of a range's steps from its end, the value after it given; an array in Arrow, one pass."""
+
+        @F.pandas_udf("array<double>")
+        def run(steps: pd.Series, carried: pd.Series) -> pd.Series:
+            out = []
+            for array, x in zip(steps, carried, strict=True):
+                values = np.empty(len(array))
+                for i in range(len(array) - 1, -1, -1):
+                    x = array[i]["a"] + array[i]["m"] * x
+                    values[i] = x
+                out.append(values)
+            return pd.Series(out)
+
+        return run("steps", after)
+
+    if ranges.where("_range > 0").limit(1).count():
+        whole = F.aggregate("steps", F.lit(1.0), lambda s, x: s * x["m"])
+        maps = ranges.select(key, (F.col("_range") + 1).alias("n"), whole.alias("m"), F.get(fold(F.lit(0.0)), F.lit(0)).alias("a"))
+        carried = affine_scan(maps, key, span).select(F.col(key).alias("_key"), (F.col("n") - 2).alias("_at"), F.col("x").alias("_after"))
+        ranges = ranges.join(carried, ranges[key].eqNullSafe(carried["_key"]) & (ranges["_range"] == carried["_at"]), "left")
+    else:
+        ranges = ranges.withColumn("_after", F.lit(0.0))
+    filled = ranges.select(key, "_range", F.posexplode(fold(F.coalesce("_after", F.lit(0.0)))).alias("i", "x"))
+    return filled.select(key, (F.col("_range") * span + F.col("i") + 1).cast("long").alias("n"), "x")
+
+
+def gae_scan(steps: DataFrame, key: str, order: str, reward: str = "reward", value: str = "value", mask: str | None = None, gamma: float = 1.0, lam: float = 0.95, span: int = 4096) -> DataFrame:
+    """``key``, ``step`` (from 1), ``advantage``, ``returns``: generalised advantages of trajectories of any length.
+
+    Steps are numbered by the number ``order`` in ranges, and the reverse recurrence is an affine scan. Where ``mask`` is 0 a
+    step adds nothing of its own and what comes after a masked step stops there, so masks cut a trajectory.
+    """
+    own = steps.select(key, F.col(order).alias("_order"), F.col(reward).cast("double").alias("r"), F.col(value).cast("double").alias("v"), (F.lit(1.0) if mask is None else F.col(mask).cast("double")).alias("k"))
+    own = persisted(numbered(own, key, F.col("_order"), "_order", "n"))
+    after = own.select(F.col(key).alias("_key"), (F.col("n") - 1).alias("_n"), F.col("v").alias("nv"), F.col("k").alias("nk"))
+    both = own.join(after, own[key].eqNullSafe(after["_key"]) & (own["n"] == after["_n"]), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    maps = both.select(key, "n", "v", ((F.col("r") + gamma * zero("nv") - F.col("v")) * F.col("k")).alias("a"), (F.lit(gamma * lam) * zero("nk")).alias("m"))
+    maps = persisted(maps)
+    found = affine_scan(maps, key, span).select(F.col(key).alias("_key"), F.col("n").alias("_n"), "x")
+    out = maps.join(found, maps[key].eqNullSafe(found["_key"]) & (maps["n"] == found["_n"]))
+    return out.select(key, F.col("n").cast("long").alias("step"), F.col("x").alias("advantage"), (F.col("x") + F.col("v")).alias("returns"))
+
+
 def whiten(rows: DataFrame, column: str, group: str, eps: float = 1e-8, mask: str | None = None, shift_mean: bool = True) -> DataFrame:
     """``whitened``: ``column`` less its group's mean over its deviation.
 
