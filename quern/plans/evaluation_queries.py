@@ -98,10 +98,8 @@ def whitened_rewards(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with s as (select user_id, row_number() over w as i, sqrt(abs(value)) + coalesce(lead(event_id % 5) over w, 0) - event_id % 5 as delta from events window w as (partition by user_id order by event_id))
 select a.user_id, a.i as step, round(sum(0.95 ** (b.i - a.i) * b.delta), 5)::double as advantage from s a join s b on a.user_id = b.user_id and b.i >= a.i group by all""")
 def advantages(spark: SparkSession, sf: str) -> DataFrame:
-    steps = F.sort_array(F.collect_list(F.struct("event_id", F.sqrt(F.abs("value")).alias("value"))))
-    rows = read(spark, sf, "events").groupBy("user_id").agg(steps.alias("s"))
-    rows = rows.select("user_id", F.posexplode(answers.gae(F.col("s.value"), F.transform("s", lambda x: (x["event_id"] % 5).cast("double")))).alias("i", "advantage"))
-    return rounded(rows.select("user_id", (F.col("i") + 1).cast("long").alias("step"), "advantage"), 5)
+    steps = read(spark, sf, "events").select("user_id", "event_id", F.sqrt(F.abs("value")).alias("reward"), (F.col("event_id") % 5).cast("double").alias("value"))
+    return rounded(answers.gae_scan(steps, "user_id", "event_id").select("user_id", "step", "advantage"), 5)
 
 
 @query("""with f as (select conv_id, turn, text, role, max(case when role = 'system' then text end) over (partition by conv_id) as extra from conversations)

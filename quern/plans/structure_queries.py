@@ -1,14 +1,15 @@
-"""Queries on repeated substrings, graph indexes, communities and subword models."""
+"""Queries on repeated substrings, graph indexes, communities, subword models, joins in time and answer formats."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import graph, retrieval, suffixes, tokenize, unigram, vector_graph
+from quern.operators import answers, graph, retrieval, suffixes, temporal, tokenize, unigram, vector_graph
 from quern.operators.stats import rounded
 from quern.plans.corpus_queries import NAMES, _draw_sql
 from quern.sources.tables import read
+from quern.streaming import first_wins
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,3 +87,75 @@ def unigram_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     counts = tokenize.word_frequencies(read(spark, sf, "documents"))
     log_p, _ = unigram.train(counts, 500, start=1000)
     return rounded(spark.createDataFrame(sorted(log_p.items()), "token string, log_p double"))
+
+
+@query("""with v as (select user_id, ts, event_id, value from events where event_type = 'view'), p as (select event_id, user_id, ts, value from events where event_type = 'purchase')
+select p.event_id, p.user_id, v.event_id as asof_event_id, round(v.value, 6)::double as asof_value from p asof left join v on p.user_id = v.user_id and p.ts >= v.ts""")
+def last_view_before(spark: SparkSession, sf: str) -> DataFrame:
+    """For each purchase, the last view of the same user at or before it."""
+    rows = read(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    views, bought = (rows.where(F.col("event_type") == kind).drop("event_type") for kind in ("view", "purchase"))
+    found = temporal.asof_join(bought, views, "user_id", values=["event_id", "value"], order="event_id")
+    return rounded(found.select("event_id", "user_id", "asof_event_id", "asof_value"))
+
+
+@query("""select a.event_id, b.event_id as right_event_id from events a join events b on a.user_id = b.user_id and b.ts between a.ts - interval 1 hour and a.ts + interval 2 hours
+where a.event_type = 'error' and b.event_type = 'click'""")
+def clicks_near_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks of a user from one hour before to two hours after each error."""
+    rows = read(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    errors, clicks = (rows.where(F.col("event_type") == kind).drop("event_type") for kind in ("error", "click"))
+    return temporal.interval_join(errors, clicks, "user_id", 3600, 7200).select("event_id", "right_event_id")
+
+
+# Every assistant turn closes in one of eight formats, by its conversation and turn; the number it gives is conv_id * 1000 + turn.
+ENDINGS = (
+    r"so \boxed{{n}} is it",
+    r"#### {n},500.25",
+    "答案是 {n}。 done",
+    "The final answer is: {n}.\nbye",
+    "选 (b) 是对的",
+    "Therefore, {n} apples.\n",
+    "所以，{n}\nend",
+    r"\boxed{\frac{1}{{n}}} and \boxed{{n}}",
+)
+
+
+def _endings_sql() -> str:
+    quoted = [e.replace("'", "''").replace("\n", "' || chr(10) || '") for e in ENDINGS]
+    parts = ["'" + q.replace("{n}", "' || n || '") + "'" for q in quoted]
+    return "case (conv_id + turn) % 8 " + " ".join(f"when {i} then {p}" for i, p in enumerate(parts)) + " end"
+
+
+def _formats_sql() -> str:
+    last = lambda p, o="": f"list_extract(regexp_extract_all(t, '{p}', 1{o}), -1)"
+    trim = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    some = lambda x: f"nullif({x}, '')"
+    box = some(trim(last(r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")))
+    hashes = some(f"replace({last('####\\s*(-?\\d+[\\d,]*\\.?\\d*)')}, ',', '')")
+    zh = "coalesce(" + ", ".join(some(trim(last(p))) for p in (r"答案[是为：:]\s*(.+?)(?:[\n。]|$)", r"所以[，,]?\s*(.+?)(?:[\n。]|$)", r"因此[，,]?\s*(.+?)(?:[\n。]|$)")) + ")"
+    en = "coalesce(" + ", ".join(some(trim(last(p))) for p in (r"[Tt]he (?:final )?answer is[:\s]*(.+?)[\n.]", r"[Tt]herefore[,\s]+(?:the answer is[:\s]*)?(.+?)[\n.]")) + ")"
+    number = some(last(r"(-?\d+\.?\d*)"))
+    line = trim(f"list_extract(string_split({trim('t')}, chr(10)), -1)")
+    return f"""with t as (select conv_id, turn, text || chr(10) || {_endings_sql()} as t from (select *, (conv_id * 1000 + turn)::varchar as n from conversations where role = 'assistant'))
+select conv_id, turn, {box} as boxed, {hashes} as hashes, {zh} as chinese, {en} as english, {number} as last_number,
+coalesce({hashes}, {zh}, {en}, {box}, {number}, {line}) as gsm8k, coalesce({box}, {zh}, {en}, {number}, {line}) as math from t"""
+
+
+@query(_formats_sql())
+def answer_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """What each extractor and two of the cascades find in assistant turns that close with an answer in one of eight formats."""
+    n = (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
+    pick = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
+    ending = F.coalesce(*[F.when(pick == i, F.replace(F.lit(e), F.lit("{n}"), n)) for i, e in enumerate(ENDINGS)])
+    t = F.concat("text", F.lit("\n"), ending)
+    rows = read(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", t.alias("t"))
+    t = F.col("t")
+    found = {"boxed": answers.boxed(t), "hashes": answers.after_hashes(t), "chinese": answers.chinese(t), "english": answers.english(t), "last_number": answers.last_number(t)}
+    return rows.select("conv_id", "turn", *[c.alias(k) for k, c in found.items()], answers.extract(t, "gsm8k").alias("gsm8k"), answers.extract(t, "math").alias("math"))
+
+
+@query()
+def first_wins_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that stay when each is dropped that shares a band with an earlier one that stays."""
+    return first_wins.first_wins(read(spark, sf, "documents").select("doc_id", "text"))[0].select("doc_id")

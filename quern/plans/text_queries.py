@@ -259,7 +259,8 @@ def minhash_signature_k4(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.minhash(read(spark, sf, "documents"), k=4)
 
 
-@query()
+@query(f"""with m as ({_minhash_sql(128)}), b as (select doc_id, i as band, signature[i * 8 + 1:i * 8 + 8] as slice from (select doc_id, signature, unnest(range(16)) as i from m)),
+l as (select band, slice, min(doc_id) as a from b group by all having count(*) > 1) select distinct l.a, b.doc_id as b from b join l on b.band = l.band and b.slice = l.slice where b.doc_id > l.a""")
 def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.lsh_candidates(dedup.minhash(read(spark, sf, "documents")))
 
