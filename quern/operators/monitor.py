@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quern.functions.ranks import numbered
+from quern.functions.text import let, once
 
 
 def finite(metrics: DataFrame) -> DataFrame:
@@ -70,6 +71,31 @@ def activation_stats(rows: DataFrame, feature: str = "feature", value: str = "va
     return rows.groupBy(feature).agg((F.count(active) / F.count("*")).alias("frequency"), F.coalesce(F.avg(active), F.lit(0.0)).alias("mean"), F.coalesce(F.max(active), F.lit(0.0)).alias("max"), F.coalesce(F.stddev_samp(active), F.lit(0.0)).alias("std"))
 
 
+def feature_samples(rows: DataFrame, k: int = 10, feature: str = "feature", value: str = "value", sample: str = "sample", dead: float = 1e-6, high: float = 0.5, lots: int = 64) -> DataFrame:
+    """``activation_stats`` with ``is_dead`` (active less often than ``dead``), ``is_high`` (more often than ``high``) and ``top``: the
+    ``k`` samples of the largest values, best first, ties to the smaller sample.
+
+    A feature may hold most of the rows: its samples are dealt in ``lots``, each lot keeps its best, and only these meet.
+    """
+    order = [F.col(value).desc(), F.col(sample)]
+    lot = rows.withColumn("_lot", F.pmod(F.xxhash64(sample), F.lit(lots)))
+    best = lot.withColumn("_r", F.row_number().over(Window.partitionBy(feature, "_lot").orderBy(*order))).where(F.col("_r") <= k)
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy(feature).orderBy(*order))).where(F.col("_r") <= k)
+    top = best.groupBy(feature).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", F.col(sample).alias("s")))), lambda x: x["s"]).alias("top"))
+    return activation_stats(rows, feature, value).withColumns({"is_dead": F.col("frequency") < dead, "is_high": F.col("frequency") > high}).join(top, feature, "left")
+
+
+def expert_correlation(rows: DataFrame, logits: str = "logits") -> DataFrame:
+    """``a`` < ``b``, ``correlation`` of the routing probabilities (softmax of the array ``logits``) of each two experts; near 1
+    means that they don't specialise. Pairs are of experts, counted per task before the shuffle; null where one never varies."""
+    scores = F.col(logits).cast("array<double>")
+    powers = let(scores, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    probability = let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(p, lambda x: x / total)))
+    known = once(rows.select(logits), {"p": probability}).select("p", F.posexplode("p").alias("a", "x"))
+    pairs = known.select("a", "x", F.posexplode("p").alias("b", "y")).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("correlation"))
+
+
 def clusters(vectors: DataFrame, k: int, seed: int = 42, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key`` and ``cluster`` by k-means, with parallel seeding of the centres."""
     from pyspark.ml.clustering import KMeans

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import answers, graph, retrieval, suffixes, temporal, tokenize, unigram, vector_graph
+from quern.operators import answers, graph, monitor, pii_rules, retrieval, suffixes, temporal, tokenize, unigram, vector_graph
 from quern.operators.stats import rounded
 from quern.plans.corpus_queries import NAMES, _draw_sql
 from quern.sources.tables import read
@@ -159,3 +159,41 @@ def answer_formats(spark: SparkSession, sf: str) -> DataFrame:
 def first_wins_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that stay when each is dropped that shares a band with an earlier one that stays."""
     return first_wins.first_wins(read(spark, sf, "documents").select("doc_id", "text"))[0].select("doc_id")
+
+
+@query("""with r as (select vec_id, unnest(range(64)) as feature, unnest(embedding)::double as value from embeddings),
+s as (select feature, count(*) filter (value > 0) / count(*) as f, avg(value) filter (value > 0) as m, max(value) as x, list(vec_id order by value desc, vec_id)[1:5] as top from r group by feature)
+select feature::int as feature, round(f, 6)::double as frequency, round(m, 6)::double as mean, round(x, 6)::double as "max", f < 1e-6 as is_dead, f > 0.5 as is_high, array_to_string(top, ',') as top from s""")
+def feature_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Activation of each dimension of the embeddings, and the five vectors in which it is largest."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "value"))
+    found = monitor.feature_samples(rows, 5)
+    return rounded(found.select("feature", "frequency", "mean", "max", "is_dead", "is_high", F.array_join(F.col("top").cast("array<string>"), ",").alias("top")))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: exp(x::double)) as p from embeddings), n as (select vec_id, list_transform(p, lambda x: x / list_sum(p)) as p from e),
+f as (select vec_id, unnest(range(64)) as i, unnest(p) as x from n)
+select a.i::int as a, b.i::int as b, round(corr(a.x, b.x), 6)::double as correlation from f a join f b on a.vec_id = b.vec_id and a.i < b.i group by all""")
+def expert_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as routing scores of 64 experts: how far each two go together."""
+    return rounded(monitor.expert_correlation(read(spark, sf, "embeddings").withColumnRenamed("embedding", "logits")))
+
+
+@query("""with d as (select doc_id, '4' || lpad(doc_id::varchar, 14, '0') as a, '110101' || (1950 + doc_id % 60)::varchar || '0' || (1 + doc_id % 9)::varchar || '15' || lpad((doc_id % 1000)::varchar, 3, '0') as b from documents),
+s as (select *, list_sum(list_transform(range(1, 16), lambda i: case when i % 2 = 0 then a[i]::int else (a[i]::int * 2) % 10 + (a[i]::int * 2) // 10 end)) as la,
+list_sum(list_transform(range(1, 18), lambda i: b[i]::int * ((1 << (18 - i)) % 11))) as lb from d),
+t as (select doc_id, a || ((10 - la % 10 + (doc_id % 2)) % 10)::varchar as card, b || case (12 - lb % 11 + (doc_id % 3 = 0)::int) % 11 when 10 then 'X' else ((12 - lb % 11 + (doc_id % 3 = 0)::int) % 11)::varchar end as id from s)
+select doc_id, 'bank_card' as kind, card as value, doc_id % 2 = 0 as valid from t union all select doc_id, 'id_card_cn', id, doc_id % 3 <> 0 from t
+union all select doc_id, 'bank_card', id, list_sum(list_transform(range(1, 19), lambda i: case when i % 2 = 0 then id[i]::int else (id[i]::int * 2) % 10 + (id[i]::int * 2) // 10 end)) % 10 = 0 from t where not ends_with(id, 'X')""")
+def checked_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Card and identity numbers made from the ids, every second and third with a wrong check digit, found in a text and checked."""
+    n = F.col("doc_id")
+    card = F.concat(F.lit("4"), F.lpad(n.cast("string"), 14, "0"))
+    number = F.concat(F.lit("110101"), (1950 + n % 60).cast("string"), F.lit("0"), (1 + n % 9).cast("string"), F.lit("15"), F.lpad((n % 1000).cast("string"), 3, "0"))
+    digits = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    total = lambda c, f: F.aggregate(F.transform(digits(c), f), F.lit(0), lambda s, x: s + x)
+    luhn = total(card, lambda c, i: F.when(i % 2 == 1, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") * 2 / 10).cast("int")))
+    eleven = total(number, lambda c, i: c.cast("int") * (F.pow(F.lit(2.0), 17 - i).cast("int") % 11))
+    last = (F.lit(12) - eleven % 11 + (n % 3 == 0).cast("int")) % 11
+    text = F.concat(F.lit("card "), card, ((10 - luhn % 10 + n % 2) % 10).cast("string"), F.lit(" and id "), number, F.when(last == 10, "X").otherwise(last.cast("string")), F.lit("."))
+    return pii_rules.identifiers(read(spark, sf, "documents").select("doc_id", text.alias("text")))
