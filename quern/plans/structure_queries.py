@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import answers, graph, monitor, pii_rules, retrieval, suffixes, temporal, tokenize, unigram, vector_graph
+from quern.operators import answers, expressions, graph, monitor, pii_rules, retrieval, suffixes, temporal, tokenize, unigram, vector_graph
 from quern.operators.stats import rounded
 from quern.plans.corpus_queries import NAMES, _draw_sql
 from quern.sources.tables import read
@@ -197,3 +197,12 @@ def checked_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     last = (F.lit(12) - eleven % 11 + (n % 3 == 0).cast("int")) % 11
     text = F.concat(F.lit("card "), card, ((10 - luhn % 10 + n % 2) % 10).cast("string"), F.lit(" and id "), number, F.when(last == 10, "X").otherwise(last.cast("string")), F.lit("."))
     return pii_rules.identifiers(read(spark, sf, "documents").select("doc_id", text.alias("text")))
+
+
+@query("select conv_id, turn, turn % 2 = 0 as same from conversations")
+def equal_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether (x + n)^2, n from conversation and turn, is what another form says, wrong by one in odd turns."""
+    n, rest = F.col("conv_id") + F.col("turn"), F.col("turn") % 2
+    left = F.concat(F.lit("(x + "), n.cast("string"), F.lit(")^2"))
+    right = F.concat(F.lit("x(x + "), (2 * n).cast("string"), F.lit(") + \\frac{"), (2 * n * n + 2 * rest).cast("string"), F.lit("}{2}"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", expressions.same_value(left, right).alias("same"))
