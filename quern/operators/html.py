@@ -112,6 +112,13 @@ def normalize(text: Column) -> Column:
     return F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def normalize_short(text: Column) -> Column:
+    """The short form: NFKC, four zero-width characters dropped, runs of spaces and tabs one space, at most one blank line
+    in a row, stripped."""
+    t = F.translate(compose(text), "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF))), "")
+    return T.strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
 def without_urls(text: Column, replacement: str = "") -> Column:
     return F.regexp_replace(text, URL, replacement)
 

@@ -244,3 +244,24 @@ def quality_report(docs: DataFrame, by: str = "lang") -> DataFrame:
 
     m = T.once(docs.select(by, "text"), {"rep": T.duplicate_ngram_ratio(F.col("text")), "special": T.special_ratio(F.col("text")), "risk": (safety(F.col("text")) != "safe").cast("double")})
     return m.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.char_length("text")).alias("avg_length"), F.avg("rep").alias("avg_repetition"), F.avg((F.col("special") > 0.3).cast("double")).alias("noisy"), F.avg("risk").alias("at_risk"))
+
+
+def document_report(docs: DataFrame, reference: DataFrame, weights: dict[str, float] | None = None, threshold: float = 0.5, key: str = "doc_id", n: int = 10) -> DataFrame:
+    """``key``, ``fluency``, ``uniqueness``, ``harmlessness``, ``density``, ``score``, ``kept``: each text on several scales from 0 to 1.
+
+    Fluency is nearness of the character model's perplexity (fitted on ``reference``) to the middle of its bounds, uniqueness
+    the share of ``n``-grams that don't repeat, harmlessness whether no risk pattern occurs, density the type-token ratio.
+    ``weights`` may leave scales out or name further columns of ``docs``; the score is their weighted mean, and texts of
+    ``threshold`` or more are kept. A null text counts as empty: unique, harmless, without fluency and density.
+    """
+    from quern.operators import charlm
+    from quern.operators.answers import safety
+
+    weights = weights or {"fluency": 0.3, "uniqueness": 0.3, "harmlessness": 0.2, "density": 0.2}
+    named = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumnRenamed(key, "doc_id")
+    own = T.once(named, {"uniqueness": 1 - T.duplicate_ngram_ratio(F.col("text"), n), "harmlessness": (safety(F.col("text")) == "safe").cast("double"), "density": T.type_token_ratio(F.col("text"))})
+    fluency = charlm.perplexity_filter(F.col("perplexity"))[1]
+    joined = own.drop("perplexity").join(charlm.perplexity(named, reference), "doc_id").withColumn("fluency", fluency)
+    score = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    out = joined.withColumn("score", score).withColumn("kept", F.col("score") >= threshold)
+    return out.select(F.col("doc_id").alias(key), "fluency", "uniqueness", "harmlessness", "density", "score", "kept")

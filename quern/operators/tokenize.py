@@ -395,6 +395,22 @@ def char_vocabulary(docs: DataFrame, specials: tuple[str, ...] = SPECIALS) -> Da
     return docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int").unionByName(ids)
 
 
+def char_batch(docs: DataFrame, ids: DataFrame, max_length: int, bos: int | None = 2, eos: int | None = None, pad: int = 0, unknown: int = 1, key: str = "doc_id") -> DataFrame:
+    """``key``, ``ids``, ``mask``: each text as character ids between the marks, cut to ``max_length`` and padded to it; the mask is
+    1 where a token is.
+
+    ``ids`` (``token``, ``id``) is a vocabulary of characters, so no larger than Unicode, and is sent whole as one map.
+    """
+    known = ids.where(F.char_length("token") == 1).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_ids"))
+    chars = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
+    room = max_length - int(bos is not None)
+    rows = docs.crossJoin(F.broadcast(known)).select(key, with_ends(F.transform(F.slice(chars, 1, max(room, 0)), lambda c: F.coalesce(F.element_at("_ids", c), F.lit(unknown))), bos, None).alias("t"), (F.size(chars) + int(bos is not None)).alias("n"))
+    full = F.slice(F.when(F.col("n") < max_length, with_ends(F.col("t"), None, eos)).otherwise(F.col("t")), 1, max_length)
+    rows = rows.select(key, full.alias("t"))
+    rest = F.lit(max_length) - F.size("t")
+    return rows.select(key, F.concat("t", F.array_repeat(F.lit(pad), rest)).alias("ids"), F.concat(F.transform("t", lambda _: F.lit(1)), F.array_repeat(F.lit(0), rest)).alias("mask"))
+
+
 def utf8(text: Column) -> Column:
     """The bytes of the text as an array of 0 to 255; null for null."""
     pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))

@@ -66,3 +66,14 @@ def run(docs: DataFrame, stages: list[tuple[str, Stage]] | None = None) -> tuple
         seen[name] = Observation(name)
         docs = docs.observe(seen[name], F.count(F.lit(1)).alias("rows"))
     return docs, seen
+
+
+def report(rows_in: int, seen: dict[str, Observation]) -> str:
+    """The rows that went into and came out of each stage, what it removed, and the totals, as lines of text; to be asked
+    after the action that consumes ``run``'s result."""
+    lines, before = [f"{'stage':<14}{'in':>12}{'out':>12}{'removed':>10}"], rows_in
+    for name, found in seen.items():
+        after = found.get["rows"]
+        lines.append(f"{name:<14}{before:>12}{after:>12}{1 - after / before if before else 0.0:>10.1%}")
+        before = after
+    return "\n".join([*lines, f"{'total':<14}{rows_in:>12}{before:>12}{1 - before / rows_in if rows_in else 0.0:>10.1%}"])

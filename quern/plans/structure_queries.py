@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import answers, expressions, graph, monitor, pii_rules, retrieval, suffixes, temporal, tokenize, unigram, vector_graph
+from quern.operators import answers, expressions, graph, html, monitor, pii_rules, quality, retrieval, stats, suffixes, temporal, tokenize, unigram, vector_graph
 from quern.operators.stats import rounded
 from quern.plans.corpus_queries import NAMES, _draw_sql
+from quern.plans.more_queries import RISK
+from quern.plans.text_queries import LM_CTE, RAW_WORDS, WORDS, _pii_sql, grams
 from quern.sources.tables import read
 from quern.streaming import first_wins
 
@@ -206,3 +208,49 @@ def equal_expressions(spark: SparkSession, sf: str) -> DataFrame:
     left = F.concat(F.lit("(x + "), n.cast("string"), F.lit(")^2"))
     right = F.concat(F.lit("x(x + "), (2 * n).cast("string"), F.lit(") + \\frac{"), (2 * n * n + 2 * rest).cast("string"), F.lit("}{2}"))
     return read(spark, sf, "conversations").select("conv_id", "turn", expressions.same_value(left, right).alias("same"))
+
+
+@query(_pii_sql(pii_rules.SHORT))
+def pii_short(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data by the four patterns of the short list."""
+    docs = pii_rules.rewrite(read(spark, sf, "documents"), kinds=pii_rules.SHORT)
+    return docs.select("doc_id", *[f"n_{k}" for k in pii_rules.SHORT], "text")
+
+
+@query(rf"""with d as (select doc_id, {RAW_WORDS} as w from documents), b as (select item_id, {RAW_WORDS} as w from benchmark),
+dg as (select distinct doc_id, gram from (select doc_id, unnest({grams(10)}) as gram from d)), bg as (select item_id, unnest({grams(10)}) as gram from b),
+n as (select item_id, count(*) as n from bg group by item_id)
+select doc_id, bg.item_id, round(count(*) / any_value(n), 6)::double as overlap from bg join dg using (gram) join n on bg.item_id = n.item_id group by doc_id, bg.item_id""")
+def contamination_cased(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlap of benchmark items with documents, letter case kept, whatever its size."""
+    return rounded(stats.overlap(read(spark, sf, "documents"), read(spark, sf, "benchmark"), threshold=0.0, lower=False))
+
+
+@query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from documents")
+def normal_short(spark: SparkSession, sf: str) -> DataFrame:
+    """The short normal form; the driver's documents are in NFKC already, unit tests hold the rest."""
+    return read(spark, sf, "documents").select("doc_id", html.normalize_short(F.col("text")).alias("text"))
+
+
+@query("""with v as (select list(c order by c) as v from (select distinct unnest(string_split(text, '')) as c from conversations where text <> '') where c <> ''),
+t as (select conv_id * 100 + turn as turn_id, [2] || list_transform(list_filter(string_split(text, ''), lambda c: c <> '')[1:63], lambda c: list_position(v, c) + 3) as t from conversations, v)
+select turn_id, array_to_string(t || list_transform(range(64 - len(t)), lambda i: 0), ' ') as ids, len(t)::int as n from t""")
+def char_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as character ids with a mark in front, cut and padded to 64; n counts the mask."""
+    turns = read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), "text")
+    rows = tokenize.char_batch(turns, tokenize.char_vocabulary(turns), 64, key="turn_id")
+    return rows.select("turn_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("n"))
+
+
+@query(rf"""with {LM_CTE}, d as (select doc_id, lower(text) as t from documents),
+dg as (select doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) as gram from d where length(t) >= 3),
+s as (select doc_id, ln((coalesce(n_gram, 0) + 1) / (coalesce(n_context, 0) + v)) as lp from dg left join c3 using (gram) left join c2 on dg.gram[1:2] = c2.context cross join voc),
+p as (select doc_id, exp(-avg(lp)) as ppl from s group by doc_id), w as (select doc_id, text, {WORDS} as w from documents),
+r as (select doc_id, sum(case when n > 1 then n else 0 end) / sum(n) as r from (select doc_id, gram, count(*) as n from (select doc_id, unnest({grams(10)}) as gram from w) group by all) group by doc_id),
+x as (select w.doc_id, case when ppl between 10 and 1000 then greatest(0, 1 - abs(ln(ppl) - (ln(10) + ln(1000)) / 2) / ((ln(1000) - ln(10)) / 2)) else 0 end as f, 1 - coalesce(r, 0) as u,
+case when regexp_matches(text, '{RISK}') then 0 else 1 end as h, case when len(w) > 0 then len(list_distinct(w)) / len(w) else 0 end as e from w left join p on p.doc_id = w.doc_id left join r on r.doc_id = w.doc_id)
+select doc_id, round(f, 4)::double as fluency, round(u, 4)::double as uniqueness, round(e, 4)::double as density, round((0.3 * f + 0.3 * u + 0.2 * h + 0.2 * e), 4)::double as score from x""")
+def document_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Fluency, uniqueness, density and weighted score of every document; the character model is fitted on the benchmark."""
+    found = quality.document_report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return rounded(found.select("doc_id", "fluency", "uniqueness", "density", "score"), 4)

@@ -205,9 +205,11 @@ def unicode_normal(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", html.normalize(F.col("text")).alias("text"))
 
 
-def _pii_sql() -> str:
+def _pii_sql(kinds: tuple[str, ...] = tuple(k for k, *_ in pii_rules.PATTERNS)) -> str:
     t, counts = "text", []
     for kind, pattern, placeholder in pii_rules.PATTERNS:
+        if kind not in kinds:
+            continue
         p = pattern.removeprefix("(?U)").replace(r"\w", r"\pL\pN_").replace(r"[\pL\pN_.+-]", r"[\pL\pN_.+-]")
         counts.append(f"len(regexp_extract_all({t}, '{p}'))::bigint as n_{kind}")
         t = f"regexp_replace({t}, '{p}', '{placeholder}', 'g')"
