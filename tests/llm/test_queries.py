@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline as registered: columns, types, flags, digests, and the pipeline's rows by brute force."""
+"""The thirteen queries and the pipeline as registered: columns, types, flags, digests, and the pipeline's rows by brute force."""
 
 import hashlib
 import random
@@ -13,8 +13,11 @@ import public_tokenizers
 import pytest
 from test_decontaminate import plain_distance
 from test_pii import brute as brute_pii
+from test_prefixes import brute as brute_trie
+from test_prefixes import made_rows
 from test_secrets import brute_base
 from test_simhash import brute_components, brute_fp
+from test_spelling import brute_forms, brute_words
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -31,6 +34,9 @@ CONTRACT = {
     "op8_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
     "op9_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
     "op10_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op11_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op12_spelling_variants": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+    "op13_prefix_trie": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
 }
 WORDS = "stone river amber castle violet engine lumber rocket pepper meadow harbour copper lantern saddle thunder willow".split()
 ITEM = "which river runs past the copper castle before it meets the harbour of violet lanterns in the north"
@@ -59,6 +65,7 @@ def tables(spark):
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in [*range(0, 60), *range(200, 300)]] + [(62, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(0, "http://a.com/de/x", "h"), (1, None, "h"), (2, "junk", "h"), (3, "http://Q.net/p", "h"), (100, "http://q.net/p/", "h")], "page_id long, url string, host string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(*r, 7, "x") for r in made_rows(3, 25)], "conv_id long, turn long, role string, text string, depth int, digest string").write.parquet(f"{folder}/conversations.parquet")
     return folder, rows
 
 
@@ -74,7 +81,7 @@ def results(spark, tables):
 def test_columns_and_rows(results, tables):
     for name, columns in CONTRACT.items():
         assert columns.items() <= dict(results[name][0]).items(), name
-    for name in ("op1_language", "op5_toxicity", "op6_secrets", "op7_simhash_near_dedup", "op9_fingerprints", "op10_pii"):
+    for name in ("op1_language", "op5_toxicity", "op6_secrets", "op7_simhash_near_dedup", "op9_fingerprints", "op10_pii", "op11_quality"):
         assert ids(results[name][1]) == ids(tables[1]), name
     assert {r["doc_id"] for r in results["op4_decontamination"][1]} == {64}
 
@@ -84,6 +91,8 @@ def crc(i, n):
 
 
 def test_flags_and_digests(results, tables):
+    for r in results["op11_quality"][1]:
+        assert r["held_out"] == (crc(r["doc_id"], 5) == 0) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert all(r["held_out"] == (crc(r["doc_id"], 5) == 0) for r in results["op1_language"][1])
     assert {r["doc_id"]: r["lang_pred"] for r in results["op1_language"][1]}[67] == "und"
@@ -95,6 +104,12 @@ def test_flags_and_digests(results, tables):
     assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in results["op10_pii"][1]) == sorted((i, sha(brute_pii(t))) for i, t in texts)
 
 
+def test_words_and_trie(results, tables):
+    words = [tuple(r[c] for c in ("word", "form", "root", "n", "n_near", "form_n")) for r in results["op12_spelling_variants"][1]]
+    assert words and sorted(words) == brute_forms(brute_words([(i, t) for i, t, _ in tables[1]]))
+    assert sorted(map(tuple, results["op13_prefix_trie"][1]), key=repr) == brute_trie(made_rows(3, 25))
+
+
 def test_components(results, tables):
     fps = [brute_fp(t) for _, t, _ in tables[1]]
     label = brute_components(fps)
@@ -194,6 +209,7 @@ def test_empty_tables(spark):
         ("labels", "doc_id long, quality int, toxic int"),
         ("benchmark", "item_id long, text string"),
         ("pages", "page_id long, url string, html string"),
+        ("conversations", "conv_id long, turn long, role string, text string"),
     ):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     for name, query in queries.QUERIES.items():
