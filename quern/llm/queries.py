@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters, whole tables, digest columns."""
+"""The registered queries of the thirteen operators: production parameters, whole tables, digest columns."""
 
 from __future__ import annotations
 
