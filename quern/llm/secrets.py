@@ -1,9 +1,11 @@
 """Secret scans: plain key patterns, and guess-cost estimation of values in credential contexts.
 
-Three base patterns (assignments, access keys, hex digests) are matched as they are. Beyond them, a value that follows a
-credential word (``pwd: ...``, ``passphrase is ...``, ``DB_PASSWORD_2 := ...``, ``secret key: ...``) is a secret if
-guessing it is costly, whatever characters it has. A value that is itself a credential word with a separator and a value
-(``bearer token: ...``) gives way to the latter. Its cost is the cheapest
+Three base patterns (assignments, access keys, hex digests) are matched as they are. Beyond them, a value that follows
+a credential word (``pwd: ...``, ``passphrase is ...``, ``DB_PASSWORD_2 := ...``, ``clientSecret = ...``, ``secret key: ...``) is a
+secret if guessing it is costly, whatever characters it has. The word is whole or a hump of a camel-case name, so
+``tokenization`` holds none, and a separator or a quote must follow its name; ``bearer`` needs a space only, and a value glued
+on by ``_`` or ``-`` must mix digits, upper and lower case. Behind a mere ``is`` or ``bearer`` a plain word is prose. A value
+that is itself a credential word with a separator and a value (``bearer token: ...``) gives way to the latter. Its cost is the cheapest
 segmentation, found by dynamic programming, into dictionary words (cost: rank in the corpus, which counts every word of
 every document), dates, repeats (of up to ``MAX_WORD`` characters, any number of times), keyboard walks, and brute force for the rest; segments add up on a log10 scale with a
 small charge for each. ``8hunter2000`` is cheap, ``x9$Qv!7rT`` is not.
@@ -19,7 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +36,23 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CREDENTIAL = re.compile(r"(?<![a-z0-9])(?:(?:api|access|private|auth|secret)[\s_-]?key|pass(?:word|wd|phrase|code)|pwd|pin|secret|token|credentials?|bearer)", re.IGNORECASE | re.ASCII)
-SEPARATOR = r"(?:\bis\b\s{0,4}(?::=|=>|->|=+|:+)?|:=|=>|->|=+|:+)"
-VALUE = r"""\s{0,4}["']?(?P<value>[^\s"'<>,;]+)"""
-#: What follows the credential word: the rest of its name and a separator, or else the value with or without one.
-NAMED = re.compile(rf"""s?(?:[_-][a-z0-9]+)*(?:\s{{1,4}}(?:keys?|values?|codes?|strings?|phrases?)\b)?["']?\s{{0,4}}{SEPARATOR}{VALUE}""", re.IGNORECASE | re.ASCII)
-PLAIN = re.compile(rf"""["']?\s{{0,4}}{SEPARATOR}?{VALUE}""", re.IGNORECASE | re.ASCII)
+#: Where a word may start and end: at other than letters and digits, or at a hump of camel case.
+STARTS = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+ENDS = r"(?:[sS]?(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+CREDENTIAL = re.compile(rf"{STARTS}(?i:(?:api|access|private|auth|secret)[\s_-]?key|pass(?:word|wd|phrase|code)|pwd|pin|secret|token|credentials?|(?P<bearer>bearer)){ENDS}", re.ASCII)
+#: The rest of the name that a credential word begins; atomic, so that no name is read twice.
+NAME = re.compile(r"(?>[0-9]*(?:(?<=[a-z0-9])[A-Z][A-Za-z0-9]*)?(?:[_-][A-Za-z0-9]+)*)", re.ASCII)
+BEGIN = r"""\s{0,4}["']?(?=[^\s"'<>,;])"""
+#: What may stand between a name and its value: a separator, a quote, or after ``bearer`` a space.
+ASSIGNED = re.compile(rf"""(?:\s{{1,4}}(?i:keys?|values?|codes?|strings?|phrases?)\b)?["']?\s{{0,4}}(?:(?P<prose>\b(?i:is)\b)\s{{0,4}}(?P<sign>:=|=>|->|=+|:+)?|:=|=>|->|=+|:+){BEGIN}""", re.ASCII)
+QUOTED = re.compile(r"""\s{1,4}["'](?=[^\s"'<>,;])""", re.ASCII)
+SPACED = re.compile(r"""\s{1,4}(?=[^\s"'<>,;])""", re.ASCII)
+RUN = re.compile(r"""[^\s"'<>,;]+""", re.ASCII)
+WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-\u2019](?:[A-Z]?[a-z]+|[A-Z]+))*")
+REPEATED = re.compile(r"(.{1,24}?)\1{7,}", re.DOTALL)
 HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "bearer")
 MIN_VALUE, MAX_WORD = 6, 24
+TRAILING = ".:!?)]}"
 SEGMENT_COST = math.log10(2)
 LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -110,6 +124,17 @@ def _step(a: str, b: str) -> tuple[int, int]:
     return place[b][0] - place[a][0], place[b][1] - place[a][1]
 
 
+def repeats_cost(value: str, ranks: dict[str, int], enough: float) -> float:
+    """Upper bound of the cost: each stretch of eight or more equal units is one repeat, what lies between is brute force."""
+    total, at = 0.0, 0
+    for m in REPEATED.finditer(value):
+        total += sum(map(brute_cost, value[at : m.start()])) + unit_cost(m[1], ranks) + math.log10((m.end() - m.start()) // len(m[1])) + SEGMENT_COST
+        at = m.end()
+        if total >= enough:
+            return total
+    return total + sum(map(brute_cost, value[at:]))
+
+
 def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
     """log10 of the guesses of the cheapest segmentation of the whole value.
 
@@ -117,7 +142,12 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
     a later start that an earlier one has undercut never leads again, so a few starts stand for all. A segment that
     passes ``end`` starts among the last ``MAX_WORD`` places or is a repeat that still runs; once the former all cost
     ``enough``, and so do the starts and units of the latter, the whole does too, and a lower bound that is at least ``enough`` is returned, however long the value is.
+    Long values that are cheap once their repeats are taken whole return that upper bound, under ``enough``.
     """
+    if 4 * MAX_WORD < len(value) and enough < math.inf and (high := repeats_cost(value, ranks, enough)) < enough:
+        return high
+    single = lru_cache(100_000)(lambda part: segment_cost(part, ranks))
+    unit_of = lru_cache(10_000)(lambda part: unit_cost(part, ranks))
     best = [0.0]
     same = [0] * (MAX_WORD + 1)  # by unit length: how many last characters equal those a unit before
     running = [math.inf] * (MAX_WORD + 1)  # the least cost of start and unit among the repeats that these characters can be of
@@ -125,7 +155,7 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
     for end in range(1, len(value) + 1):
         cost = best[end - 1] + brute_cost(value[end - 1])
         for start in range(max(0, end - MAX_WORD), end):
-            one = segment_cost(value[start:end], ranks)
+            one = single(value[start:end])
             if one < math.inf:
                 cost = min(cost, best[start] + one + SEGMENT_COST)
         for unit in range(1, min(MAX_WORD, end - 1) + 1):
@@ -135,11 +165,11 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
                     starts[unit].clear()
                 continue
             same[unit] += 1
-            running[unit] = min(running[unit], best[end - 1 - unit] + unit_cost(value[end - 1 - unit : end - 1], ranks))
+            running[unit] = min(running[unit], best[end - 1 - unit] + unit_of(value[end - 1 - unit : end - 1]))
             if same[unit] < unit:
                 continue
             start, kept, least = end - 2 * unit, [], math.inf
-            for a, before in [*starts[unit].get(end % unit, ()), (start, best[start] + unit_cost(value[start : start + unit], ranks))]:
+            for a, before in [*starts[unit].get(end % unit, ()), (start, best[start] + unit_of(value[start : start + unit]))]:
                 one = before + math.log10((end - a) // unit)
                 if one < least:
                     kept.append((a, before))
@@ -185,28 +215,63 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def mixed(value: str) -> bool:
+    """Digits, upper and lower case in one."""
+    return any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value)
+
+
 def guessed_spans(text: str, ranks: dict[str, int], base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
-    """Values in credential contexts, apart from the base spans, that cost at least 10**least guesses."""
+    """Values in credential contexts, apart from the base spans, that cost at least 10**least guesses.
+
+    The scan goes on behind each name and each judged value, so no character is read for more than a few words.
+    """
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     found: list[tuple[int, int, int]] = []
-    for word in CREDENTIAL.finditer(text):
-        named, plain = NAMED.match(text, word.end()), PLAIN.match(text, word.end())
-        if named and plain and plain.end() > named.start("value"):
-            plain = None
-        for m in (plain, named):
-            if not m:
-                continue
-            value = m["value"].rstrip(".:!?)]}")
-            start, end = m.start("value"), m.start("value") + len(value)
-            if len(value) < MIN_VALUE or any(s < end and start < e for s, _, e in [*base, *found[-2:]]):
-                continue
-            inner = CREDENTIAL.match(text, start)
-            if inner and NAMED.match(text, inner.end()):
-                continue
-            if guess_cost(value, ranks, least) >= least:
-                found.append((start, 3, end))
+    at = run_end = unmixed = 0
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before == 0 or ends[before - 1] <= start
+
+    def judge(start: int, value: str) -> None:
+        if guess_cost(value, ranks, least) >= least:
+            found.append((start, 3, start + len(value)))
+
+    while word := CREDENTIAL.search(text, at):
+        after = at = NAME.match(text, word.end()).end()
+        link = ASSIGNED.match(text, after) or QUOTED.match(text, after)
+        prose = bool(link) and link.re is ASSIGNED and link["prose"] and not link["sign"]
+        if not link and word["bearer"] and after == word.end():
+            link, prose = SPACED.match(text, after), True
+        if text[word.end() : word.end() + 1] in ("_", "-") and word.end() >= unmixed:
+            # a value glued to the word: only what no name looks like
+            if word.end() >= run_end:
+                run_end = RUN.match(text, word.end()).end()
+            if not (link and run_end > link.end()) and free(word.end(), run_end):
+                value = text[word.end() : run_end].rstrip(TRAILING)
+                if len(value) >= MIN_VALUE and mixed(value):
+                    judge(word.end(), value)
+                    at = run_end
+                else:
+                    unmixed = run_end
+        if not link:
+            continue
+        start = at = max(at, link.end())
+        if start >= run_end:
+            run_end = RUN.match(text, start).end()
+        if run_end - start < MIN_VALUE or not free(start, run_end):
+            continue
+        inner = CREDENTIAL.match(text, start)
+        if inner and ASSIGNED.match(text, NAME.match(text, inner.end()).end()):
+            continue
+        value = text[start:run_end].rstrip(TRAILING)
+        if len(value) < MIN_VALUE or (prose and WORDLIKE.fullmatch(value)):
+            continue
+        judge(start, value)
+        at = run_end
     return found
 
 

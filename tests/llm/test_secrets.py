@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 from quern.llm import secrets
 
@@ -109,3 +110,88 @@ def test_repeats_of_any_length():
 def test_repeated_rows_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "pwd: x9$Qv!7rTz", 1, 2, "a")] * 2 + [(2, "word " * 100_000 + "pwd: x9$Qv!7rTz", 1, 2, "a")], "doc_id long, text string, word int, n int, spans string")
     assert sorted((r["doc_id"], r["spans"]) for r in secrets.find_secrets(docs).collect()) == [(1, "guess:5:15")] * 2 + [(2, "guess:500005:500015")]
+
+
+def found(text, least=8.0):
+    return [text[s:e] for s, _, e in secrets.guessed_spans(text, RANKS, secrets.base_spans(text), least)]
+
+
+def test_words_that_only_contain_a_credential_word():
+    for text in ("We study tokenization today.", "secretkeeping", "pinpointing", "PIN-protected", "tokenizer.py", "token_to_id(x)", "passwordless login", "opinion: x9$Qv!7rTz", "spin = x9$Qv!7rTz"):
+        assert found(text) == [], text
+
+
+def test_camel_case():
+    for text in ("dbPwd: V", "userPwd=V", "clientSecret = V!", "my_secretPassphrase: V", "JSONToken: V", "authToken => V", "apiKeyProd: V", "userPIN: V"):
+        assert found(text.replace("V", "x9$Qv!7rTz")) == ["x9$Qv!7rTz"], text
+
+
+def test_labelled_lines():
+    """Precision and recall over 440 lines; secrets are random, the rest is prose, code and cheap values."""
+    rng = random.Random(11)
+    marks = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789$!#%@&*"
+    holders = ("dbPwd: {}", "pwd = {}", "passphrase is {}", "clientSecret := {}", "bearer {}", "export DB_PIN='{}'", "\"credential\": \"{}\"", "access key -> {}", "private_key = {}", "the passcode is: {}", "auth-key: {}")
+    positive = []
+    for i in range(220):
+        value = "".join(rng.choice(marks) for _ in range(rng.randrange(9, 20))).rstrip("!") + "x"
+        positive.append((f"line {i} " + holders[i % len(holders)].format(value) + " end", value))
+    prose = ("tokenization is {}", "the secret is {}", "a token bearer {}", "pinpointing {}", "secretkeeping: {}", "pin {}", "passwords and {}", "tokenizer = {}", "pwd: dragon1999", "pin = 1234567", "passphrase: thethethethe")
+    words = ("perseverance", "authentication", "well-known", "dragon", "monkeys")
+    negative = [prose[i % len(prose)].format(words[i % len(words)]) + " here" for i in range(220)]
+    hits = sum(found(text) == [value] for text, value in positive)
+    false = sum(bool(found(text)) for text in negative)
+    assert hits >= 0.95 * len(positive) and false == 0, (hits, false)
+
+
+def brute_guesses(text, base, least):
+    """The same rules, each word on its own with whole slices, without carried ends."""
+    out, at = [], 0
+    for word in (m for i in range(len(text)) if (m := secrets.CREDENTIAL.match(text, i))):
+        if word.start() < at:
+            continue
+        name = secrets.NAME.match(text, word.end())
+        link = secrets.ASSIGNED.match(text, name.end())
+        prose = bool(link) and link["prose"] and not link["sign"]
+        link = link or secrets.QUOTED.match(text, name.end())
+        if not link and word["bearer"] and not name[0]:
+            link, prose = secrets.SPACED.match(text, name.end()), True
+        at = name.end()
+        tries = []
+        if text[word.end() : word.end() + 1] in ("_", "-"):
+            run = re.match(r"[^\s\"'<>,;]+", text[word.end() :], re.A)[0]
+            if not (link and word.end() + len(run) > link.end()) and secrets.mixed(run.rstrip(".:!?)]}")):
+                tries.append((word.end(), run, True))
+        if link:
+            tries.append((link.end(), re.match(r"[^\s\"'<>,;]+", text[link.end() :], re.A)[0], False))
+            at = max(at, link.end())
+        for start, run, glued in tries:
+            value = run.rstrip(".:!?)]}")
+            inner = secrets.CREDENTIAL.match(text, start)
+            inner = not glued and inner and secrets.ASSIGNED.match(text, secrets.NAME.match(text, inner.end()).end())
+            word_like = not glued and prose and secrets.WORDLIKE.fullmatch(value)
+            if len(value) < 6 or any(s < start + len(run) and start < e for s, _, e in base) or inner or word_like:
+                continue
+            at = max(at, start + len(run))
+            if secrets.guess_cost(value, RANKS) >= least:
+                out.append((start, 3, start + len(value)))
+    return out
+
+
+def test_guesses_against_brute_force():
+    rng = random.Random(3)
+    pieces = ["pwd", "Token", "secret", "bearer", "pin", "api key", "_", "-", " ", " ", ": ", "=", " is ", "'", '"', "x9$Qv!7rTz", "Zk8rQ2wLp9", "dragon", "monkeys", "1999", "deadbeefdeadbeefdeadbeef", "\n", ".", ")", ",", "Db", "izer"]
+    some = 0
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        base = secrets.base_spans(text)
+        got = secrets.guessed_spans(text, RANKS, base, 8.0)
+        assert got == brute_guesses(text, base, 8.0), text
+        some += len(got)
+    assert some > 200
+
+
+def test_long_cheap_values_and_nested_words_end_soon():
+    for text in ("pwd: " + "=" * 1_000_000, "pin-" * 250_000, "pin=" * 250_000, "secret=abcdef " * 70_000, "token_a." * 120_000, "bearer " * 140_000):
+        before = time.monotonic()
+        assert len(found(text)) <= 1
+        assert time.monotonic() - before < 5, text[:20]
