@@ -16,6 +16,8 @@ words has the empty shingle, so all such texts are alike. Lower case and runs of
 
 from __future__ import annotations
 
+import math
+
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +94,23 @@ def fingerprint(docs: DataFrame, n_bins: int = 256) -> DataFrame:
     return docs.select("doc_id", packed(bins(F.col("text"), n_bins)).alias("fingerprint"))
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array, folded into one literal of the plan however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def bounds_up_to(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``: the block of bounds first, then the place in it.
+
+    A row meets about twice the square root of the number of bounds.
+    """
+    width = max(1, math.isqrt(len(cuts)))
+    heads = cuts[width::width]
+    block = F.size(F.filter(longs(heads), lambda c: c <= value)) if heads else F.lit(0)
+    inside = F.slice(longs(cuts), block * width + 1, width)
+    return F.when(value.isNotNull(), block * width + F.size(F.filter(inside, lambda c: c <= value)))
+
+
 def with_next(docs: DataFrame, columns: list[str], lots: int) -> DataFrame:
     """``doc_id``, ``columns`` and ``next_<column>``: those of the next row by ``doc_id``, the first row after the last.
 
@@ -102,16 +121,16 @@ def with_next(docs: DataFrame, columns: list[str], lots: int) -> DataFrame:
     n = max(2, lots)
     cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     cuts = sorted(set(cuts))
-    lot = F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    lot = F.coalesce(bounds_up_to(cuts, F.col("doc_id")), F.lit(0)) if cuts else F.lit(0)
     dealt = docs.withColumn("lot", F.when(F.col("doc_id").isNull(), 0).otherwise(lot))
     lows = sorted(dealt.groupBy("lot").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).alias("low")).collect())
     low_of, before = [None] * n, [0] * n
     for (k, low), (p, _) in zip(lows, [lows[-1], *lows[:-1]] if lows else [], strict=True):
         low_of[k], before[k] = low, p
-    first = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.get(F.lit([x if x is not None else 0 for x in low_of]), F.col("lot"))
+    first = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.get(longs([x if x is not None else 0 for x in low_of]), F.col("lot"))
     wraps = F.col("lot") == (lows[0][0] if lows else 0)
     own = F.struct(F.col("lot").alias("to"), F.lit(0).alias("guest"))
-    guest = F.struct(F.get(F.lit(before), F.col("lot")).alias("to"), F.when(wraps, 2).otherwise(1).alias("guest"))
+    guest = F.struct(F.get(longs(before), F.col("lot")).cast("int").alias("to"), F.when(wraps, 2).otherwise(1).alias("guest"))
     sent = dealt.withColumn("copy", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", *columns, "copy.*")
     along = Window.partitionBy("to").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64(*columns))
     return sent.select("doc_id", *columns, "guest", *[F.lead(c).over(along).alias(f"next_{c}") for c in columns]).where("guest = 0").drop("guest")

@@ -94,3 +94,12 @@ def test_ranges_follow_the_size_of_the_texts(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LOT_BYTES", 1000)
     docs = spark.createDataFrame([(i, SENTENCE) for i in range(160)], "doc_id long, text string")
     assert minhash.compare_with_edits(docs).count() == 160 and seen == [-(-160 * len(SENTENCE) // 1000)]
+
+
+def test_bounds_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    for cuts in ([5], [1, 2], [-7, 0, 3, 9, 10], list(range(-50, 150, 3))):
+        rows = spark.range(-60, 160).select("id", minhash.bounds_up_to(cuts, F.col("id")).alias("n")).collect()
+        assert all(r["n"] == sum(c <= r["id"] for c in cuts) for r in rows), cuts
+    assert spark.sql("select cast(null as bigint) id").select(minhash.bounds_up_to([1, 2], F.col("id"))).first()[0] is None
