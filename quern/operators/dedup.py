@@ -155,12 +155,12 @@ def lsh_candidates(signatures: DataFrame, b: int = 16, key: str = "doc_id") -> D
     return rows.join(least, ["band", "slice"]).where(F.col(key) > F.col("a")).select("a", F.col(key).alias("b")).distinct()
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id") -> DataFrame:
-    """All pairs ``a`` < ``b`` of distinct texts whose shingle sets have Jaccard of ``threshold`` or more, with ``jaccard``.
+def _prefixes(docs: DataFrame, threshold: float, n: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """``ranked``: a row for each distinct text with its shared shingles, rarest first; ``prefix``: those to be joined on.
 
     Exact copies are represented by their smallest id. Shingles are hashed at once and only those that two texts or more
     share travel further. Sets of similarity t share one of the |x| - ceil(t*|x|) + 1 rarest shingles of each (prefix
-    filter), so only those are joined, and rare shingles are in few documents. No pair is lost.
+    filter), so only those are joined, and rare shingles are in few documents.
     """
     one = keep_first(docs.where("text is not null").select(key, "text"), sha256_key(F.lower("text")), key)
     sets = T.once(one, {"grams": T.hashed_shingles(F.col("text"), n)}).select(key, F.size("grams").alias("size"), "grams")
@@ -170,14 +170,62 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str
     # the shingles that no other text has come first in the order and fill that much of the prefix
     first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1 - (F.col("size") - F.size("g"))
     ranked = persisted(ranked.select(key, "size", F.col("g.gram").alias("grams"), first.cast("int").alias("first")).where("first > 0"))
-    prefix = ranked.select(key, "size", F.explode(F.slice("grams", 1, F.least("first", F.size("grams")))).alias("gram"))
-    left, right = prefix.select(F.col(key).alias("a"), F.col("size").alias("na"), "gram"), prefix.select(F.col(key).alias("b"), F.col("size").alias("nb"), "gram")
-    pairs = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b", "na", "nb").distinct()
+    return ranked, ranked.select(key, "size", F.explode(F.slice("grams", 1, F.least("first", F.size("grams")))).alias("gram"))
+
+
+def _alike(pairs: DataFrame, ranked: DataFrame, threshold: float, key: str) -> DataFrame:
+    """Of the candidate ``pairs`` (``a``, ``b``, sizes ``na``, ``nb``) those of a Jaccard of ``threshold`` or more."""
+    pairs = pairs.where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).distinct()
     pairs = pairs.join(ranked.select(F.col(key).alias("a"), F.col("grams").alias("ga")), "a").join(ranked.select(F.col(key).alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     return pairs.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id") -> DataFrame:
+    """All pairs ``a`` < ``b`` of distinct texts whose shingle sets have Jaccard of ``threshold`` or more, with ``jaccard``.
+
+    Candidates share a shingle of their prefixes; no pair is lost.
+    """
+    ranked, prefix = _prefixes(docs, threshold, n, key)
+    left, right = prefix.select(F.col(key).alias("a"), F.col("size").alias("na"), "gram"), prefix.select(F.col(key).alias("b"), F.col("size").alias("nb"), "gram")
+    return _alike(left.join(right, "gram").where("a < b").select("a", "b", "na", "nb"), ranked, threshold, key)
+
+
+def similar_links(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id", stars: int = 3) -> DataFrame:
+    """Links ``a``, ``b`` between similar texts with the components of ``similar_pairs``, but not all pairs of a group.
+
+    A round compares the holders of each prefix shingle with one of them, which a hash of the round draws, so a group of
+    near copies becomes one component for a row each. Shingles whose holders are one component already take no further
+    part. At last the holders of a shingle that are in different components are all compared, so no component is missed.
+    """
+    ranked, prefix = _prefixes(docs, threshold, n, key)
+    prefix = persisted(prefix)
+    links = ranked.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
+
+    def open_holders() -> DataFrame:
+        label = components(links)
+        held = prefix.join(label, prefix[key] == label["v"], "left").select("gram", key, "size", F.coalesce("label", key).alias("label"))
+        split = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+        return persisted(held.join(split, "gram"))
+
+    for turn in range(stars):
+        held = open_holders()
+        centre = held.groupBy("gram").agg(F.min_by(F.struct(F.col(key).alias("a"), F.col("size").alias("na"), F.col("label").alias("la")), F.xxhash64(F.col(key), F.lit(turn))).alias("c")).select("gram", "c.*")
+        pairs = held.join(centre, "gram").where("la <> label").select("a", F.col(key).alias("b"), "na", F.col("size").alias("nb"))
+        more = persisted(_alike(pairs, ranked, threshold, key).select("a", "b"))
+        release(held)
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+    held = open_holders()
+    labels = held.select("gram", "label").distinct()
+    apart = labels.select("gram", F.col("label").alias("la")).join(labels.select("gram", F.col("label").alias("lb")), "gram").where("la < lb")
+    left = held.select("gram", F.col("label").alias("la"), F.col(key).alias("a"), F.col("size").alias("na"))
+    right = held.select("gram", F.col("label").alias("lb"), F.col(key).alias("b"), F.col("size").alias("nb"))
+    pairs = apart.join(left, ["gram", "la"]).join(right, ["gram", "lb"]).select("a", "b", "na", "nb")
+    return links.unionAll(_alike(pairs, ranked, threshold, key).select("a", "b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``v``, ``label``: the smallest vertex reachable over the edges ``a`` - ``b``."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -199,7 +247,7 @@ def near_dup_clusters(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> Da
     """``doc_id`` and ``cluster``, the smallest id of its component of similar pairs, for every document with a text."""
     rep = docs.where("text is not null").withColumn("_key", sha256_key(F.lower("text")))
     first = rep.groupBy("_key").agg(F.min("doc_id").alias("rep"))
-    found = components(similar_pairs(docs, threshold, n))
+    found = components(similar_links(docs, threshold, n))
     named = first.join(found, first["rep"] == found["v"], "left").select("_key", F.coalesce("label", "rep").alias("cluster"))
     return rep.join(named, "_key").select("doc_id", "cluster")
 

@@ -58,6 +58,33 @@ def test_similar_pairs_lose_nothing(spark):
     assert {(r["a"], r["b"]) for r in dedup.similar_pairs(docs).collect()} == want
     gone = {r["doc_id"] for r in dedup.greedy_removals(docs).collect()}
     assert all(a in gone or b in gone for a, b in want)
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    for stars in (0, 1, 3):
+        linked = {r["v"]: r["label"] for r in dedup.components(dedup.similar_links(docs, stars=stars)).collect()}
+        assert {i: linked.get(i, i) for i in label} == label
+
+
+def test_clusters_of_many_near_copies_take_few_links(spark):
+    """2,000 near copies of one text beside two small groups that share its passages, a chain and a null."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(2000):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    other = [f"v{i}" for i in range(150)]
+    rows += [(3000 + i, " ".join([*other, *base[: 30 + i]])) for i in range(4)]
+    chain = [f"c{i}" for i in range(140)]
+    rows += [(4000 + i, " ".join(chain[5 * i : 5 * i + 60])) for i in range(8)]
+    docs = spark.createDataFrame([*rows, (5000, None), (5001, ""), (5002, "")], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["cluster"] for r in dedup.near_dup_clusters(docs).collect()}
+    assert {got[i] for i in range(2000)} == {0} and {got[3000 + i] for i in range(4)} == {3000} and {got[4000 + i] for i in range(8)} == {4000}
+    assert got[5001] == got[5002] == 5001 and 5000 not in got
+    assert dedup.similar_links(docs).count() < 20 * 2000
 
 
 def test_median_and_histogram(spark):
