@@ -200,24 +200,25 @@ def similar_links(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str
     """
     ranked, prefix = _prefixes(docs, threshold, n, key)
     prefix = persisted(prefix)
-    links = ranked.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
 
-    def open_holders() -> DataFrame:
-        label = components(links)
+    def holders(label: DataFrame) -> DataFrame:
         held = prefix.join(label, prefix[key] == label["v"], "left").select("gram", key, "size", F.coalesce("label", key).alias("label"))
         split = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
         return persisted(held.join(split, "gram"))
 
+    links = ranked.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
+    held = holders(links.toDF("v", "label"))
     for turn in range(stars):
-        held = open_holders()
         centre = held.groupBy("gram").agg(F.min_by(F.struct(F.col(key).alias("a"), F.col("size").alias("na"), F.col("label").alias("la")), F.xxhash64(F.col(key), F.lit(turn))).alias("c")).select("gram", "c.*")
         pairs = held.join(centre, "gram").where("la <> label").select("a", F.col(key).alias("b"), "na", F.col("size").alias("nb"))
         more = persisted(_alike(pairs, ranked, threshold, key).select("a", "b"))
-        release(held)
         if more.isEmpty():
             break
         links = links.unionAll(more)
-    held = open_holders()
+        release(held)
+        held = holders(components(links))
+    if held.isEmpty():
+        return links
     labels = held.select("gram", "label").distinct()
     apart = labels.select("gram", F.col("label").alias("la")).join(labels.select("gram", F.col("label").alias("lb")), "gram").where("la < lb")
     left = held.select("gram", F.col("label").alias("la"), F.col(key).alias("a"), F.col("size").alias("na"))
