@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -310,26 +311,63 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def sign_tables(n: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
-    """Planes a table, so that ``n`` vectors leave about ``bucket`` to a code, and the tables that find a pair at the
-    threshold with probability ``recall``; pairs of higher cosine are likelier still."""
-    planes = min(24, max(8, math.ceil(math.log2(max(n, 1) / bucket)))) if n > bucket else 8
+def sign_tables(n: int, threshold: float, recall: float, bucket: int = 4096) -> tuple[int, int]:
+    """Planes a table, so that ``n`` vectors leave at most about ``bucket`` to a code, and the tables that find a pair at the
+    threshold with probability ``recall``; pairs of higher cosine are likelier still. One bucket needs no plane, and loses none."""
+    planes = min(24, math.ceil(math.log2(n / bucket))) if n > bucket else 0
+    if not planes:
+        return 0, 1
     agree = (1 - math.acos(threshold) / math.pi) ** planes
     return planes, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def semantic_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float = 0.9999, seed: int = 5, key: str = "vec_id", vector: str = "embedding", dim: int = 64) -> DataFrame:
+def _close(u: np.ndarray, v: np.ndarray | None, threshold: float, slab: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``u`` and of ``v`` (of ``u`` and later ones of ``u`` without it) whose inner product is over ``threshold``, and that.
+
+    Products in single precision, a slab of rows at a time, leave out what is under the threshold by more than their error;
+    the others are summed in double precision from the first place to the last.
+    """
+    left, right, cosine = [], [], []
+    w = u if v is None else v
+    narrow = w.astype(np.float32).T
+    for start in range(0, len(u), slab):
+        first = start if v is None else 0
+        i, j = np.nonzero(u[start : start + slab].astype(np.float32) @ narrow[:, first:] > threshold - 1e-4)
+        i, j = i + start, j + first
+        if v is None:
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), 100_000):
+            k, m = i[at : at + 100_000], j[at : at + 100_000]
+            total = np.zeros(len(k))
+            for d in range(u.shape[1]):
+                total += u[k, d] * w[m, d]
+            over = total > threshold
+            left.append(k[over])
+            right.append(m[over])
+            cosine.append(total[over])
+    return (np.concatenate(left), np.concatenate(right), np.concatenate(cosine)) if left else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix."""
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def semantic_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float = 0.9999, seed: int = 5, key: str = "vec_id", vector: str = "embedding", dim: int = 64, bucket: int = 4096) -> DataFrame:
     """Pairs ``a`` < ``b`` with cosine over ``threshold``, verified exactly, among vectors that share a sign pattern of
     random planes in one of the tables.
 
     The number of planes follows from the number of vectors, so buckets don't grow with it, and the number of tables from
     the ``recall`` wanted for a pair just at the threshold: a link is missed with probability 1 - ``recall`` at most.
-    Equal vectors collapse to the smallest id.
+    The vectors of a code meet in one group, as a product of matrices, so that only similar pairs leave it; a code of over
+    two ``bucket``s is cut into blocks, and each two of its blocks are a group. Equal vectors collapse to the smallest id.
     """
     unique = persisted(vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(key).alias(key)).select(key, unit(F.col(vector)).alias("u")))
-    planes, tables = sign_tables(unique.count(), threshold, recall)
+    planes, tables = sign_tables(unique.count(), threshold, recall, bucket)
     normals = np.random.default_rng(seed).normal(size=(tables * planes, dim))
     powers = 1 << np.arange(planes, dtype=np.int64)
+    kind = dict(vectors.dtypes)[key]
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,12 +375,23 @@ def semantic_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float =
                 continue
             u = np.array(batch.column(1).to_pylist(), np.float64)
             code = ((u @ normals.T >= 0).reshape(len(u), tables, planes) * powers).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(u)), tables))), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(u))), pa.array(code.ravel())], names=[key, "t", "code"])
-
-    rows = persisted(unique.mapInArrow(codes, f"{key} {dict(vectors.dtypes)[key]}, t int, code long"))
-    near = rows.select(F.col(key).alias("a"), "t", "code").join(rows.select(F.col(key).alias("b"), "t", "code"), ["t", "code"]).where("a < b").select("a", "b").distinct()
-    near = near.join(unique.select(F.col(key).alias("a"), F.col("u").alias("ua")), "a").join(unique.select(F.col(key).alias("b"), F.col("u").alias("ub")), "b")
-    return near.select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine")).where(F.col("cosine") > threshold)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(code), pa.list_(pa.int64()))], names=[key, "u", "codes"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        here, there = (group.filter(pc.equal(group["block"], group[side][0])) for side in ("lo", "hi"))
+        same = group["lo"][0] == group["hi"][0]
+        i, j, cosine = _close(_matrix(here["u"]), None if same else _matrix(there["u"]), threshold)
+        return pa.table({"x": here[key].take(pa.array(i)), "y": there[key].take(pa.array(j)), "cosine": pa.array(cosine)})
+
+    coded = unique.mapInArrow(codes, f"{key} {kind}, u array<double>, codes array<long>")
+    counts = coded.select(F.posexplode("codes").alias("t", "code")).groupBy("t", "code").agg(F.count("*").alias("n"))
+    large = counts.where(F.col("n") > 2 * bucket).select("t", "code", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
+    rows = coded.select(key, "u", F.posexplode("codes").alias("t", "code")).join(F.broadcast(large), ["t", "code"], "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select(key, "u", "t", "code", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    near = dealt.groupBy("t", "code", "lo", "hi").applyInArrow(meet, f"x {kind}, y {kind}, cosine double")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine").distinct()
 
 
 def _equal_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,23 @@ def test_semantic_recall_on_planted_pairs(spark):
     assert dedup.semantic_clusters(vectors, 0.85).groupBy("cluster").count().where("count = 2").count() == 150
 
 
+def test_semantic_pairs_of_crowded_codes(spark):
+    """Codes of many vectors are cut into blocks; a group of near copies and pairs across blocks are all found."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=64)
+    crowd = base + 0.3 * rng.normal(size=(150, 64))
+    other = rng.normal(size=(250, 64))
+    all_ = np.vstack([crowd, other, other[:40] + 0.4 * rng.normal(size=(40, 64))])
+    unit = all_ / np.linalg.norm(all_, axis=1)[:, None]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T, 1) > 0.85), strict=True)}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(all_)], "vec_id long, embedding array<double>")
+    assert dedup.sign_tables(440, 0.85, 0.9999, 32)[0] == 4
+    found = dedup.semantic_pairs(vectors, 0.85, bucket=32).collect()
+    assert len(found) == len(want) > 150 * 149 / 2 and {(r["a"], r["b"]) for r in found} == want
+    assert all(abs(r["cosine"] - unit[r["a"]] @ unit[r["b"]]) < 1e-12 for r in found)
+    assert dedup.semantic_pairs(vectors.limit(0), 0.85).count() == 0
+
+
 def test_layers_down_to_meaning(spark):
     long = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, long), (2, long), (3, long + " end"), (4, "quite different"), (5, "unlike the others")], "doc_id long, text string")
