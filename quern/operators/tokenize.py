@@ -7,9 +7,12 @@ else in rounds on Spark with the same result. Encoding runs once for each distin
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +61,6 @@ def merge(symbols_: Column, left: str | Column, right: str | Column, joined: str
     return F.aggregate(symbols_, F.array().cast("array<string>"), step)
 
 
-def _merge_all(symbols_: Column, pairs: list[tuple[str, str, str]]) -> Column:
-    """``merge`` for each (left, right, joined) in order; words without both symbols are left alone."""
-    todo = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(ab).alias("ab")) for a, b, ab in pairs))
-    step = lambda s, m: F.when(F.array_contains(s, m["a"]) & F.array_contains(s, m["b"]), merge(s, m["a"], m["b"], m["ab"])).otherwise(s)
-    return F.aggregate(todo, symbols_, step)
-
-
 def learn_merges(counts: DataFrame, merges: int, min_frequency: int = 2, max_words: int = 200_000) -> list[tuple[str, str]]:
     """Byte-pair merges learned from every word; ties go to the smaller pair.
 
@@ -104,21 +100,64 @@ def learn_merges(counts: DataFrame, merges: int, min_frequency: int = 2, max_wor
     return out
 
 
+class _Points:
+    """Symbols as single code points, so that a word is a string and a merge replaces two of its characters by one. A character
+    stands for itself; ``point`` gives other symbols code points that ``used`` texts lack."""
+
+    def __init__(self, used: set[str]):
+        self.names: dict[str, str] = {}
+        self.points: dict[str, str] = {}
+        self.free = (c for c in map(chr, range(0x40000, 0x110000)) if c not in used)
+
+    def point(self, name: str) -> str:
+        if name not in self.points:
+            self.points[name] = next(self.free)
+            self.names[self.points[name]] = name
+        return self.points[name]
+
+    def of(self, symbol: str) -> str:
+        return self.points.get(symbol, symbol)
+
+    def name(self, point: Column) -> Column:
+        known = F.create_map(*[F.lit(x) for pair in self.names.items() for x in pair]) if self.names else F.lit(None)
+        return F.coalesce(F.try_element_at(known, point), point) if self.names else point
+
+
+def _replaced(word: Column, merges: list[tuple[str, str]]) -> Column:
+    """``word`` with each (pair, joined) of code points replaced in order, from the left."""
+    for pair, joined in merges:
+        word = F.replace(word, F.lit(pair), F.lit(joined))
+    return word
+
+
+def _pieces_of(word: Column, size: int) -> Column:
+    """Its substrings of ``size`` code points."""
+    return F.when(F.char_length(word) >= size, F.transform(F.sequence(F.lit(1), F.char_length(word) - size + 1), lambda i: F.substring(word, i, F.lit(size))))
+
+
+def _characters(words: DataFrame) -> set[str]:
+    return {r["c"] for r in words.select(F.explode(F.split("word", "")).alias("c")).distinct().collect()}
+
+
 def _merge_rounds(words: DataFrame, merges: int, min_frequency: int, candidates: int = 256) -> list[tuple[str, str]]:
     """The merges of ``learn_merges`` with the words in a table: a round counts all pairs, brings the ``candidates`` most
     frequent to the driver, and applies those that no earlier merge of the round can overtake (``_settled``)."""
-    state = persisted(words.select("n", symbols(F.col("word")).alias("symbols")))
+    points = _Points(_characters(words))
+    state = persisted(words.select("n", F.concat("word", F.lit(points.point(END))).alias("s")))
     release(words)
     out: list[tuple[str, str]] = []
     made = {END}
     while len(out) < merges:
-        ranked = pair_counts(state).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right").limit(candidates).collect()
+        pairs = state.select("n", F.explode(_pieces_of(F.col("s"), 2)).alias("p")).groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
+        named = pairs.select("n", points.name(F.substring("p", 1, 1)).alias("left"), points.name(F.substring("p", 2, 1)).alias("right"))
+        ranked = named.orderBy(F.desc("n"), "left", "right").limit(candidates).collect()
         batch = _settled([((r["left"], r["right"]), r["n"]) for r in ranked], made, len(ranked) < candidates)[: merges - len(out)]
         if not batch:
             break
         out += batch
         made |= {a + b for a, b in batch}
-        last, state = state, persisted(state.select("n", _merge_all(F.col("symbols"), [(a, b, a + b) for a, b in batch]).alias("symbols")).where(F.size("symbols") > 1))
+        replaced = _replaced(F.col("s"), [(points.of(a) + points.of(b), points.point(a + b)) for a, b in batch])
+        last, state = state, persisted(state.select("n", replaced.alias("s")).where(F.char_length("s") > 1))
         release(last)
     release(state)
     return out
@@ -211,17 +250,29 @@ def learn_wordpiece(counts: DataFrame, merges: int, prefix: str = "##", min_freq
 
 def _wordpiece_rounds(words: DataFrame, merges: int, prefix: str, min_frequency: int) -> list[str]:
     """``learn_wordpiece`` with the words in a table; the best pair of each round and the characters reach the driver."""
-    letters = F.filter(F.split("word", ""), lambda c: c != "")
-    state = persisted(words.select("n", F.transform(letters, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c))).alias("symbols")))
+    letters = sorted(_characters(words) - {""})
+    points = _Points(set(letters))
+    inside = "".join(points.point(prefix + c) for c in letters)
+    state = persisted(words.select("n", F.concat(F.substring("word", 1, 1), F.translate(F.substring(F.col("word"), F.lit(2), F.char_length("word")), "".join(letters), inside)).alias("s")))
     release(words)
-    vocabulary = {r["s"] for r in state.select(F.explode("symbols").alias("s")).distinct().collect()}
-    for _ in range(merges):
-        best = pair_scores(state, min_frequency).orderBy(F.desc("score"), "left", "right").first()
+    vocabulary: set[str] = set()
+    for turn in range(max(merges, 1)):
+        counts = persisted(state.select("n", F.explode(F.concat(_pieces_of(F.col("s"), 1), F.coalesce(_pieces_of(F.col("s"), 2), F.array().cast("array<string>")))).alias("p")).groupBy("p").agg(F.sum("n").alias("n")))
+        single = counts.where(F.char_length("p") == 1)
+        if not turn:
+            vocabulary = {r["s"] for r in single.select(points.name(F.col("p")).alias("s")).collect()}
+        if not merges:
+            break
+        pairs = counts.where((F.char_length("p") == 2) & (F.col("n") >= min_frequency)).select(F.substring("p", 1, 1).alias("l"), F.substring("p", 2, 1).alias("r"), "n")
+        scored = pairs.join(single.select(F.col("p").alias("l"), F.col("n").alias("ml")), "l").join(single.select(F.col("p").alias("r"), F.col("n").alias("mr")), "r")
+        scored = scored.select("l", "r", points.name(F.col("l")).alias("left"), points.name(F.col("r")).alias("right"), (F.col("n") / (F.col("ml") * F.col("mr"))).alias("score"))
+        best = scored.orderBy(F.desc("score"), "left", "right").first()
+        release(counts)
         if best is None:
             break
         joined = best["left"] + best["right"].removeprefix(prefix)
         vocabulary.add(joined)
-        last, state = state, persisted(state.select("n", _merge_all(F.col("symbols"), [(best["left"], best["right"], joined)]).alias("symbols")))
+        last, state = state, persisted(state.select("n", _replaced(F.col("s"), [(best["l"] + best["r"], points.point(joined))]).alias("s")))
         release(last)
     release(state)
     return sorted(vocabulary)
@@ -237,47 +288,57 @@ def vocabulary_ids(tokens: DataFrame, specials: tuple[str, ...] = SPECIALS) -> D
     return fixed.unionByName(ids)
 
 
-def apply_merges(counts: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """``word``, ``pieces`` of each distinct word under the merges."""
+def by_merges(merges: list[tuple[str, str]]) -> Callable[[str], list[str]]:
+    """The function that gives the pieces of a word under the merges."""
     rank = {p: i for i, p in enumerate(merges)}
 
+    def one(word: str) -> list[str]:
+        s = [*word, END]
+        while len(s) > 1:
+            best = min(zip(s, s[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
+            if best not in rank:
+                break
+            s = _merged(s, best)
+        return s
+
+    return one
+
+
+def _each_word(counts: DataFrame, one: Callable[[str], list[str]]) -> DataFrame:
     @F.pandas_udf("array<string>")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(word: str) -> list[str]:
-            s = [*word, END]
-            while len(s) > 1:
-                best = min(zip(s, s[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
-                if best not in rank:
-                    break
-                s = _merged(s, best)
-            return s
-
         for words in batches:
             yield words.map(one)
 
     return counts.select("word", pieces("word").alias("pieces"))
 
 
-def longest_match(counts: DataFrame, vocabulary: list[str], prefix: str = "##", unknown: str = "[UNK]") -> DataFrame:
-    """``word``, ``pieces``: greedy longest vocabulary match from the left; a word that fails anywhere is unknown."""
+def apply_merges(counts: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """``word``, ``pieces`` of each distinct word under the merges."""
+    return _each_word(counts, by_merges(merges))
+
+
+def by_longest(vocabulary: list[str], prefix: str = "##", unknown: str = "[UNK]") -> Callable[[str], list[str]]:
+    """The function that gives the pieces of a word by greedy longest match."""
     known = frozenset(vocabulary)
+    longest = max(map(len, known), default=0)
 
-    @F.pandas_udf("array<string>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(word: str) -> list[str]:
-            out, at = [], 0
-            while at < len(word):
-                found = next((word[at:e] for e in range(len(word), at, -1) if (prefix if at else "") + word[at:e] in known), None)
-                if found is None:
-                    return [unknown]
-                out.append((prefix if at else "") + found)
-                at += len(found)
-            return out
+    def one(word: str) -> list[str]:
+        out, at = [], 0
+        while at < len(word):
+            found = next((word[at:e] for e in range(min(len(word), at + longest), at, -1) if (prefix if at else "") + word[at:e] in known), None)
+            if found is None:
+                return [unknown]
+            out.append((prefix if at else "") + found)
+            at += len(found)
+        return out
 
-        for words in batches:
-            yield words.map(one)
+    return one
 
-    return counts.select("word", pieces("word").alias("pieces"))
+
+def longest_match(counts: DataFrame, vocabulary: list[str], prefix: str = "##", unknown: str = "[UNK]") -> DataFrame:
+    """``word``, ``pieces``: greedy longest vocabulary match from the left; a word that fails anywhere is unknown."""
+    return _each_word(counts, by_longest(vocabulary, prefix, unknown))
 
 
 def substrings(counts: DataFrame, longest: int = 20, top: int = 10_000) -> DataFrame:
@@ -349,28 +410,76 @@ def encoded(docs: DataFrame, pieces: DataFrame, ids: DataFrame, pattern: str = S
     return docs.select(key).join(out, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def encoded_by(docs: DataFrame, one: Callable[[str], list[str]], ids: DataFrame, pattern: str = SIMPLE, unknown: int = 1, key: str = "doc_id", most: int = 500_000) -> DataFrame:
+    """As ``encoded``, with the function that gives a word's pieces instead of their table: no word leaves its document.
+
+    A task encodes each word of a lot of documents once and keeps the ids of up to ``most`` words; the vocabulary ``ids`` is
+    sent to the tasks.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in ids.select("token", "id").collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, seen = sent.value, {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                words = batch.column(1)
+                coded = pc.list_flatten(words).dictionary_encode()
+                if len(seen) > most:
+                    seen.clear()
+                lists = []
+                for w in coded.dictionary.to_pylist():
+                    if w not in seen:
+                        seen[w] = [vocabulary.get(p, unknown) for p in one(w)]
+                    lists.append(seen[w])
+                per_word = pa.array(lists, pa.list_(pa.int32())).take(coded.indices)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(per_word).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                out = pa.ListArray.from_arrays(pa.array(ends[bounds]), pc.list_flatten(per_word))
+                yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[key, "ids"])
+
+    return docs.select(key, F.coalesce(pretokens(F.col("text"), pattern), F.array().cast("array<string>")).alias("w")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
+
+
 def with_ends(ids: Column, bos: int | None = 2, eos: int | None = 3) -> Column:
     """The ids between the marks of beginning and end; a mark that is None is left out."""
     return F.concat(*([F.array(F.lit(bos))] if bos is not None else []), ids, *([F.array(F.lit(eos))] if eos is not None else []))
 
 
 def decoded(rows: DataFrame, ids: DataFrame, form: str = "bpe", key: str = "doc_id", column: str = "ids", specials: tuple[str, ...] = SPECIALS, prefix: str = "##", unknown: str = "<unk>") -> DataFrame:
-    """``key``, ``text`` of id arrays: pieces joined by id with the vocabulary (``token``, ``id``), specials left out.
+    """``key``, ``text`` of id arrays, row by row: pieces by id from the vocabulary (``token``, ``id``), which is sent to the tasks,
+    specials left out.
 
     ``form`` says how pieces spell words: ``bpe`` (an end mark closes a word), ``wordpiece`` (``prefix`` continues one) or
     ``unigram`` (pieces follow each other as they are). Ids that the vocabulary lacks give ``unknown``.
     """
-    each = rows.select(key, F.posexplode(column).alias("at", "id")).join(ids.select("id", "token"), "id", "left")
-    each = each.withColumn("token", F.coalesce("token", F.lit(unknown))).where(~F.col("token").isin(*[s for s in specials if s != unknown]))
-    pieces = each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("p"))
-    if form == "bpe":
-        text = F.rtrim(F.replace(F.array_join("p", ""), F.lit(END), F.lit(" ")))
-    elif form == "wordpiece":
-        joined = F.transform("p", lambda t: F.when(t.startswith(prefix), F.substring(t, F.lit(len(prefix) + 1), F.char_length(t))).otherwise(F.concat(F.lit(" "), t)))
-        text = F.ltrim(F.array_join(joined, ""))
-    else:
-        text = F.array_join("p", "")
-    return rows.select(key).join(pieces.select(key, text.alias("text")), key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    texts = {r["id"]: r["token"] for r in ids.select("id", "token").where("id is not null").collect()}
+    spell = lambda t: t if form != "wordpiece" else t[len(prefix) :] if t.startswith(prefix) else " " + t
+    places = sorted(texts)
+    dropped = [texts[i] in specials and texts[i] != unknown for i in places]
+    sent = rows.sparkSession.sparkContext.broadcast((np.array(places, np.int64), np.array([*dropped, False]), [*(spell(texts[i]) for i in places), spell(unknown)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, gone, names = sent.value
+        names = pa.array(names, pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                lists = batch.column(1)
+                flat = pc.list_flatten(lists)
+                x = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+                hit = (known[place] == x if len(known) else np.zeros(len(x), bool)) & pc.is_valid(flat).to_numpy(zero_copy_only=False)
+                place = np.where(hit, place, len(known))
+                kept = ~gone[place]
+                bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+                pieces = pa.ListArray.from_arrays(pa.array(ends[bounds]), names.take(pa.array(place[kept])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(pieces, "")], names=[key, "p"])
+
+    joined = rows.select(key, F.coalesce(F.col(column).cast("array<long>"), F.array().cast("array<long>"))).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, p string")
+    text = F.rtrim(F.replace("p", F.lit(END), F.lit(" "))) if form == "bpe" else F.ltrim("p") if form == "wordpiece" else F.col("p")
+    return joined.select(key, text.alias("text"))
 
 
 def save_tokenizer(path: str, ids: DataFrame, merges: list[tuple[str, str]] | None = None) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers, chat, examples, graph, mixing, monitor, retrieval, tokenize
+from quern.operators.dedup import persisted
 from quern.operators.stats import rounded
 from quern.plans import pipeline
 from quern.plans.text_queries import RAW_WORDS, WORDS
@@ -407,10 +408,10 @@ def wordpiece_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
-    counts = tokenize.word_frequencies(docs)
-    pieces = tokenize.apply_merges(counts, tokenize.learn_merges(counts, 200))
-    ids = tokenize.vocabulary_ids(pieces.select(F.explode("pieces").alias("token")))
-    return tokenize.encoded(docs, pieces, ids)
+    counts = persisted(tokenize.word_frequencies(docs))
+    merges = tokenize.learn_merges(counts, 200)
+    ids = tokenize.vocabulary_ids(tokenize.apply_merges(counts, merges).select(F.explode("pieces").alias("token")))
+    return tokenize.encoded_by(docs, tokenize.by_merges(merges), ids)
 
 
 @query(rf"""with d as (select w as word, count(*) as n from (select unnest({WORDS}) as w from documents) group by w), k as (select distinct unnest({WORDS}) as word from benchmark)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers, chat, examples, html, quality, retrieval, tokenize
+from quern.operators.dedup import persisted
 from quern.operators.stats import rounded
 from quern.plans.corpus_queries import BM25_CTE, M, _draw_sql, _metrics
 from quern.plans.text_queries import METRICS_CTE, RAW_WORDS, WORDS
@@ -148,10 +149,10 @@ def masked_whitening(spark: SparkSession, sf: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Words of letters encoded with learned merges and decoded again: the words themselves, space-joined."""
     docs = read(spark, sf, "documents")
-    counts = tokenize.word_frequencies(docs, "[a-zA-Z]+")
-    pieces = tokenize.apply_merges(counts, tokenize.learn_merges(counts, 100))
-    ids = tokenize.vocabulary_ids(pieces.select(F.explode("pieces").alias("token")))
-    coded = tokenize.encoded(docs, pieces, ids, "[a-zA-Z]+").withColumn("ids", tokenize.with_ends(F.col("ids")))
+    counts = persisted(tokenize.word_frequencies(docs, "[a-zA-Z]+"))
+    merges = tokenize.learn_merges(counts, 100)
+    ids = tokenize.vocabulary_ids(tokenize.apply_merges(counts, merges).select(F.explode("pieces").alias("token")))
+    coded = tokenize.encoded_by(docs, tokenize.by_merges(merges), ids, "[a-zA-Z]+").withColumn("ids", tokenize.with_ends(F.col("ids")))
     return tokenize.decoded(coded, ids)
 
 
@@ -162,9 +163,8 @@ def wordpiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     counts = tokenize.word_frequencies(docs, "[a-zA-Z]+")
     letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
     vocabulary = sorted({*tokenize.learn_wordpiece(counts, 50), *letters, *(f"##{c}" for c in letters)})
-    pieces = tokenize.longest_match(counts, vocabulary)
     ids = tokenize.vocabulary_ids(spark.createDataFrame([(t,) for t in vocabulary], "token string"))
-    return tokenize.decoded(tokenize.encoded(docs, pieces, ids, "[a-zA-Z]+"), ids, "wordpiece")
+    return tokenize.decoded(tokenize.encoded_by(docs, tokenize.by_longest(vocabulary), ids, "[a-zA-Z]+"), ids, "wordpiece")
 
 
 @query(f"""with w as (select source, unnest({WORDS}) as token from documents), t as (select token from w group by token having count(distinct source) = (select count(distinct source) from documents)) select count(*) as shared from t""")

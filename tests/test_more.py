@@ -75,3 +75,22 @@ def test_settled_head_of_the_ranking():
     assert tokenize._settled(ranked[:3], set(), True) == [("a", "b"), ("c", "d"), ("e", "f")]
     assert tokenize._settled(ranked, {"ab"}, True) == [("a", "b")] and tokenize._settled([], set(), True) == []
     assert tokenize._settled([(("a", "a"), 5), (("c", "d"), 4)], set(), True) == [("a", "a")]
+
+
+def test_words_coded_in_their_documents(spark):
+    """Encoding by the function of a word equals encoding by the table of pieces; odd characters, nulls and unknown ids too."""
+    rows = [(1, "low lower lowest"), (2, "newer, \x01 wider < / w > </w>"), (3, None), (4, ""), (5, "\U00040000 ééé aaaa aaa"), (6, "zebra qqq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = tokenize.word_frequencies(docs.where("doc_id <> 6"))
+    merges = tokenize.learn_merges(counts, 30, 1)
+    assert merges == tokenize.learn_merges(counts, 30, 1, max_words=0)
+    assert tokenize.learn_wordpiece(counts, 12, min_frequency=1) == tokenize.learn_wordpiece(counts, 12, min_frequency=1, max_words=0)
+    pieces = tokenize.apply_merges(counts, merges)
+    ids = tokenize.vocabulary_ids(pieces.select(F.explode("pieces").alias("token")))
+    one = tokenize.encoded_by(docs, tokenize.by_merges(merges), ids, most=2)
+    table = tokenize.encoded(docs, tokenize.apply_merges(tokenize.word_frequencies(docs), merges), ids)
+    assert sorted(map(str, one.collect())) == sorted(map(str, table.collect()))
+    texts = {r["doc_id"]: r["text"] for r in tokenize.decoded(one, ids).collect()}
+    assert texts[1] == "low lower lowest" and texts[3] == texts[4] == "" and texts[6].startswith("<unk>") and len(texts) == 6
+    strange = spark.createDataFrame([(1, [10**6, None, 2]), (1, []), (2, None)], "doc_id long, ids array<int>")
+    assert sorted(r["text"] for r in tokenize.decoded(strange, ids).collect()) == ["", "", "<unk><unk>"]
