@@ -139,16 +139,48 @@ def _characters(words: DataFrame) -> set[str]:
     return {r["c"] for r in words.select(F.explode(F.split("word", "")).alias("c")).distinct().collect()}
 
 
-def _merge_rounds(words: DataFrame, merges: int, min_frequency: int, candidates: int = 256) -> list[tuple[str, str]]:
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their ``n``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _point_pairs(words: DataFrame) -> DataFrame:
+    """``p``, ``n``: neighbouring code points of the words ``s``, counted by ``n``; a task adds its own up before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+            at = np.flatnonzero(of[:-1] == of[1:])
+            new, n = _summed(x[at] << 21 | x[at + 1], batch.column(0).to_numpy()[of[at]])
+            keys, sums = _summed(np.concatenate([keys, new]), np.concatenate([sums, n]))
+        yield pa.RecordBatch.from_arrays([pa.array([chr(p >> 21) + chr(p & 0x1FFFFF) for p in keys.tolist()], pa.string()), pa.array(sums)], names=["p", "n"])
+
+    return words.select("n", "s").mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+
+
+def _merge_rounds(words: DataFrame, merges: int, min_frequency: int, candidates: int = 256, pending: int = 24) -> list[tuple[str, str]]:
     """The merges of ``learn_merges`` with the words in a table: a round counts all pairs, brings the ``candidates`` most
-    frequent to the driver, and applies those that no earlier merge of the round can overtake (``_settled``)."""
+    frequent to the driver, and takes those that no earlier merge of the round can overtake (``_settled``). Merges are applied as
+    the words are read; the words are written anew once more than ``pending`` of them wait."""
     points = _Points(_characters(words))
     state = persisted(words.select("n", F.concat("word", F.lit(points.point(END))).alias("s")))
     release(words)
     out: list[tuple[str, str]] = []
+    waiting: list[tuple[str, str]] = []
     made = {END}
     while len(out) < merges:
-        pairs = state.select("n", F.explode(_pieces_of(F.col("s"), 2)).alias("p")).groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
+        now = state.select("n", _replaced(F.col("s"), waiting).alias("s")).where(F.char_length("s") > 1)
+        if len(waiting) > pending:
+            last, state, waiting = state, persisted(now), []
+            now = state
+            release(last)
+        pairs = _point_pairs(now).where(F.col("n") >= min_frequency)
         named = pairs.select("n", points.name(F.substring("p", 1, 1)).alias("left"), points.name(F.substring("p", 2, 1)).alias("right"))
         ranked = named.orderBy(F.desc("n"), "left", "right").limit(candidates).collect()
         batch = _settled([((r["left"], r["right"]), r["n"]) for r in ranked], made, len(ranked) < candidates)[: merges - len(out)]
@@ -156,9 +188,7 @@ def _merge_rounds(words: DataFrame, merges: int, min_frequency: int, candidates:
             break
         out += batch
         made |= {a + b for a, b in batch}
-        replaced = _replaced(F.col("s"), [(points.of(a) + points.of(b), points.point(a + b)) for a, b in batch])
-        last, state = state, persisted(state.select("n", replaced.alias("s")).where(F.char_length("s") > 1))
-        release(last)
+        waiting += [(points.of(a) + points.of(b), points.point(a + b)) for a, b in batch]
     release(state)
     return out
 
