@@ -97,30 +97,33 @@ def minhash(docs: DataFrame, k: int = 128, n: int = 5, seed: int = 42, key: str
 
     The products need 93 bits; they are split into halves that numpy's 64-bit integers hold.
     """
-    a, b = (np.array(x, np.uint64) for x in zip(*hash_parameters(k, seed), strict=True))
+    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*hash_parameters(k, seed), strict=True))
     a_high, a_low = a >> np.uint64(32), a & np.uint64(TOP)
-    p = np.uint64(PRIME)
+    p, whole, half = np.uint64(PRIME), np.uint64(61), np.uint64(29)
 
-    def reduce(x: np.ndarray) -> np.ndarray:
-        x = (x & p) + (x >> np.uint64(61))
-        return np.where(x >= p, x - p, x)
+    def fold(x: np.ndarray) -> np.ndarray:
+        return (x & p) + (x >> whole)
 
     def signature(shingles: list[str]) -> list[int]:
-        if not len(shingles):
-            return [TOP] * k
         low = np.full(k, TOP, np.uint64)
-        for i in range(0, len(shingles), 512):
-            x = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:4], "big") for s in shingles[i : i + 512]], np.uint64)[:, None]
-            high = reduce(a_high * x)  # (2^29)(2^32) fits
-            shifted = reduce(((high << np.uint64(32)) & p) + (high >> np.uint64(29)))
-            value = reduce(shifted + reduce(a_low * x))
-            value = reduce(value + b) & np.uint64(TOP)
-            low = np.minimum(low, value.min(axis=0))
+        every = np.frombuffer(b"".join([hashlib.md5(s.encode()).digest()[:4] for s in shingles]), ">u4").astype(np.uint64)
+        for i in range(0, len(every), 128):
+            x = every[i : i + 128]
+            high = a_high * x  # (2^29)(2^32) fits
+            # three terms of under 2^61 + 2^32: their sum fits and needs one more fold
+            value = fold((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
+            value += high >> half
+            value += fold(a_low * x)
+            value += b
+            value = fold(value)
+            value -= p * (value >= p)
+            value &= np.uint64(TOP)
+            np.minimum(low, value.min(axis=1), out=low)
         return low.astype(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [signature(s) if s is not None else [TOP] * k for s in batch.column(1).to_pylist()]
+            out = [signature(s.as_py() or []) for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[key, "signature"])
 
     sets = docs.select(key, T.shingles(F.col("text"), n).alias("shingles"))
@@ -151,7 +154,7 @@ def lsh_candidates(signatures: DataFrame, b: int = 16, key: str = "doc_id") -> D
 
     Every pair of a bucket is joined over its star, so components of candidates are those of all pairs.
     """
-    rows = bands(signatures, b, key)
+    rows = persisted(bands(signatures, b, key))  # else the signatures would be made for both sides of the join
     least = rows.groupBy("band", "slice").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(least, ["band", "slice"]).where(F.col(key) > F.col("a")).select("a", F.col(key).alias("b")).distinct()
 

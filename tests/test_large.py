@@ -1,5 +1,6 @@
 """Steps that were rewritten for larger tables, against brute force on small ones."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.ranks import draw, indexed
-from quern.operators import examples
+from quern.operators import dedup, examples
 
 
 def test_index_has_no_gaps_and_keeps_order(spark):
@@ -44,3 +45,25 @@ def test_sampled_skip_grams_against_brute_force(spark, small):
             want.update((w[i], w[j]) for j in range(max(0, i - r), min(len(w), i + r + 1)) if j != i)
     got = examples.sampled_skip_grams(spark.createDataFrame(rows, "doc_id long, words array<string>"), small=small)
     assert {(r["center"], r["context"]): r["n"] for r in got.collect()} == want
+
+
+def test_lsh_candidates_makes_signatures_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<bigint>")
+    def signature(i):
+        made.add(1)
+        return [i // 2] * 16
+
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), signature("id").alias("signature"))
+    assert sorted(map(tuple, dedup.lsh_candidates(rows).collect())) == [(i, i + 1) for i in range(0, 40, 2)]
+    assert made.value == 40
+
+
+def test_minhash_against_whole_numbers(spark):
+    text = " ".join(f"w{i}" for i in range(700))
+    got = dedup.minhash(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), k=16).orderBy("doc_id").collect()
+    w = text.split()
+    x = [int.from_bytes(hashlib.md5(" ".join(w[i : i + 5]).encode()).digest()[:4], "big") for i in range(len(w) - 4)]
+    assert got[0]["signature"] == [min((a * v + b) % dedup.PRIME & dedup.TOP for v in x) for a, b in dedup.hash_parameters(16)]
+    assert got[1]["signature"] == [dedup.TOP] * 16
