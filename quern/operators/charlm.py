@@ -3,39 +3,58 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import let
+from quern.operators.dedup import persisted
 
 
 def grams(docs: DataFrame, n: int = 3, key: str | None = "doc_id") -> DataFrame:
-    """``key``, ``gram``, ``context``: each character n-gram of the lower-cased texts and its first n - 1 characters."""
-    keys = [key] if key else []
-    run = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
-    chars = F.filter(F.split(F.lower("text"), ""), lambda c: c != "")
-    rows = docs.select(*keys, F.explode(let(chars, lambda c: F.when(F.size(c) >= n, run(c)))).alias("gram"))
-    return rows.select(*keys, "gram", F.substring("gram", 1, n - 1).alias("context"))
+    """``key``, ``gram``, ``context``, ``m``: the distinct character n-grams of each lower-cased text, their first n - 1 characters,
+    and how often the text has them, counted inside the row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                rows, found, times = [], [], []
+                for i, text in enumerate(batch.column(0).slice(start, 256).to_pylist(), start):
+                    counted = Counter(map("".join, zip(*[text[k:] for k in range(n)], strict=False))) if text else {}
+                    rows += [i] * len(counted)
+                    found += counted
+                    times += counted.values()
+                keys = [batch.column(1).take(pa.array(rows, pa.int64()))] if key else []
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(found, pa.string()), pa.array(times, pa.int64())], names=[*([key] if key else []), "gram", "m"])
+
+    kept = f"{key} {dict(docs.dtypes)[key]}, " if key else ""
+    rows = docs.select(F.lower("text").alias("_t"), *([key] if key else [])).mapInArrow(count, f"{kept}gram string, m long")
+    return rows.withColumn("context", F.substring("gram", 1, n - 1))
 
 
 def fit(docs: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame, int]:
-    """Counts of n-grams and of contexts, and the number of distinct characters."""
-    counts = grams(docs, n, None).groupBy("gram", "context").agg(F.count("*").alias("n_gram"))
+    """Counts of n-grams and of contexts, and the number of distinct characters; the counts are written."""
+    counts = persisted(grams(docs, n, None).groupBy("gram", "context").agg(F.sum("m").alias("n_gram")))
     contexts = counts.groupBy("context").agg(F.sum("n_gram").alias("n_context"))
     vocabulary = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).where("c <> ''").distinct().count()
     return counts.select("gram", "n_gram"), contexts, vocabulary
 
 
+def _sent(table: DataFrame, small: int = 500_000) -> DataFrame:
+    """A table of counts, broadcast while it has at most ``small`` rows."""
+    return F.broadcast(table) if table.count() <= small else table
+
+
 def perplexity(docs: DataFrame, reference: DataFrame, n: int = 3) -> DataFrame:
     """``doc_id``, ``perplexity`` under the add-one model of ``reference``; infinite for texts under n characters.
 
-    A document's grams are counted before the joins, so each distinct gram of a document crosses the shuffle once; the
-    count tables are bounded by the alphabet, and Spark broadcasts them while they are small.
+    A document's grams are counted inside its row; the count tables are bounded by the alphabet and broadcast while they
+    are small, so sums are made before the shuffle.
     """
     counts, contexts, vocabulary = fit(reference, n)
-    mine = grams(docs, n).groupBy("doc_id", "gram", "context").agg(F.count("*").alias("m"))
-    scored = mine.join(counts, "gram", "left").join(contexts, "context", "left")
+    scored = grams(docs, n).join(_sent(counts), "gram", "left").join(_sent(contexts), "context", "left")
     p = (F.coalesce("n_gram", F.lit(0)) + 1) / (F.coalesce("n_context", F.lit(0)) + vocabulary)
     per_doc = scored.groupBy("doc_id").agg(F.exp(-F.sum(F.col("m") * F.log(p)) / F.sum("m")).alias("perplexity"))
     return docs.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("perplexity", F.lit(float("inf"))).alias("perplexity"))
@@ -53,7 +72,6 @@ def importance(docs: DataFrame, target: DataFrame, source: DataFrame, n: int = 3
     t, _, v = fit(target, n)
     s = fit(source, n)[0]
     nt, ns = t.agg(F.sum("n_gram").alias("nt")), s.agg(F.sum("n_gram").alias("ns"))
-    mine = grams(docs, n).groupBy("doc_id", "gram").agg(F.count("*").alias("m"))
-    joined = mine.join(t.withColumnRenamed("n_gram", "t"), "gram", "left").join(s.withColumnRenamed("n_gram", "s"), "gram", "left").crossJoin(F.broadcast(nt.crossJoin(ns)))
+    joined = grams(docs, n).join(_sent(t.withColumnRenamed("n_gram", "t")), "gram", "left").join(_sent(s.withColumnRenamed("n_gram", "s")), "gram", "left").crossJoin(F.broadcast(nt.crossJoin(ns)))
     ratio = F.log((F.coalesce("t", F.lit(0)) + 1) / (F.col("nt") + v)) - F.log((F.coalesce("s", F.lit(0)) + 1) / (F.col("ns") + v))
     return joined.groupBy("doc_id").agg((F.sum(F.col("m") * ratio) / F.sum("m")).alias("log_importance"))

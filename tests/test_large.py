@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.ranks import draw, indexed
-from quern.operators import dedup, examples
+from quern.operators import charlm, dedup, examples
 
 
 def test_index_has_no_gaps_and_keeps_order(spark):
@@ -67,3 +67,9 @@ def test_minhash_against_whole_numbers(spark):
     x = [int.from_bytes(hashlib.md5(" ".join(w[i : i + 5]).encode()).digest()[:4], "big") for i in range(len(w) - 4)]
     assert got[0]["signature"] == [min((a * v + b) % dedup.PRIME & dedup.TOP for v in x) for a, b in dedup.hash_parameters(16)]
     assert got[1]["signature"] == [dedup.TOP] * 16
+
+
+def test_grams_are_counted_in_the_row(spark):
+    docs = spark.createDataFrame([(1, "AbabXab"), (2, "ab"), (3, None), (4, "\U0001f600é\U0001f600é\U0001f600")], "doc_id long, text string")
+    got = {(r["doc_id"], r["gram"]): (r["m"], r["context"]) for r in charlm.grams(docs).collect()}
+    assert got == {(1, "aba"): (1, "ab"), (1, "bab"): (1, "ba"), (1, "abx"): (1, "ab"), (1, "bxa"): (1, "bx"), (1, "xab"): (1, "xa"), (4, "\U0001f600é\U0001f600"): (2, "\U0001f600é"), (4, "é\U0001f600é"): (1, "é\U0001f600")}
