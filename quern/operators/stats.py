@@ -61,11 +61,19 @@ def ngram_counts(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select(F.explode(T.ngrams(T.words(F.col("text")), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+def _hashed_counts(docs: DataFrame, n: int) -> DataFrame:
+    """``n`` of each distinct n-gram, told apart by 96 bits of its words' hashes, which are shorter than its text."""
+    parts = F.transform(T.words(F.col("text")), lambda w: F.struct(F.xxhash64(w).alias("a"), F.hash(w).alias("b")))
+    each = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(F.xxhash64(*[F.get(w, i + k)["a"] for k in range(n)]).alias("a"), F.hash(*[F.get(w, i + k)["b"] for k in range(n)]).alias("b")))
+    rows = docs.select(F.inline(T.let(parts, lambda w: F.when(F.size(w) >= n, each(w)))))
+    return rows.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def ngram_repetition(docs: DataFrame, n: int = 5, top: int = 10) -> DataFrame:
     """Total and distinct n-grams of the corpus, 1 - distinct / total, and the share of the ``top`` most frequent."""
-    counts = ngram_counts(docs, n)
+    counts = _hashed_counts(docs, n)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_ngrams"), F.count("*").alias("unique_ngrams"))
-    most = counts.orderBy(F.desc("n"), "gram").limit(top).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("top"))
+    most = counts.orderBy(F.desc("n")).limit(top).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("top"))
     out = total.crossJoin(F.broadcast(most))
     return out.select("total_ngrams", "unique_ngrams", F.when(F.col("total_ngrams") == 0, 0.0).otherwise(1 - T.share(F.col("unique_ngrams"), F.col("total_ngrams"))).alias("repetition_rate"), T.share(F.col("top"), F.col("total_ngrams")).alias("top_ratio"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.ranks import draw, indexed
-from quern.operators import charlm, dedup, examples
+from quern.operators import charlm, dedup, examples, stats
 
 
 def test_index_has_no_gaps_and_keeps_order(spark):
@@ -73,3 +73,14 @@ def test_grams_are_counted_in_the_row(spark):
     docs = spark.createDataFrame([(1, "AbabXab"), (2, "ab"), (3, None), (4, "\U0001f600é\U0001f600é\U0001f600")], "doc_id long, text string")
     got = {(r["doc_id"], r["gram"]): (r["m"], r["context"]) for r in charlm.grams(docs).collect()}
     assert got == {(1, "aba"): (1, "ab"), (1, "bab"): (1, "ba"), (1, "abx"): (1, "ab"), (1, "bxa"): (1, "bx"), (1, "xab"): (1, "xa"), (4, "\U0001f600é\U0001f600"): (2, "\U0001f600é"), (4, "é\U0001f600é"): (1, "é\U0001f600")}
+
+
+def test_ngram_repetition_by_hashes(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(40))) for _ in range(30)] + [None, "", "a b c d"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = Counter(" ".join(w[i : i + 5]) for w in ((t or "").split() for t in texts) for i in range(len(w) - 4))
+    assert sorted(r["n"] for r in stats._hashed_counts(docs, 5).collect()) == sorted(counts.values())
+    row = stats.ngram_repetition(docs).first()
+    assert (row["total_ngrams"], row["unique_ngrams"]) == (counts.total(), len(counts))
+    assert row["top_ratio"] == pytest.approx(sum(n for _, n in counts.most_common(10)) / counts.total())
