@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -47,18 +46,19 @@ def title(html: Column) -> Column:
 
 def numeric_entities(text: Column) -> Column:
     """Decimal and hexadecimal references below 0x10000 decoded, others (and surrogates) removed."""
-    pattern = re.compile(r"&#(?:(\d+)|x([0-9a-fA-F]+));")
 
-    def one(m: re.Match) -> str:
-        code = int(m[1]) if m[1] else int(m[2], 16)
-        return chr(code) if code < 0x10000 and not 0xD800 <= code < 0xE000 else ""
+    def one(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "^x?0*([0-9a-fA-F]*)", 1)
+        code = F.when(F.length(digits) <= 5, F.when(F.startswith(ref, F.lit("x")), F.conv(digits, 16, 10)).otherwise(digits)).cast("int")
+        code = F.when(digits == "", 0).otherwise(code)
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        return F.when((code < 0x10000) & ~code.between(0xD800, 0xDFFF), sign).otherwise("")
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: pattern.sub(one, t) if isinstance(t, str) and "&#" in t else t)
+    def part(x: Column) -> Column:
+        ref = F.regexp_extract(x, "^([0-9]+|x[0-9a-fA-F]+);", 1)
+        return F.when(ref == "", F.concat(F.lit("&#"), x)).otherwise(F.concat(one(ref), F.substr(x, F.length(ref) + 2)))
 
-    return decode(text)
+    return T.let(F.split(text, "&#"), lambda parts: F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(part(x))), ""))
 
 
 def strip_markup(html: Column) -> Column:
@@ -82,26 +82,26 @@ def tidy(text: Column, min_paragraph: int = 20) -> Column:
 def extract(pages: DataFrame, html: str = "html", min_paragraph: int = 20) -> DataFrame:
     """``pages`` with ``title``, ``text``, ``num_paragraphs``, ``original_length``, ``extracted_length``, ``extraction_ratio``.
 
-    Numeric entities are decoded in one Arrow pass; a null page has null results.
+    A null page has null results.
     """
     marked = strip_markup(F.col(html))
-    plain = pages.withColumn("_marked", marked)
-    decoded = plain.withColumn("_marked", numeric_entities(F.col("_marked")))
-    out = decoded.withColumn("_p", tidy(F.col("_marked"), min_paragraph))
+    plain = T.once(pages, {"_marked": marked})
+    decoded = T.once(plain, {"_marked": numeric_entities(F.col("_marked"))})
+    out = T.once(decoded, {"_p": tidy(F.col("_marked"), min_paragraph)})
     out = out.withColumns({"title": title(F.col(html)), "text": F.array_join("_p", "\n\n"), "num_paragraphs": F.size("_p").cast("long"), "original_length": F.char_length(html).cast("long")})
     out = out.withColumn("extracted_length", F.char_length("text").cast("long"))
     return out.withColumn("extraction_ratio", T.share(F.col("extracted_length"), F.col("original_length"))).drop("_p", "_marked")
 
 
 def compose(text: Column) -> Column:
-    """NFKC; Spark has no function for it. ASCII texts pass untouched."""
+    """NFKC; Spark has no function for it. ASCII texts pass untouched and are not sent to Python."""
 
     @F.pandas_udf("string")
     def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: t if not isinstance(t, str) or t.isascii() else unicodedata.normalize("NFKC", t))
+            yield texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
 
-    return nfkc(text)
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def normalize(text: Column) -> Column:

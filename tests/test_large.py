@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.ranks import draw, indexed
-from quern.operators import charlm, dedup, examples, stats
+from quern.operators import charlm, dedup, examples, html, stats
 
 
 def test_index_has_no_gaps_and_keeps_order(spark):
@@ -84,3 +84,10 @@ def test_ngram_repetition_by_hashes(spark):
     row = stats.ngram_repetition(docs).first()
     assert (row["total_ngrams"], row["unique_ngrams"]) == (counts.total(), len(counts))
     assert row["top_ratio"] == pytest.approx(sum(n for _, n in counts.most_common(10)) / counts.total())
+
+
+def test_references_are_decoded_without_python(spark):
+    texts = ["a&#65;b&#x1f;&#x110000;&#;&#x;&#0065", "&#&#233;;&#xD800;&#xffff;", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", html.numeric_entities(F.col("t")).alias("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["t"] for r in df.orderBy("i").collect()] == ["aAb\x1f&#;&#x;&#0065", "&#é;￿", None, ""]
