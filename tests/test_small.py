@@ -56,3 +56,23 @@ def test_weighted_report(spark):
     assert rows[1]["harmlessness"] == 0 and rows[1]["score"] == 0.5 and not rows[1]["kept"]
     assert rows[2]["score"] == 0.75 and rows[2]["kept"] and rows[2]["uniqueness"] == 1 and rows[2]["density"] == 0
     assert rows[3]["uniqueness"] == 0 and rows[3]["score"] == 0.5
+
+
+def test_stream_blocks_makes_ids_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def points(text):
+        made.add(1)
+        return [ord(c) for c in text]
+
+    docs = spark.createDataFrame([(i, "añ😀\x00b" * (i % 5)) for i in range(40)], "doc_id long, text string").repartition(3)
+    rows = docs.select("doc_id", points("text").alias("ids"), F.char_length("text").alias("n"))
+    got = {r["block"]: list(r["ids"]) for r in examples.stream_blocks(rows, 9, size="n").collect()}
+    stream = [x for i in range(40) for x in [*map(ord, "añ😀\x00b" * (i % 5)), 0]]
+    assert got == {b: stream[9 * b : 9 * b + 9] for b in range(-(-len(stream) // 9))}
+    assert made.value == 40
+    from quern.plans.registry import QUERIES
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [x for r in QUERIES["packing"](spark, str(tmp_path)).orderBy("block").collect() for x in r["ids"]] == stream
