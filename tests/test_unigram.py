@@ -80,3 +80,19 @@ def test_long_word_and_empty(spark, model):
     found = {r["token"]: r["value"] for r in unigram.expected_counts(frame(spark, {"ban" * 2000: 1}), model).collect()}
     assert math.isfinite(found[""]) and abs(sum(v * len(t) for t, v in found.items()) - 6000) < 1e-3
     assert unigram.train(frame(spark, {}), 5) == ({}, [0.0, 0.0])
+
+
+def test_words_travel_together(spark, model):
+    """Many words of one length share array steps: 40,000 words took about 4 s and more a pass, one by one."""
+    import itertools
+    import time
+
+    words = {"".join(w): 1 for w in itertools.islice(itertools.product("bandé", repeat=7), 40_000)}
+    few = dict(list(words.items())[::4000])
+    worst = min(model.values()) - 10
+    want, likelihood = brute(few, model, worst)
+    found = {r["token"]: r["value"] for r in unigram.expected_counts(frame(spark, few), model).collect()}
+    assert abs(found.pop("") - likelihood) < 1e-9 and all(abs(found[t] - want[t]) < 1e-9 for t in want)
+    began = time.process_time()
+    run = unigram.Lattices(unigram.Vocabulary(model), unigram.np.array([[ord(c) for c in w] for w in words]))
+    assert run.total.shape == (40_000,) and time.process_time() - began < 2
