@@ -112,12 +112,12 @@ TOP10 = "select query_id, doc_id, round({s}, 4)::double as score, rank::int as r
 
 @query(f"with {BM25_CTE} " + TOP10.format(s="score", c="score"))
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.search(retrieval.bm25_terms(read(spark, sf, "documents"), read(spark, sf, "benchmark"))).withColumn("score", F.round("score", 4))
+    return retrieval.keyword_top_k(read(spark, sf, "documents"), read(spark, sf, "benchmark")).withColumn("score", F.round("score", 4))
 
 
 @query(f"with {BM25_CTE} " + TOP10.format(s="score", c="tfidf"))
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.search(retrieval.tfidf_terms(read(spark, sf, "documents"), read(spark, sf, "benchmark"))).withColumn("score", F.round("score", 4))
+    return retrieval.keyword_top_k(read(spark, sf, "documents"), read(spark, sf, "benchmark"), kind="tfidf").withColumn("score", F.round("score", 4))
 
 
 @query(f"with {BM25_CTE} select query_id, doc_id, term, round(score, 5)::double as score from s")
@@ -145,7 +145,7 @@ u as (select * from a where rank <= 20 union all select * from b where rank <= 2
 select query_id, doc_id, round(sum(1 / (60 + rank)), 8)::double as score from u group by all""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
-    lists = [retrieval.search(f(docs, items), 20) for f in (retrieval.bm25_terms, retrieval.tfidf_terms)]
+    lists = [retrieval.keyword_top_k(docs, items, 20, kind) for kind in ("bm25", "tfidf")]
     return rounded(retrieval.rrf(lists), 8)
 
 
@@ -198,9 +198,8 @@ round(coalesce(pr / least(n_rel, 10), 0), 6)::double as map from n left join a u
 def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Relevant to an item are the documents that contain it word for word."""
     docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
-    relevant = docs.select("doc_id", "text").join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("t"))), F.col("text").contains(F.col("t"))).select("query_id", "doc_id")
-    ranked = retrieval.search(retrieval.bm25_terms(docs, items))
-    return rounded(retrieval.ranking_metrics(ranked, relevant))
+    ranked = retrieval.keyword_top_k(docs, items)
+    return rounded(retrieval.ranking_metrics(ranked, retrieval.containing(docs, items)))
 
 
 NAMES = ["the", "thing", "tion", "ouer", "licensed"]

@@ -94,3 +94,22 @@ def test_words_coded_in_their_documents(spark):
     assert texts[1] == "low lower lowest" and texts[3] == texts[4] == "" and texts[6].startswith("<unk>") and len(texts) == 6
     strange = spark.createDataFrame([(1, [10**6, None, 2]), (1, []), (2, None)], "doc_id long, ids array<int>")
     assert sorted(r["text"] for r in tokenize.decoded(strange, ids).collect()) == ["", "", "<unk><unk>"]
+
+
+def test_searches_inside_tasks_equal_the_plain_ones(spark):
+    """Keyword and character searches and containment in batches against their row by row forms, with ties and odd rows."""
+    texts = ["the red fox", "the the fox ran", "", None, "Red  FOX\tran far", "ññ 😀 fox", "a b c d", "the red fox", "xthe red fox ran", "ab"] * 60
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    items = spark.createDataFrame([(1, "the red fox"), (2, "fox fox far"), (3, ""), (4, "zzz"), (5, "a b"), (6, "red fox"), (7, "the red  fox ran")], "item_id long, text string")
+    flat = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    for kind, terms in (("bm25", retrieval.bm25_terms), ("tfidf", retrieval.tfidf_terms)):
+        for k in (3, 20, 700):
+            found, plain = retrieval.keyword_top_k(docs, items, k, kind), retrieval.search(terms(docs, items), k)
+            assert flat(found, "query_id", "rank", "doc_id", "score") == flat(plain, "query_id", "rank", "doc_id", "score")
+    for k in (4, 700):
+        plain = retrieval.top_k(retrieval.char_overlap(docs, items), k)
+        assert flat(retrieval.char_top_k(docs, items, k), "query_id", "rank", "doc_id", "score") == flat(plain, "query_id", "rank", "doc_id", "score")
+    assert flat(retrieval.keyword_top_k(docs, items, 3, most=2), "query_id", "rank", "doc_id") == flat(retrieval.keyword_top_k(docs, items, 3), "query_id", "rank", "doc_id")
+    want = sorted((r["item_id"], i) for r in items.collect() for i, t in enumerate(texts) if t is not None and r["text"] in t)
+    assert flat(retrieval.containing(docs, items), "query_id", "doc_id") == want
+    assert retrieval.keyword_top_k(docs.limit(0), items).count() == 0 and retrieval.keyword_top_k(docs, items.limit(0)).count() == 0
