@@ -159,22 +159,58 @@ def lsh_candidates(signatures: DataFrame, b: int = 16, key: str = "doc_id") -> D
     return rows.join(least, ["band", "slice"]).where(F.col(key) > F.col("a")).select("a", F.col(key).alias("b")).distinct()
 
 
+def _rarest(sets: DataFrame, threshold: float, key: str, slots: int = 1 << 20) -> DataFrame:
+    """``key``, ``size``, ``gram``: of each set of ``grams`` the |x| - ceil(t*|x|) + 1 rarest.
+
+    Rarity is the number of grams of all sets in the same of ``slots`` classes of hashes, which no gram's own number exceeds;
+    the table of classes is broadcast. Any order that all sets share would do for the prefix filter.
+    """
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return pc.list_flatten(batch.column(2)).to_numpy(), pc.list_value_length(batch.column(2)).to_numpy()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            total += np.bincount(flat(batch)[0] & (slots - 1), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    rows = sets.select(key, "size", "grams")
+    found = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(slots, np.int64)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(table)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                grams, size = flat(batch)
+                of = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((grams, sent.value[grams & (slots - 1)], of))
+                place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+                # a little less than t*|x|, as it is rounded up
+                kept = place < (size - np.ceil(threshold * size - 1e-9) + 1)[of]
+                at = pa.array(of[kept])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(grams[order][kept])], names=[key, "size", "gram"])
+
+    return rows.mapInArrow(take, f"{key} {dict(sets.dtypes)[key]}, size int, gram long")
+
+
 def _prefixes(docs: DataFrame, threshold: float, n: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """``ranked``: a row for each distinct text with its shared shingles, rarest first; ``prefix``: those to be joined on.
+    """``ranked``: the hashed shingles of each distinct text that shares a prefix shingle; ``prefix``: those shingles.
 
-    Exact copies are represented by their smallest id. Shingles are hashed at once and only those that two texts or more
-    share travel further. Sets of similarity t share one of the |x| - ceil(t*|x|) + 1 rarest shingles of each (prefix
-    filter), so only those are joined, and rare shingles are in few documents.
+    Exact copies are represented by their smallest id. Sets of similarity t share one of the |x| - ceil(t*|x|) + 1 rarest
+    shingles of each (prefix filter), so only those are counted and joined, and rare shingles are in few documents. The sets
+    themselves are written once, and travel only for texts that have a candidate.
     """
     one = keep_first(docs.where("text is not null").select(key, "text"), sha256_key(F.lower("text")), key)
-    sets = T.once(one, {"grams": T.hashed_shingles(F.col("text"), n)}).select(key, F.size("grams").alias("size"), "grams")
-    each = persisted(sets.select(key, "size", F.explode("grams").alias("gram")))
-    shared = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(shared, "gram").groupBy(key, "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    # the shingles that no other text has come first in the order and fill that much of the prefix
-    first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1 - (F.col("size") - F.size("g"))
-    ranked = persisted(ranked.select(key, "size", F.col("g.gram").alias("grams"), first.cast("int").alias("first")).where("first > 0"))
-    return ranked, ranked.select(key, "size", F.explode(F.slice("grams", 1, F.least("first", F.size("grams")))).alias("gram"))
+    sets = persisted(T.once(one, {"grams": T.hashed_shingles(F.col("text"), n)}).select(key, F.size("grams").alias("size"), "grams"))
+    each = _rarest(sets, threshold, key)
+    shared = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
+    prefix = persisted(each.join(shared, "gram").select(key, "size", "gram"))
+    return persisted(sets.join(prefix.select(key).distinct(), key, "left_semi")), prefix
 
 
 def _alike(pairs: DataFrame, ranked: DataFrame, threshold: float, key: str) -> DataFrame:
@@ -203,7 +239,6 @@ def similar_links(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str
     part. At last the holders of a shingle that are in different components are all compared, so no component is missed.
     """
     ranked, prefix = _prefixes(docs, threshold, n, key)
-    prefix = persisted(prefix)
 
     def holders(label: DataFrame) -> DataFrame:
         held = prefix.join(label, prefix[key] == label["v"], "left").select("gram", key, "size", F.coalesce("label", key).alias("label"))

@@ -113,3 +113,24 @@ def test_searches_inside_tasks_equal_the_plain_ones(spark):
     want = sorted((r["item_id"], i) for r in items.collect() for i, t in enumerate(texts) if t is not None and r["text"] in t)
     assert flat(retrieval.containing(docs, items), "query_id", "doc_id") == want
     assert retrieval.keyword_top_k(docs.limit(0), items).count() == 0 and retrieval.keyword_top_k(docs, items.limit(0)).count() == 0
+
+
+def test_prefixes_send_only_rare_shingles(spark):
+    """A fifth of each set is joined, the frequent ones last, and no similar pair is lost."""
+    rng = random.Random(8)
+    base = [[rng.randrange(10**6) for _ in range(rng.choice((3, 10, 40)))] for _ in range(60)]
+    texts = [b + [7, 7, 7, 7, 7, 7, 8, 8] for b in base] + [[rng.randrange(10**6), *b[1:]] + [7, 7, 7, 7, 7, 7, 8, 8] for b in base * 3]
+    docs = spark.createDataFrame([(i, " ".join(map(str, t))) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    sets = docs.select("doc_id", dedup.T.hashed_shingles(F.col("text"), 5).alias("grams")).select("doc_id", F.size("grams").alias("size"), "grams")
+    found = dedup._rarest(sets, 0.8, "doc_id").groupBy("doc_id", "size").agg(F.collect_set("gram").alias("g")).collect()
+    assert len(found) == len(texts) and all(len(r["g"]) == r["size"] - -(-4 * r["size"] // 5) + 1 for r in found)
+    own = {r["doc_id"]: set(r["grams"]) for r in sets.collect()}
+    common = {g for g in set().union(*own.values()) if sum(g in s for s in own.values()) > 100}
+    assert common and all(not common & set(r["g"]) for r in found if r["size"] > 30)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(tuple(t), i)
+    ids = sorted(first.values())
+    want = {(a, b) for a in ids for b in ids if a < b and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    got = [(r["a"], r["b"]) for r in dedup.similar_pairs(docs).collect()]
+    assert len(want) > 20 and sorted(got) == sorted(want)
