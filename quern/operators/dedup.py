@@ -95,39 +95,43 @@ def hash_parameters(k: int = 128, seed: int = 42) -> list[tuple[int, int]]:
 def minhash(docs: DataFrame, k: int = 128, n: int = 5, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """``key`` and ``signature``: k minima of (a*x + b) mod 2^61-1, low 32 bits, over the hashed ``n``-word shingles.
 
-    The products need 93 bits; they are split into halves that numpy's 64-bit integers hold.
+    Spark hashes the shingles; a row sends Python one string of eight hex digits a shingle. A minimum is over the low halves
+    of a*x + b and of its quotient by the prime together. The quotient comes from floating point, with an error of under
+    2^-20; the few that near to a whole number are made from whole numbers.
     """
-    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*hash_parameters(k, seed), strict=True))
-    a_high, a_low = a >> np.uint64(32), a & np.uint64(TOP)
-    p, whole, half = np.uint64(PRIME), np.uint64(61), np.uint64(29)
-
-    def fold(x: np.ndarray) -> np.ndarray:
-        return (x & p) + (x >> whole)
-
-    def signature(shingles: list[str]) -> list[int]:
-        low = np.full(k, TOP, np.uint64)
-        every = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:4], "big") for s in shingles if s is not None], np.uint64)
-        for i in range(0, len(every), 128):
-            x = every[i : i + 128]
-            high = a_high * x  # (2^29)(2^32) fits
-            # three terms of under 2^61 + 2^32: their sum fits and needs one more fold
-            value = fold((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
-            value += high >> half
-            value += fold(a_low * x)
-            value += b
-            value = fold(value)
-            value -= p * (value >= p)
-            value &= np.uint64(TOP)
-            np.minimum(low, value.min(axis=1), out=low)
-        return low.astype(np.int64).tolist()
+    a, b = zip(*hash_parameters(k, seed), strict=True)
+    slope, start = np.array([x / PRIME for x in a]), np.array([x / PRIME - 0.5 for x in b])
+    a_low, b_low = (np.array([x & TOP for x in c], np.uint32) for c in (a, b))
+    rounding, sure, span = 1.5 * 2.0**52, 0.5 - 2.0**-19, max(1, (1 << 14) // k)
+
+    def signature(hexed: str | None) -> list[int]:
+        low = np.full(k, TOP, np.uint32)
+        every = np.unique(np.frombuffer(bytes.fromhex(hexed or ""), ">u4")).astype(np.uint32)
+        for i in range(0, len(every), span):
+            x = every[i : i + span, None]
+            rest = x * slope
+            rest += start
+            quotient = rest + rounding  # its low 32 bits are now those of the nearest whole number
+            value = x * a_low
+            value += b_low
+            value += quotient.view("<u4")[:, ::2]
+            quotient -= rounding
+            rest -= quotient
+            if max(rest.max(), -rest.min()) > sure:
+                for r, c in np.argwhere(np.abs(rest) > sure):
+                    value[r, c] = (a[c] * int(x[r, 0]) + b[c]) % PRIME & TOP
+            np.minimum(low, value.min(axis=0), out=low)
+        return low.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [signature(s.as_py() or []) for s in batch.column(1)]
+            out = [signature(s.as_py()) for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[key, "signature"])
 
-    sets = docs.select(key, T.shingles(F.col("text"), n).alias("shingles"))
-    return sets.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, signature array<bigint>")
+    mark = lambda s: F.substring(F.md5(s), 1, 8)
+    each = lambda w: F.array_join(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: mark(F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]))), "")
+    hexed = T.let(T.words(F.col("text")), lambda w: F.when(F.size(w) >= n, each(w)).otherwise(mark(T.strip(F.lower("text")))))
+    return docs.select(key, hexed.alias("hexed")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, signature array<bigint>")
 
 
 def signature_likeness(a: Column, b: Column) -> Column:

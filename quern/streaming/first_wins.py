@@ -18,29 +18,38 @@ from quern.operators.dedup import persisted, release
 BAND = ["band", "slice"]
 
 
-def settle_first(bands: DataFrame) -> DataFrame:
-    """The ``id`` of those that stay among rows ``id``, ``band``, ``slice``: in ascending order, each that shares no band with an
+def losers(bands: DataFrame) -> DataFrame:
+    """The ``id`` of those that go among rows ``id``, ``band``, ``slice``: in ascending order, each that shares a band with an
     earlier one that stays.
 
-    A round asks for the least open text of every band: a text that is the least of all its bands stays, and every other
-    text in one of its bands goes. The least open text of all always stays, so rounds follow chains, not the corpus; a
-    band's holders are only ever counted and compared with their least, never paired.
+    Only bands with two texts or more enter the rounds. A round asks for the least open text of every band: a text that is
+    the least of all its bands stays, and every other text in one of its bands goes. The least open text of all always
+    stays, so rounds follow chains, not the corpus; a band's holders are only ever counted and compared with their least,
+    never paired.
     """
-    open_, kept = persisted(bands.select("id", *BAND).distinct()), None
+    held = bands.groupBy(*BAND).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(*BAND)
+    open_, gone = persisted(bands.join(held, BAND, "left_semi").select("id", *BAND).distinct()), None
     while True:
         least = persisted(open_.groupBy(*BAND).agg(F.min("id").alias("first")))
         firsts = least.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("n_first"))
         sizes = open_.groupBy("id").agg(F.count("*").alias("n"))
-        stay = persisted(sizes.join(firsts, "id").where("n = n_first").select("id"))
-        kept = stay if kept is None else kept.unionAll(stay)
-        if not stay.limit(1).count():
-            release(open_)
-            return kept
+        stay = sizes.join(firsts, "id").where("n = n_first").select("id")
         # bands whose least text stays are closed: all their holders are decided
-        closed = least.join(stay, least["first"] == stay["id"]).select(*BAND)
-        gone = open_.join(closed, BAND, "left_semi").select("id").distinct()
-        before, open_ = open_, persisted(open_.join(gone, "id", "left_anti"))
-        release(before)
+        closed = persisted(least.join(stay, least["first"] == stay["id"]).select("first", *BAND))
+        out = persisted(open_.join(closed, BAND).where("id > first").select("id").distinct())
+        gone = out if gone is None else gone.unionAll(out)
+        decided = out.unionAll(closed.select(F.col("first").alias("id")))
+        before, open_ = open_, persisted(open_.join(decided, "id", "left_anti"))
+        for table in (before, least, closed):
+            release(table)
+        if open_.isEmpty():
+            release(open_)
+            return gone
+
+
+def settle_first(bands: DataFrame) -> DataFrame:
+    """The ``id`` of those that stay among rows ``id``, ``band``, ``slice``: all but the ``losers``."""
+    return bands.select("id").distinct().join(losers(bands), "id", "left_anti")
 
 
 def first_wins(docs: DataFrame, order: str = "doc_id", b: int = 42, k: int = 128, n: int = 5, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -49,16 +58,15 @@ def first_wins(docs: DataFrame, order: str = "doc_id", b: int = 42, k: int = 128
     ``b`` bands of a signature of ``k``: with 42 bands of three, two texts of similarity 0.7 share one almost surely. Rows
     whose text or ``order`` is null are never compared and stay; ``order`` should be distinct.
     """
-    width = k // b
-    marks = dedup.minhash(docs.select(F.col(order).alias("_key"), "text").where("_key is not null and text is not null"), k, n, key="_key").select("_key", F.slice("signature", 1, b * width).alias("signature"))
+    used = b * (k // b)
+    marks = dedup.minhash(docs.select(F.col(order).alias("_key"), "text").where("_key is not null and text is not null"), used, n, key="_key")
     bands = persisted(dedup.bands(marks, b, "_key").select(F.col("_key").alias("id"), "band", F.xxhash64("slice").alias("slice")))
-    fresh = bands
-    if stored is not None:
-        hit = bands.join(stored, BAND, "left_semi").select("id").distinct()
-        fresh = bands.join(hit, "id", "left_anti")
-    stay = persisted(settle_first(fresh))
-    gone = bands.select("id").distinct().join(stay, "id", "left_anti")
-    return docs.join(gone, docs[order] == gone["id"], "left_anti"), bands.join(stay, "id", "left_semi").select(*BAND).distinct()
+    if stored is None:
+        gone = losers(bands)
+    else:
+        hit = persisted(bands.join(stored, BAND, "left_semi").select("id").distinct())
+        gone = hit.unionAll(losers(bands.join(hit, "id", "left_anti")))
+    return docs.join(gone, docs[order] == gone["id"], "left_anti"), bands.join(gone, "id", "left_anti").select(*BAND).distinct()
 
 
 def state_of(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:

@@ -91,3 +91,28 @@ def test_references_are_decoded_without_python(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", html.numeric_entities(F.col("t")).alias("t"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r["t"] for r in df.orderBy("i").collect()] == ["aAb\x1f&#;&#x;&#0065", "&#é;￿", None, ""]
+
+
+def test_minhash_reckons_near_whole_quotients(spark, monkeypatch):
+    sent = []
+    plain = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, *a, **b: sent.append(self.dtypes) or plain(self, *a, **b))
+    words = [f"w{i}" for i in range(20_000)]
+    rows = spark.createDataFrame([*enumerate(words)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["signature"] for r in dedup.minhash(rows, k=64).collect()}
+    parameters = dedup.hash_parameters(64)
+    x = [int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in words]
+    assert any((a * v + b) % dedup.PRIME >= dedup.PRIME - (1 << 41) for v in x for a, b in parameters)  # floating point can't tell these
+    assert all(got[i] == [(a * v + b) % dedup.PRIME & dedup.TOP for a, b in parameters] for i, v in enumerate(x))
+    assert sent == [[("doc_id", "bigint"), ("hexed", "string")]]
+
+
+def test_first_wins_rounds_see_shared_bands_only(spark, monkeypatch):
+    from quern.streaming import first_wins as fw
+
+    sizes = []
+    monkeypatch.setattr(fw, "persisted", lambda df: (out := dedup.persisted(df), sizes.append(out.count()))[0])
+    rows = [(i, b, 1000 * b + i) for i in range(300) for b in range(5)] + [(400, 0, 7), (400, 1, 1), (401, 1, 1)]
+    stay = fw.settle_first(spark.createDataFrame(rows, "id long, band int, slice long"))
+    assert {r["id"] for r in stay.collect()} == {*range(300), 401}
+    assert max(sizes) <= 4
