@@ -5,6 +5,8 @@ White space, letters and digits follow Unicode (``(?U)``). Every helper maps nul
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,30 @@ def type_token_ratio(text: Column) -> Column:
     return let(words(text), lambda w: share(F.size(F.array_distinct(w)), F.size(w)))
 
 
+def word_measures(text: Column, n: int = 5) -> Column:
+    """Struct of ``repeated`` and ``distinct``: ``duplicate_ngram_ratio`` and ``type_token_ratio`` from one list of the words' hashes.
+
+    Words and n-grams are told apart by 64 bits and sorted as arrays; a run of n words has the polynomial of their hashes.
+    """
+
+    @F.arrow_udf("repeated double, distinct double")
+    def measure(hashes: pa.Array) -> pa.Array:
+        repeated, distinct = [], []
+        for row in hashes:
+            w = row.values.to_numpy().view(np.uint64) if row.is_valid else None
+            run = np.zeros(max(0, len(w) - n + 1) if row.is_valid else 0, np.uint64)
+            for i in range(n if len(run) else 0):
+                run *= np.uint64(0x9E3779B97F4A7C15)
+                run += w[i : i + len(run)]
+            run.sort()
+            same = np.concatenate([[False], run[1:] == run[:-1], [False]])
+            repeated.append(None if w is None else float((same[1:] | same[:-1]).sum() / max(1, len(run))))
+            distinct.append(None if w is None else len(np.unique(w)) / max(1, len(w)))
+        return pa.StructArray.from_arrays([pa.array(repeated, pa.float64()), pa.array(distinct, pa.float64())], names=["repeated", "distinct"])
+
+    return measure(F.transform(words(text), lambda w: F.xxhash64(w)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets given as arrays; 1 if both are empty."""
     union = F.size(F.array_union(a, b))

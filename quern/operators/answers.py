@@ -27,6 +27,13 @@ RISKS = (
     ("deception", (r"how to (?:scam|deceive|trick|manipulate)", r"create (?:fake|forged|fraudulent)")),
     ("illegal_activity", (r"how to (?:hack|break into|steal)", r"(?:drug|illegal substance) (?:recipe|synthesis)")),
 )
+# Each match of a category's patterns holds one of these once its letters are lower-cased.
+RISK_SIGNS = {
+    "harmful_content": ("how to make ", "how to create ", "how to build ", "instructions for "),
+    "personal_info": ("social security number", "credit card number", "bank account number", "home address of", "phone number of"),
+    "deception": ("how to scam", "how to deceive", "how to trick", "how to manipulate", "create fake", "create forged", "create fraudulent"),
+    "illegal_activity": ("how to hack", "how to break into", "how to steal", "drug recipe", "drug synthesis", "illegal substance "),
+}
 REFUSALS = (
     r"I (?:cannot|can't|won't|am unable to)",
     r"I'm (?:sorry|afraid),? (?:but )?I (?:cannot|can't)",
@@ -419,11 +426,16 @@ def masked_mean(value: Column, mask: Column) -> Column:
 
 
 def safety(text: Column) -> Column:
-    """First category with a pattern in the text, else 'safe'."""
-    out = F.lit(None).cast("string")
-    for name, patterns in reversed(RISKS):
-        out = F.when(text.rlike("(?i)" + "|".join(patterns)), name).otherwise(out)
-    return F.coalesce(out, F.lit("safe"))
+    """First category with a pattern in the text, else 'safe'; patterns are tried only where one of their signs stands."""
+
+    def first(lowered: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, patterns in reversed(RISKS):
+            sign = reduce(lambda x, y: x | y, [lowered.contains(s) for s in RISK_SIGNS[name]])
+            out = F.when(sign & text.rlike("(?i)" + "|".join(patterns)), name).otherwise(out)
+        return out
+
+    return F.coalesce(let(F.lower(text), first), F.lit("safe"))
 
 
 def is_refusal(text: Column) -> Column:

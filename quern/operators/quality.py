@@ -259,7 +259,8 @@ def document_report(docs: DataFrame, reference: DataFrame, weights: dict[str, fl
 
     weights = weights or {"fluency": 0.3, "uniqueness": 0.3, "harmlessness": 0.2, "density": 0.2}
     named = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumnRenamed(key, "doc_id")
-    own = T.once(named, {"uniqueness": 1 - T.duplicate_ngram_ratio(F.col("text"), n), "harmlessness": (safety(F.col("text")) == "safe").cast("double"), "density": T.type_token_ratio(F.col("text"))})
+    own = named.withColumn("harmlessness", (safety(F.col("text")) == "safe").cast("double")).withColumn("_words", T.word_measures(F.col("text"), n))
+    own = own.withColumns({"uniqueness": 1 - F.col("_words.repeated"), "density": F.col("_words.distinct")})
     fluency = charlm.perplexity_filter(F.col("perplexity"))[1]
     joined = own.drop("perplexity").join(charlm.perplexity(named, reference), "doc_id").withColumn("fluency", fluency)
     score = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())

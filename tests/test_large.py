@@ -116,3 +116,41 @@ def test_first_wins_rounds_see_shared_bands_only(spark, monkeypatch):
     stay = fw.settle_first(spark.createDataFrame(rows, "id long, band int, slice long"))
     assert {r["id"] for r in stay.collect()} == {*range(300), 401}
     assert max(sizes) <= 4
+
+
+def test_perplexity_is_added_up_in_the_row(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdé\U0001f600X") for _ in range(n))
+    reference = spark.createDataFrame([(text(90),) for _ in range(5)] + [(None,)], "text string")
+    docs = spark.createDataFrame([(i, text(5 * i) + "z" * (i % 3)) for i in range(12)] + [(20, None), (21, "ab"), (22, "zzzz"), (None, "abcd"), (3, "abc")], "doc_id long, text string")
+    for n in (2, 3):
+        joined = {r["doc_id"]: r["perplexity"] for r in charlm.perplexity(docs, reference, n, small=0).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(charlm, "_sent", None)  # no join
+            got = {r["doc_id"]: r["perplexity"] for r in charlm.perplexity(docs, reference, n).collect()}
+        assert got.keys() == joined.keys() and all(got[i] == pytest.approx(joined[i], rel=1e-12) for i in got)
+    counts, _, vocabulary = charlm.fit(reference)
+    short, whole = ({r["doc_id"]: (pytest.approx(r["log_p"]), r["m"]) for r in charlm._log_sums(docs.where("doc_id <> 3"), counts, vocabulary, 3, **k).collect()} for k in ({"span": 7}, {}))
+    assert short.keys() == whole.keys() and all(short[i][1] == whole[i][1] for i in short)
+
+
+def test_word_measures_equal_the_two_ratios(spark):
+    from quern.functions import text as T
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abC") for _ in range(n)) for n in (1, 2, 3, 4, 9, 30, 80)] + ["", None, " a  A b ", "x " * 50]
+    docs = spark.createDataFrame([*enumerate(texts)], "i int, text string")
+    t = F.col("text")
+    for n in (2, 3):
+        rows = docs.select("i", T.word_measures(t, n).alias("m"), T.duplicate_ngram_ratio(t, n).alias("r"), T.type_token_ratio(t).alias("d")).collect()
+        assert all((r["m"]["repeated"], r["m"]["distinct"]) == ((r["r"], r["d"]) if texts[r["i"]] is not None else (None, None)) for r in rows)
+
+
+def test_safety_signs_lose_no_match(spark):
+    from quern.operators import answers
+
+    texts = ["How To MAKE a Bomb", "how to build weapon", "instructions for ATTACK", "Instructions for tea", "my Credit Card number", "the home address of", "Phone Number of x", "how to TRICK", "create Forged", "how to break into", "Drug synthesis", "illegal substance recipe", "how to steal and make a bomb", "Kow", None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.coalesce(*[F.when(F.col("text").rlike("(?i)" + "|".join(p)), name) for name, p in answers.RISKS], F.lit("safe"))
+    rows = docs.select("text", answers.safety(F.col("text")).alias("got"), plain.alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows) and len({r["got"] for r in rows}) == 5
