@@ -11,6 +11,7 @@ import math
 import random
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,16 +65,28 @@ def line_key(text: Column) -> Column:
     return F.md5(F.array_join(F.transform(T.lines(T.strip(text)), T.strip), "\n"))
 
 
-def keep_first(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, key: Column, order: str = "doc_id", small: int = 1_000_000) -> DataFrame:
     """One row for each distinct key, that of the smallest ``order``; rows with a null key all stay.
 
-    The minimum is pre-aggregated before the shuffle, and the join back meets each key once on one side, so a text
-    with very many copies is an ordinary skewed key.
+    Only orders and keys are shuffled to find the rows that go, which are written: a text never is, unless more than
+    ``small`` rows go, which are not broadcast then.
     """
-    keyed = docs.withColumn("_key", key)
-    first = keyed.where("_key is not null").groupBy("_key").agg(F.min(order).alias("_first"))
-    kept = keyed.join(first, "_key").where(F.col(order).eqNullSafe(F.col("_first"))).drop("_first")
-    return kept.unionByName(keyed.where("_key is null").select(kept.columns)).drop("_key")
+    keyed = docs.where(key.isNotNull()).select(F.col(order).alias("_order"), key.alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("_order").alias("_first"))
+    gone = persisted(keyed.join(first, "_key").where(~F.col("_order").eqNullSafe(F.col("_first"))).select("_order", F.xxhash64("_key").alias("_mark")).distinct())
+    marked = docs.withColumn("_mark_of", F.xxhash64(key))
+    same = F.col(order).eqNullSafe(F.col("_order")) & (F.col("_mark_of") == F.col("_mark"))
+    return marked.join(_sent(gone, small), same, "left_anti").drop("_mark_of")
+
+
+def _sent(rows: DataFrame, small: int) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``small`` rows."""
+    return F.broadcast(rows) if rows.count() <= small else rows
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", small: int = 1_000_000) -> DataFrame:
+    """``docs`` whose ``key`` is not in ``gone``, a table of written rows, without a shuffle of ``docs`` unless there are many."""
+    return docs.join(_sent(gone, small), key, "left_anti")
 
 
 def unique_paragraphs(docs: DataFrame, order: str = "doc_id", least: int = 3) -> DataFrame:
@@ -167,8 +180,10 @@ def _rarest(sets: DataFrame, threshold: float, key: str, slots: int = 1 << 20) -
     """``key``, ``size``, ``gram``: of each set of ``grams`` the |x| - ceil(t*|x|) + 1 rarest.
 
     Rarity is the number of grams of all sets in the same of ``slots`` classes of hashes, which no gram's own number exceeds;
-    the table of classes is broadcast. Any order that all sets share would do for the prefix filter.
+    the table of classes is broadcast. Any order that all sets share would do for the prefix filter. The tasks' tables travel
+    as compressed pieces, and what is kept is written in arrays.
     """
+    piece = min(slots, 1 << 14)
 
     def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return pc.list_flatten(batch.column(2)).to_numpy(), pc.list_value_length(batch.column(2)).to_numpy()
@@ -177,13 +192,21 @@ def _rarest(sets: DataFrame, threshold: float, key: str, slots: int = 1 << 20) -
         total = np.zeros(slots, np.int64)
         for batch in batches:
             total += np.bincount(flat(batch)[0] & (slots - 1), minlength=slots)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+        used = [i for i in range(0, slots, piece) if total[i : i + piece].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([zlib.compress(total[i : i + piece], 1) for i in used], pa.binary())], names=["at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(n), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([n.tobytes() for n in total.values()], pa.binary())], names=["at", "n"])
 
     rows = sets.select(key, "size", "grams")
-    found = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(count, "at long, n binary").repartition("at").mapInArrow(add, "at long, n binary").toArrow()
     table = np.zeros(slots, np.int64)
-    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    for at, n in zip(found["at"].to_pylist(), found["n"].to_pylist(), strict=True):
+        table[at : at + piece] = np.frombuffer(n, np.int64)
     sent = sets.sparkSession.sparkContext.broadcast(table)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,34 +218,62 @@ def _rarest(sets: DataFrame, threshold: float, key: str, slots: int = 1 << 20) -
                 order = np.lexsort((grams, sent.value[grams & (slots - 1)], of))
                 place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
                 # a little less than t*|x|, as it is rounded up
-                kept = place < (size - np.ceil(threshold * size - 1e-9) + 1)[of]
-                at = pa.array(of[kept])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(grams[order][kept])], names=[key, "size", "gram"])
+                most = (size - np.ceil(threshold * size - 1e-9) + 1).astype(np.int64)
+                kept = place < most[of]
+                ends = np.concatenate([[0], np.cumsum(np.minimum(most, size))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[order][kept]))], names=[key, "size", "grams"])
+
+    short = persisted(rows.mapInArrow(take, f"{key} {dict(sets.dtypes)[key]}, size int, grams array<long>"))
+    return short.select(key, "size", F.explode("grams").alias("gram"))
 
-    return rows.mapInArrow(take, f"{key} {dict(sets.dtypes)[key]}, size int, gram long")
 
+def _marks(grams: DataFrame, slots: int) -> np.ndarray:
+    """A bit for each of ``slots`` classes of hashes, set where one of ``grams`` falls; Spark makes it in pieces of 4 kB."""
+    place = F.col("gram").bitwiseAND(slots - 1) + 1  # Spark counts places from 1
+    pieces = grams.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
+    marks = np.zeros(slots // 8, np.uint8)
+    for b, bits in zip(pieces["b"].to_pylist(), pieces["bits"].to_pylist(), strict=True):
+        marks[4096 * (b - 1) : 4096 * b] = np.frombuffer(bits, np.uint8)
+    return marks
 
-def _prefixes(docs: DataFrame, threshold: float, n: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """``ranked``: the hashed shingles of each distinct text that shares a prefix shingle; ``prefix``: those shingles.
+
+def _prefixes(docs: DataFrame, threshold: float, n: int, key: str, slots: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+    """``sets``: the hashed shingles of each distinct text (not written); ``prefix``: the prefix shingles that texts share.
 
     Exact copies are represented by their smallest id. Sets of similarity t share one of the |x| - ceil(t*|x|) + 1 rarest
-    shingles of each (prefix filter), so only those are counted and joined, and rare shingles are in few documents. The sets
-    themselves are written once, and travel only for texts that have a candidate.
+    shingles of each (prefix filter). Those that occur more than once are marked in a table of ``slots`` bits, and only marked
+    ones leave their text: a few that are alone come along, and meet nothing.
     """
     one = keep_first(docs.where("text is not null").select(key, "text"), sha256_key(F.lower("text")), key)
-    sets = persisted(T.once(one, {"grams": T.hashed_shingles(F.col("text"), n)}).select(key, F.size("grams").alias("size"), "grams"))
+    sets = T.once(one, {"grams": T.hashed_shingles(F.col("text"), n)}).select(key, F.size("grams").alias("size"), "grams")
     each = _rarest(sets, threshold, key)
-    shared = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
-    prefix = persisted(each.join(shared, "gram").select(key, "size", "gram"))
-    return persisted(sets.join(prefix.select(key).distinct(), key, "left_semi")), prefix
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), slots))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(2).to_numpy() & (slots - 1)
+            yield batch.filter(pa.array(sent.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
 
+    return sets, persisted(each.mapInArrow(shared, f"{key} {dict(docs.dtypes)[key]}, size int, gram long"))
 
-def _alike(pairs: DataFrame, ranked: DataFrame, threshold: float, key: str) -> DataFrame:
-    """Of the candidate ``pairs`` (``a``, ``b``, sizes ``na``, ``nb``) those of a Jaccard of ``threshold`` or more."""
+
+def _alike(pairs: DataFrame, sets: DataFrame, prefix: DataFrame, threshold: float, key: str, small: int = 1_000_000) -> DataFrame:
+    """Of the candidate ``pairs`` (``a``, ``b``, sizes ``na``, ``nb``) those of a Jaccard of ``threshold`` or more.
+
+    Prefixes follow one order, so what is common beyond the common shingles of both prefixes lies behind the prefix that ends
+    first. Only pairs that can still be similar by that bound meet with their sets, which are made for their texts alone.
+    """
     pairs = pairs.where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).distinct()
-    pairs = pairs.join(ranked.select(F.col(key).alias("a"), F.col("grams").alias("ga")), "a").join(ranked.select(F.col(key).alias("b"), F.col("grams").alias("gb")), "b")
+    held = prefix.groupBy(key).agg(F.collect_list("gram").alias("p"))
+    met = pairs.join(held.select(F.col(key).alias("a"), F.col("p").alias("pa")), "a").join(held.select(F.col(key).alias("b"), F.col("p").alias("pb")), "b")
+    rest = F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1
+    bound = F.size(F.array_intersect("pa", "pb")) + rest >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    few = persisted(met.where(bound).select("a", "b", "na", "nb"))
+    ids = persisted(few.select(F.col("a").alias("_id")).unionAll(few.select("b")).distinct())
+    own = sets.join(_sent(ids, small), F.col(key) == F.col("_id"), "left_semi")
+    met = few.join(own.select(F.col(key).alias("a"), F.col("grams").alias("ga")), "a").join(own.select(F.col(key).alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    return pairs.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return met.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id") -> DataFrame:
@@ -230,9 +281,9 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str
 
     Candidates share a shingle of their prefixes; no pair is lost.
     """
-    ranked, prefix = _prefixes(docs, threshold, n, key)
+    sets, prefix = _prefixes(docs, threshold, n, key)
     left, right = prefix.select(F.col(key).alias("a"), F.col("size").alias("na"), "gram"), prefix.select(F.col(key).alias("b"), F.col("size").alias("nb"), "gram")
-    return _alike(left.join(right, "gram").where("a < b").select("a", "b", "na", "nb"), ranked, threshold, key)
+    return _alike(left.join(right, "gram").where("a < b").select("a", "b", "na", "nb"), sets, prefix, threshold, key)
 
 
 def similar_links(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id", stars: int = 3) -> DataFrame:
@@ -242,19 +293,19 @@ def similar_links(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str
     near copies becomes one component for a row each. Shingles whose holders are one component already take no further
     part. At last the holders of a shingle that are in different components are all compared, so no component is missed.
     """
-    ranked, prefix = _prefixes(docs, threshold, n, key)
+    sets, prefix = _prefixes(docs, threshold, n, key)
 
     def holders(label: DataFrame) -> DataFrame:
         held = prefix.join(label, prefix[key] == label["v"], "left").select("gram", key, "size", F.coalesce("label", key).alias("label"))
         split = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
         return persisted(held.join(split, "gram"))
 
-    links = ranked.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
+    links = prefix.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
     held = holders(links.toDF("v", "label"))
     for turn in range(stars):
         centre = held.groupBy("gram").agg(F.min_by(F.struct(F.col(key).alias("a"), F.col("size").alias("na"), F.col("label").alias("la")), F.xxhash64(F.col(key), F.lit(turn))).alias("c")).select("gram", "c.*")
         pairs = held.join(centre, "gram").where("la <> label").select("a", F.col(key).alias("b"), "na", F.col("size").alias("nb"))
-        more = persisted(_alike(pairs, ranked, threshold, key).select("a", "b"))
+        more = persisted(_alike(pairs, sets, prefix, threshold, key).select("a", "b"))
         if more.isEmpty():
             break
         links = links.unionAll(more)
@@ -267,7 +318,7 @@ def similar_links(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str
     left = held.select("gram", F.col("label").alias("la"), F.col(key).alias("a"), F.col("size").alias("na"))
     right = held.select("gram", F.col("label").alias("lb"), F.col(key).alias("b"), F.col("size").alias("nb"))
     pairs = apart.join(left, ["gram", "la"]).join(right, ["gram", "lb"]).select("a", "b", "na", "nb")
-    return links.unionAll(_alike(pairs, ranked, threshold, key).select("a", "b"))
+    return links.unionAll(_alike(pairs, sets, prefix, threshold, key).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -334,7 +385,7 @@ def settle(open_: DataFrame) -> DataFrame:
 def layered(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Exact copies, then near duplicates removed; survivors are chosen by id."""
     one = keep_first(docs, sha256_key(F.col("text")))
-    return one.join(greedy_removals(one, threshold), "doc_id", "left_anti")
+    return without(one, greedy_removals(one, threshold))
 
 
 def against_store(signatures: DataFrame, stored: DataFrame, b: int = 16, key: str = "doc_id") -> DataFrame:

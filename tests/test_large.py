@@ -154,3 +154,29 @@ def test_safety_signs_lose_no_match(spark):
     plain = F.coalesce(*[F.when(F.col("text").rlike("(?i)" + "|".join(p)), name) for name, p in answers.RISKS], F.lit("safe"))
     rows = docs.select("text", answers.safety(F.col("text")).alias("got"), plain.alias("want")).collect()
     assert all(r["got"] == r["want"] for r in rows) and len({r["got"] for r in rows}) == 5
+
+
+def test_near_pairs_write_only_a_fifth_of_the_shingles(spark, monkeypatch):
+    """Of 60 texts two are alike: the sets of the others stay in their texts, and exact copies go without moving a text."""
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(200)) for _ in range(60)]
+    texts[59] = texts[58] + " more"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:5])], "doc_id long, text string").repartition(3)
+    written, real = [], dedup.persisted
+    monkeypatch.setattr(dedup, "persisted", lambda df: written.append(real(df)) or written[-1])
+    found = dedup.similar_pairs(docs).collect()
+    assert [(r["a"], r["b"]) for r in found] == [(58, 59)] and found[0]["jaccard"] == 196 / 197
+    arrays = [(df, c) for df in written for c, kind in df.dtypes if kind.startswith("array")]
+    assert 60 * 40 <= sum(df.agg(F.sum(F.size(c))).first()[0] for df, c in arrays) < 60 * 50
+    assert not any("text" in df.columns for df in written)
+    plan = dedup.keep_first(docs, dedup.sha256_key(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+
+
+def test_first_of_copies_beyond_what_is_broadcast(spark):
+    """Ids repeat, are null, and one id stands for a copy and a text of its own; the same rows stay either way."""
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (None, "a"), (None, "c"), (None, "c"), (3, None), (3, None), (4, "b"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (0, 100):
+        kept = [tuple(r) for r in dedup.keep_first(docs, F.col("text"), small=small).collect()]
+        assert Counter(kept) == Counter([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, None), (3, None), (None, None)])
