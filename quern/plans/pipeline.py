@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return docs.join(dedup.greedy_removals(docs, threshold), "doc_id", "left_anti")
+    return dedup.without(docs, dedup.greedy_removals(docs, threshold))
 
 
 def score(docs: DataFrame, least: float = 0.3) -> DataFrame:
@@ -56,12 +56,13 @@ def run(docs: DataFrame, stages: list[tuple[str, Stage]] | None = None) -> tuple
     """The stages one after the other. A stage is any function of a DataFrame. Row counts come from observations, which
     are filled by the action that consumes the result, not by an action of their own.
 
-    The text is written once before the duplicate stages, whose joins would else compute everything above them again.
+    The text is written once before the duplicate stages, whose passes would else compute everything above them again; these
+    stages write the ids that they drop, not the text.
     """
     seen: dict[str, Observation] = {}
     for name, stage in stages or DEFAULT:
         docs = stage(docs)
-        if name in ("pii", "exact dedup"):
+        if name == "pii":
             docs = dedup.persisted(docs)
         seen[name] = Observation(name)
         docs = docs.observe(seen[name], F.count(F.lit(1)).alias("rows"))
