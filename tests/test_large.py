@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.ranks import draw, indexed
-from quern.operators import charlm, dedup, examples, html, stats
+from quern.operators import charlm, dedup, examples, html, retrieval, stats
 
 
 def test_index_has_no_gaps_and_keeps_order(spark):
@@ -180,3 +180,17 @@ def test_first_of_copies_beyond_what_is_broadcast(spark):
     for small in (0, 100):
         kept = [tuple(r) for r in dedup.keep_first(docs, F.col("text"), small=small).collect()]
         assert Counter(kept) == Counter([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, None), (3, None), (None, None)])
+
+
+@pytest.mark.parametrize("name", ["context_precision", "rerank_topk"])
+def test_queries_on_hits_make_no_row_for_each_document_and_term(spark, monkeypatch, name):
+    """The hits come from sums inside the tasks, and equal those of the joined terms."""
+    from quern.plans import more_queries
+
+    folder, search, terms = "/root/testdata/sf0.001", retrieval.search, retrieval.bm25_terms
+    want = search(terms(more_queries.read(spark, folder, "documents"), more_queries.read(spark, folder, "benchmark"))).select("query_id", "doc_id", "score", "rank").collect()
+    monkeypatch.setattr(retrieval, "bm25_terms", None)
+    got = more_queries.QUERIES[name](spark, folder).collect()
+    assert {r["query_id"] for r in got} == {r["query_id"] for r in want}
+    found = retrieval.keyword_top_k(more_queries.read(spark, folder, "documents"), more_queries.read(spark, folder, "benchmark"))
+    assert Counter(map(tuple, found.select("query_id", "doc_id", "score", "rank").collect())) == Counter(map(tuple, want))
