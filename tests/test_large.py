@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.ranks import draw, indexed
-from quern.operators import charlm, dedup, examples, html, retrieval, stats
+from quern.operators import charlm, dedup, examples, html, retrieval, stats, suffixes
 
 
 def test_index_has_no_gaps_and_keeps_order(spark):
@@ -194,3 +194,17 @@ def test_queries_on_hits_make_no_row_for_each_document_and_term(spark, monkeypat
     assert {r["query_id"] for r in got} == {r["query_id"] for r in want}
     found = retrieval.keyword_top_k(more_queries.read(spark, folder, "documents"), more_queries.read(spark, folder, "benchmark"))
     assert Counter(map(tuple, found.select("query_id", "doc_id", "score", "rank").collect())) == Counter(map(tuple, want))
+
+
+def test_passages_of_whole_copies_leave_no_rows(spark, monkeypatch):
+    """30 of 60 texts are copies: they are repeated as a whole, and only the passage that two other texts share makes rows."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(30)]
+    shared, own = texts[0][100:180], (texts[1][:49] + "X", "Y" + texts[1][131:])
+    texts[1] = shared.join(own)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string").repartition(3)
+    written, real = [], suffixes.persisted
+    monkeypatch.setattr(suffixes, "persisted", lambda df: written.append(real(df)) or written[-1])
+    cut = {r["key"]: (r["text"], r["n_cut"]) for r in suffixes.cut_repeats(docs).collect()}
+    assert cut == {1: ("".join(own), 80)} | {i: ("", 400) for i in range(30, 60)}
+    assert 0 < sum(df.count() for df in written if "context" in df.columns) < 60
