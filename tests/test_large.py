@@ -208,3 +208,11 @@ def test_passages_of_whole_copies_leave_no_rows(spark, monkeypatch):
     cut = {r["key"]: (r["text"], r["n_cut"]) for r in suffixes.cut_repeats(docs).collect()}
     assert cut == {1: ("".join(own), 80)} | {i: ("", 400) for i in range(30, 60)}
     assert 0 < sum(df.count() for df in written if "context" in df.columns) < 60
+
+
+def test_skip_grams_number_texts_where_they_are(spark):
+    """With a list of words that is broadcast, nothing but words and pairs is shuffled: no text is put together again."""
+    rows = [(i, [f"w{(i * j) % 50}" for j in range(40)]) for i in range(40)]
+    got = examples.sampled_skip_grams(spark.createDataFrame(rows, "doc_id long, words array<string>"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() > 0 and "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
